@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.functions.text import digit_words, text_or_empty
+from earshot.functions.text import digit_words, let, text_or_empty
 
 # What each stage looks for.
 PHONE = r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b"
@@ -46,36 +46,48 @@ def redact_text(c: Column) -> Column:
     return out
 
 
-def redact(df: DataFrame, text: str, with_examples: bool = True) -> DataFrame:
-    """Add ``redacted_text`` and ``redactions`` (type, count, first three examples).
+_LOG = "array<struct<type:string,count:int,examples:array<string>>>"
+
 
-    Each stage is a projection of its own, so a text is rewritten once per
-    stage and the log reads the very text its stage saw. Without examples the
-    log carries counts only and no personal data.
+def redact_record(c: Column, with_examples: bool = True) -> Column:
+    """``redacted_text`` and the log ``redactions`` (type, count, first three examples).
+
+    The text and its log are threaded through the stages as one bound value,
+    so the log reads the very text its stage saw and no stage runs twice.
+    Without examples the log carries counts only and no personal data.
     """
-    kept = df.columns
-    out = df.withColumn("_text", digit_words(F.col(text)))
-    for stage, (_, pattern, _) in STAGES.items():
-        out = out.withColumn(f"_{stage}", F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
-        out = out.withColumn(
-            "_text",
-            F.when(F.size(f"_{stage}") > 0, redact_stage(F.col("_text"), stage)).otherwise(F.col("_text")),
-        )
-    log = F.array(
-        *[
-            F.struct(
+
+    def run(stage: str):
+        label, pattern, _ = STAGES[stage]
+
+        def found(s: Column) -> Column:
+            hits = F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0))
+            return F.struct(s["text"].alias("text"), s["log"].alias("log"), hits.alias("hits"))
+
+        def applied(s: Column) -> Column:
+            hit = F.size(s["hits"]) > 0
+            entry = F.struct(
                 F.lit(label).alias("type"),
-                F.size(f"_{stage}").alias("count"),
-                (F.slice(f"_{stage}", 1, 3) if with_examples else F.array().cast("array<string>")).alias("examples"),
+                F.size(s["hits"]).alias("count"),
+                (F.slice(s["hits"], 1, 3) if with_examples else F.array().cast("array<string>")).alias("examples"),
             )
-            for stage, (label, _, _) in STAGES.items()
-        ]
-    )
-    return out.select(
-        *kept,
-        F.col("_text").alias("redacted_text"),
-        F.filter(log, lambda e: e["count"] > 0).alias("redactions"),
-    )
+            return F.struct(
+                F.when(hit, redact_stage(s["text"], stage)).otherwise(s["text"]).alias("text"),
+                F.when(hit, F.concat(s["log"], F.array(entry))).otherwise(s["log"]).alias("log"),
+            )
+
+        return lambda state: let(let(state, found), applied)
+
+    state = F.struct(digit_words(c).alias("text"), F.array().cast(_LOG).alias("log"))
+    for stage in STAGES:
+        state = run(stage)(state)
+    return let(state, lambda s: F.struct(s["text"].alias("redacted_text"), s["log"].alias("redactions")))
+
+
+def redact(df: DataFrame, text: str, with_examples: bool = True) -> DataFrame:
+    """Add ``redacted_text`` and ``redactions`` to every row."""
+    record = redact_record(F.col(text), with_examples)
+    return df.withColumn("_redaction", record).select(*df.columns, "_redaction.*")
 
 
 def redaction_spans(c: Column) -> Column:

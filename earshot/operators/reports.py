@@ -130,7 +130,8 @@ def wer_series(scored: DataFrame, key: str, baseline: str, systems: Sequence[str
 def redaction_counts(redacted: DataFrame) -> DataFrame:
     """Number of redactions and of touched texts per label."""
     return (
-        redacted.select(F.inline("redactions"))
+        redacted.select(F.inline_outer("redactions"))
+        .where(F.col("type").isNotNull())
         .groupBy("type")
         .agg(F.sum("count").alias("redactions"), F.count(F.lit(1)).alias("log_entries"))
     )

@@ -1,6 +1,6 @@
 """All registered queries. Importing the query modules registers them."""
 
-from earshot.plans import queries_metrics  # noqa: F401
+from earshot.plans import queries_metrics, queries_text  # noqa: F401
 from earshot.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

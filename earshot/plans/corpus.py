@@ -94,10 +94,14 @@ MISHEARD = f"""{TRANSCRIPTS}, misheard AS (
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transcripts cut at full stops and line ends, every part kept."""
+    """The transcripts cut at full stops and line ends, every part kept.
+
+    The outer form of the generator spares the filter on the array's size
+    that Catalyst would add below it, and with it a second cut of each text.
+    """
     return (
         transcripts(spark, sf_dir)
-        .select("doc_id", "lang", "source", F.posexplode(F.split("text", r"[.\n]+")).alias("utt", "reference_text"))
+        .select("doc_id", "lang", "source", F.posexplode_outer(F.split("text", r"[.\n]+")).alias("utt", "reference_text"))
         .where(F.col("reference_text").rlike(r"\S"))
     )
 
