@@ -427,9 +427,17 @@ def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sql_function_cer",
-    "SELECT c.conv_id, c.turn, levenshtein(hex(c.text), hex(c.text)) + 0.0 AS cer FROM conversations c",
+    rf"""WITH {C.CHUNKS}, heard AS (
+          SELECT *, {C.sql_replace_all('text', C.RAW_ERRORS)} AS h FROM chunks),
+        chars AS (SELECT *, regexp_extract_all(text, '(?s).') AS rc, regexp_extract_all(h, '(?s).') AS hc FROM heard),
+        symbols AS (SELECT *, list_distinct(list_concat(rc, hc)) AS cv FROM chars)
+        SELECT session_id, chunk_index,
+          levenshtein(array_to_string(list_transform(rc, lambda t: chr(list_position(cv, t)::INT)), ''),
+                      array_to_string(list_transform(hc, lambda t: chr(list_position(cv, t)::INT)), ''))
+          / greatest(1, length(text)) AS cer FROM symbols""",
 )
 def q_sql_function_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
-    C.table(spark, sf_dir, "conversations").createOrReplaceTempView("earshot_turns")
-    return spark.sql("SELECT conv_id, turn, cer(text, text) AS cer FROM earshot_turns")
+    heard = C.chunks(spark, sf_dir).withColumn("heard", C.replace_all(F.col("text"), C.RAW_ERRORS))
+    heard.createOrReplaceTempView("earshot_chunks")
+    return spark.sql("SELECT session_id, chunk_index, cer(text, heard) AS cer FROM earshot_chunks")
