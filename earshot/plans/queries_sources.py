@@ -156,7 +156,7 @@ def q_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("vec_id").cast("string")).alias("terms"),
         F.array(F.col("embedding").cast("array<double>")).alias("embeddings"),
     ).write.json(path + "-json")
-    files.write_index(files.read_index_document(spark, path + "-json"), path)
+    files.write_index(files.read_index_document(spark, path + "-json", whole_file=False), path)
     index = files.read_index(spark, path)
     return index.select("term", F.posexplode("embedding").alias("pos", "value")).withColumn(
         "value", F.round("value", 6)

@@ -13,6 +13,7 @@ from earshot.operators import reports as R
 from earshot.plans import corpus as C
 from earshot.plans.queries_metrics import SCORED, SQL_BLANK, pairs, sql_strings
 from earshot.plans.registry import query
+from earshot.session import spread
 
 # Normalisation
 
@@ -438,6 +439,6 @@ def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_sql_function_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
-    heard = C.chunks(spark, sf_dir).withColumn("heard", C.replace_all(F.col("text"), C.RAW_ERRORS))
+    heard = spread(C.chunks(spark, sf_dir), "session_id", "chunk_index").withColumn("heard", C.replace_all(F.col("text"), C.RAW_ERRORS))
     heard.createOrReplaceTempView("earshot_chunks")
     return spark.sql("SELECT session_id, chunk_index, cer(text, heard) AS cer FROM earshot_chunks")

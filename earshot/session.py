@@ -85,3 +85,20 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: list[str]
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+# A written lookup table is broadcast when it has no more rows than this.
+BROADCAST_ROWS = 500_000
+
+
+def lookup_join(big: DataFrame, small: DataFrame, key: str, spread_by: list[str], how: str = "inner") -> DataFrame:
+    """Join ``big`` to a computed lookup ``small`` (unique on ``key``).
+
+    The lookup is written to the shared folder, so that it is computed once
+    and its size is known: broadcast up to ``BROADCAST_ROWS`` rows, beyond
+    that a join salted against hot keys.
+    """
+    table = via_table(small, "lookup")
+    if table.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(table), key, how)
+    return salted_join(big, table, key, spread_by, how)

@@ -68,9 +68,9 @@ def read_gate_training(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.GATE_TRAINING).options(**_CSV).csv(path)
 
 
-def read_index_document(spark: SparkSession, path: str) -> DataFrame:
-    """An index of parallel arrays as rows (term, embedding)."""
-    documents = spark.read.schema(schemas.INDEX_DOCUMENT).option("multiLine", True).json(path)
+def read_index_document(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Indexes of parallel arrays, one document per file or per line, as rows (term, embedding)."""
+    documents = spark.read.schema(schemas.INDEX_DOCUMENT).option("multiLine", whole_file).json(path)
     return documents.select(F.inline(F.arrays_zip("terms", "embeddings"))).select(
         F.col("terms").alias("term"), F.col("embeddings").alias("embedding")
     )
