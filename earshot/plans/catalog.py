@@ -3,6 +3,7 @@
 from earshot.plans import (  # noqa: F401
     queries_correction,
     queries_metrics,
+    queries_sessions,
     queries_signal,
     queries_sources,
     queries_text,

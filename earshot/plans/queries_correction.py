@@ -386,11 +386,11 @@ _MARKS = ["metformin", "chest pain"]
                                          struct_pack(s := instr(lower(t), '{_MARKS[1]}'), n := {len(_MARKS[1])})] if x.s > 0] AS m FROM u),
         marks AS (SELECT doc_id, utt, t, x.s AS s, x.n AS n FROM (SELECT *, unnest(m) AS x FROM found)),
         edges AS (SELECT *, lag(s + n, 1, 1) OVER (PARTITION BY doc_id, utt ORDER BY s) AS before FROM marks),
-        parts AS (SELECT doc_id, utt, before AS at, substr(t, before, s - before) AS part, false AS highlighted FROM edges WHERE s > before
+        parts AS (SELECT doc_id, utt, before AS spot, substr(t, before, s - before) AS part, false AS highlighted FROM edges WHERE s > before
           UNION ALL SELECT doc_id, utt, s, substr(t, s, n), true FROM edges
           UNION ALL SELECT doc_id, utt, coalesce(e, 1), substr(t, coalesce(e, 1)), false FROM u LEFT JOIN
             (SELECT doc_id, utt, max(s + n) AS e FROM marks GROUP BY ALL) USING (doc_id, utt) WHERE coalesce(e, 1) <= length(t))
-        SELECT doc_id, utt, row_number() OVER (PARTITION BY doc_id, utt ORDER BY at) - 1 AS pos, part, highlighted FROM parts""",
+        SELECT doc_id, utt, row_number() OVER (PARTITION BY doc_id, utt ORDER BY spot) - 1 AS pos, part, highlighted FROM parts""",
 )
 def q_highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.array(*[F.lit(m) for m in _MARKS])

@@ -64,6 +64,7 @@ def via_table(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """Give a CPU-heavy stage at least one partition per core.
 
+    For plans without a shuffle, whose partitions are known before they run.
     A large table already has more splits than cores and is returned as it
     is; only a file with fewer splits than cores is shuffled by ``keys``.
     """
