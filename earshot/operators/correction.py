@@ -60,7 +60,7 @@ def corrections_of(
     the small side against all spans. What is grouped per text are its
     accepted spans only.
     """
-    spans = P.candidate_spans(df, key, text)
+    spans = P.candidate_spans(df, key, text, reach=V.reach(index, threshold))
     hits = lookup_join(spans, proposals(spans, index, gate, threshold), "form", [key, "start", "end"])
     hit = F.struct("start", "end", "proposal")
     return hits.groupBy(key).agg(F.collect_list(hit).alias("_hits")).select(

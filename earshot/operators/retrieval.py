@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.functions.similarity import masks_if_short, metaphone, ratio_by_masks, trigrams
+from earshot.operators.spans import Reach
 
 # Weights of the three scores, the acceptance threshold, candidates re-ranked.
 SEMANTIC_WEIGHT, FUZZY_WEIGHT, PHONETIC_WEIGHT = 0.5, 0.3, 0.2
@@ -87,6 +88,51 @@ def retrieve(spans: DataFrame, index: DataFrame, k: int = TOP_K, min_semantic: f
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
+# Spans longer than this are held to the need of this length.
+REACH_LENGTHS = 64
+
+
+def reach(index: DataFrame, threshold: float = THRESHOLD) -> Reach | None:
+    """The least a span must share with a vocabulary to reach the threshold for any of its terms.
+
+    A span with s shared trigrams has at least s trigrams, so its semantic
+    score for a term of n trigrams is at most sqrt(s / n); lengths bound the
+    letter score, and the sound score is at most 1. Forms consist of letters
+    and blanks, so at most 27^3 trigrams matter, whatever the vocabulary; of
+    its terms only the distinct sizes are looked at. None when the threshold
+    asks for nothing.
+    """
+    useful = index.where(F.col("gram").rlike("^[a-z ]{3}$")).select("gram").distinct()
+    grams = sorted(r["gram"] for r in useful.collect())
+    shapes = [
+        (r["n"], r["size"])
+        for r in index.groupBy(F.col("grams").alias("n"), F.length("term").alias("size")).count().collect()
+    ]
+    if not shapes or threshold <= FUZZY_WEIGHT + PHONETIC_WEIGHT:
+        return None
+
+    def ceiling(shared: int, length: int, n: int, size: int) -> float:
+        semantic = min(1.0, (shared / n) ** 0.5)
+        letters = 2 * min(length, size) / (length + size)
+        return SEMANTIC_WEIGHT * semantic + FUZZY_WEIGHT * letters + PHONETIC_WEIGHT
+
+    most = max(n for n, _ in shapes)
+
+    def need(length: int) -> int:
+        return next(
+            (s for s in range(most + 1) if any(ceiling(s, length, n, size) >= threshold - 1e-9 for n, size in shapes)),
+            most,
+        )
+
+    needed = [need(max(length, 1)) for length in range(REACH_LENGTHS)]
+    # Blanks at the ends of a form may shorten it: a length answers for the lengths below it too.
+    needed = [min(needed[max(0, i - 3) : i + 1]) for i in range(REACH_LENGTHS)]
+    needed.append(min(needed))
+    # Trigrams that span two words, where a term has several.
+    across = 3 if any(" " in g.strip() or "  " in g for g in grams) else 0
+    return Reach("|".join(grams), tuple(needed), across)
+
+
 def final_score(semantic: Column, fuzzy: Column, phonetic: Column) -> Column:
     return SEMANTIC_WEIGHT * semantic + FUZZY_WEIGHT * fuzzy + PHONETIC_WEIGHT * phonetic
 

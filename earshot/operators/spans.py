@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,31 +21,41 @@ COMMON_WORDS = [
 ]
 
 
+def _beside(df: DataFrame, key: str, arrays: dict[str, Column], n: int) -> DataFrame:
+    """One row per word: (key, start, <name>0 .. <name>n-1), each array's element beside its n - 1 followers."""
+
+    def rows(p: Column) -> Column:
+        first = next(iter(arrays))
+        return F.transform(
+            p[first],
+            lambda _, i: F.struct(
+                i.alias("start"), *[F.get(p[a], i + j).alias(f"{a}{j}") for a in arrays for j in range(n)]
+            ),
+        )
+
+    bound = F.struct(*[value.alias(name) for name, value in arrays.items()])
+    return df.select(key, F.inline_outer(let(bound, rows)))
+
+
+def _runs(rows: DataFrame, key: str, keep: list[Column], spans: list[Column], name: str) -> DataFrame:
+    """The runs that start at each word as rows; a run that is not kept costs no string."""
+    runs = [
+        F.when(ok, F.struct((F.col("start") + j + 1).alias("end"), span.alias(name)))
+        for j, (ok, span) in enumerate(zip(keep, spans))
+    ]
+    return rows.select(key, "start", F.inline(F.array(*runs))).where(F.col(name).isNotNull())
+
+
 def ngrams(df: DataFrame, key: str, words: Column, n: int = MAX_WORDS) -> DataFrame:
     """All runs of 1..n words of a word array as rows (key, start, end, span). No shuffle.
 
     Each word is first set beside its n - 1 followers; the runs are then
     joined up from plain columns, which compiles to straight code.
     """
-    names = [f"_w{j}" for j in range(n)]
-
-    def beside(ws: Column) -> Column:
-        return F.transform(
-            ws,
-            lambda w, i: F.struct(i.alias("start"), *[F.get(ws, i + j).alias(name) for j, name in enumerate(names)]),
-        )
-
-    rows = df.select(key, F.inline_outer(let(words, beside)))
-    runs = F.array(
-        *[
-            F.when(
-                F.col(names[j]).isNotNull(),
-                F.struct((F.col("start") + j + 1).alias("end"), F.concat_ws(" ", *names[: j + 1]).alias("span")),
-            )
-            for j in range(n)
-        ]
-    )
-    return rows.select(key, "start", F.inline(runs)).where(F.col("span").isNotNull())
+    rows = _beside(df, key, {"w": words}, n)
+    keep = [F.col(f"w{j}").isNotNull() for j in range(n)]
+    spans = [F.concat_ws(" ", *[f"w{i}" for i in range(j + 1)]) for j in range(n)]
+    return _runs(rows, key, keep, spans, "span")
 
 
 def clean_span(span: Column) -> Column:
@@ -74,32 +86,63 @@ def explode_ngrams(df: DataFrame, key: str, text: str, n: int = MAX_WORDS) -> Da
     return ngrams(df, key, tokens(F.col(text)), n)
 
 
-def _marked_words(text: Column) -> Column:
-    """The words of a text reduced to lower-case letters, place by place, a word without letters empty.
+def word_forms(text: Column) -> Column:
+    """The words of a text reduced to lower-case letters, place by place; a word without letters is empty."""
+    return F.split(F.lower(F.regexp_replace(squeeze(text_or_empty(text)), "[^a-zA-Z ]", "")), " ")
 
-    A common word ends in a full stop, any other in a comma, so that a run of
-    them can be judged by counting characters.
-    """
-    letters = F.lower(F.regexp_replace(squeeze(text_or_empty(text)), "[^a-zA-Z ]", ""))
-    common = F.regexp_replace(letters, r"\b(" + "|".join(COMMON_WORDS) + r")\b", "$1.")
-    return F.split(F.regexp_replace(common, r"([a-z]+)(?![a-z.])", "$1,"), " ")
 
+@dataclass(frozen=True)
+class Reach:
+    """What a vocabulary asks of a span at least: its trigrams as one text, and per span
+    length the least number of them a span must have to be accepted for any term."""
+
+    grams: str
+    needed: tuple[int, ...]
+    across: int
+
+    def count(self, word: Column) -> Column:
+        """Trigrams of a word (blank at each end) that the vocabulary has."""
+
+        def hits(padded: Column) -> Column:
+            cut = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+            return F.size(F.filter(cut, lambda g: F.contains(F.lit(self.grams), g)))
+
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        return F.when(word == "", F.lit(0)).otherwise(let(padded, hits))
 
-def _count(c: Column, mark: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    def met(self, length: Column, found: Column, boundaries: int) -> Column:
+        needed = F.array(*[F.lit(x) for x in self.needed])
+        place = F.least(length, F.lit(len(self.needed) - 1))
+        return found + self.across * boundaries >= F.get(needed, place)
 
 
-def candidate_spans(df: DataFrame, key: str, text: str, n: int = MAX_WORDS) -> DataFrame:
+def candidate_spans(df: DataFrame, key: str, text: str, n: int = MAX_WORDS, reach: Reach | None = None) -> DataFrame:
     """The runs worth a look in the vocabulary: (key, start, end, form), form being the lower-case clean span.
 
-    The text is cleaned once as a whole, not run by run, and the spelling of a
-    run is left to those that are corrected in the end. No shuffle.
+    The text is cleaned once as a whole, not run by run; letters and common
+    words of a run are sums over its words, and the spelling of a run is left
+    to those that are corrected in the end. ``reach`` drops runs that no term
+    of the vocabulary can accept. No shuffle.
     """
-    spans = ngrams(df, key, _marked_words(F.col(text)), n)
-    common, other = _count(F.col("span"), "."), _count(F.col("span"), ",")
-    letters = F.length(F.translate("span", " .,", ""))
-    likely = spans.where((letters >= MIN_LETTERS) & (other >= MIN_SUSPICION * (common + other)))
-    return likely.select(key, "start", "end", F.trim(F.translate("span", ".,", "")).alias("form"))
+    arrays = {"w": word_forms(F.col(text))}
+    if reach:
+        arrays["g"] = F.transform("_forms", reach.count)
+        df, arrays["w"] = df.withColumn("_forms", arrays["w"]), F.col("_forms")
+    rows = _beside(df, key, arrays, n)
+    keep, spans = [], []
+    letters, words, others, found = F.lit(0), F.lit(0), F.lit(0), F.lit(0)
+    for j in range(n):
+        w = F.col(f"w{j}")
+        letters = letters + F.length(w)
+        words = words + (w != "").cast("int")
+        others = others + ((w != "") & ~w.isin(COMMON_WORDS)).cast("int")
+        ok = w.isNotNull() & (letters >= MIN_LETTERS) & (others >= MIN_SUSPICION * words)
+        if reach:
+            found = found + F.col(f"g{j}")
+            ok = ok & reach.met(letters + j, found, j)
+        keep.append(ok)
+        spans.append(F.trim(F.concat_ws(" ", *[f"w{i}" for i in range(j + 1)])))
+    return _runs(rows, key, keep, spans, "form")
 
 
 def select_spans(hits: Column) -> Column:

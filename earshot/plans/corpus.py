@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.session import spread
+
 # Common words of the prose and the clinical phrase that takes their place.
 CLINICAL = [
     (" that ", " metformin 500mg twice daily "),
@@ -74,10 +76,9 @@ def condition_of(key: Column) -> Column:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clinical transcript per document."""
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", replace_all(F.col("text"), CLINICAL).alias("text")
-    )
+    """One clinical transcript per document, dealt to all cores."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    return documents.withColumn("text", replace_all(F.col("text"), CLINICAL))
 
 
 TRANSCRIPTS = f"""transcripts AS (

@@ -18,7 +18,7 @@ from earshot.plans import corpus as C
 from earshot.plans.queries_metrics import sql_strings, sql_words
 from earshot.plans.queries_text import sql_normalize
 from earshot.plans.registry import query
-from earshot.session import fresh_path, spread, via_table
+from earshot.session import fresh_path, via_table
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
@@ -30,7 +30,7 @@ def index(spark: SparkSession) -> DataFrame:
 
 
 def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(C.misheard(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return C.misheard(spark, sf_dir).select("doc_id", "text")
 
 
 # Spans in SQL: all runs of 1..4 words of every transcript.

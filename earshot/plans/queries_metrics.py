@@ -12,7 +12,6 @@ from earshot.operators import reports as R
 from earshot.operators import scoring as S
 from earshot.plans import corpus as C
 from earshot.plans.registry import query
-from earshot.session import spread
 
 SQL_BLANK = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 
@@ -68,7 +67,7 @@ target_scored AS (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(C.predictions(spark, sf_dir), "sample_id")
+    return C.predictions(spark, sf_dir)
 
 
 def with_targets(df: DataFrame) -> DataFrame:
