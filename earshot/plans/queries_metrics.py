@@ -242,11 +242,9 @@ def percent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "slice_report",
-    f"""WITH {SCORED}, long AS (
-          SELECT 'lang' AS axis, lang AS value, * FROM scored UNION ALL
-          SELECT 'source', source, * FROM scored UNION ALL
-          SELECT 'condition', condition, * FROM scored)
-        SELECT axis, value, count(*) AS samples, {_SUMMARY_MEANS} FROM long GROUP BY axis, value""",
+    f"""WITH {SCORED}, long AS (SELECT *, unnest([struct_pack(axis := 'lang', value := lang),
+            struct_pack(axis := 'source', value := source), struct_pack(axis := 'condition', value := condition)]) AS slice FROM scored)
+        SELECT slice.axis AS axis, slice.value AS value, count(*) AS samples, {_SUMMARY_MEANS} FROM long GROUP BY ALL""",
 )
 def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = R.slice_report(S.score_predictions(pairs(spark, sf_dir)), ["lang", "source", "condition"], S.METRICS)
