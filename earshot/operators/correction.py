@@ -15,7 +15,7 @@ from earshot.operators import gate as G
 from earshot.operators import retrieval as V
 from earshot.operators import spans as P
 from earshot.schemas import CORRECTION
-from earshot.session import lookup_join
+from earshot.session import salted_join, written_lookup
 
 GATED, UNGATED = "gated_phrase_correction", "ungated_phrase_correction"
 
@@ -56,12 +56,17 @@ def corrections_of(
 ) -> DataFrame:
     """The chosen corrections of each text that has any: (key, chosen).
 
-    Spans are looked up once per distinct form, and the accepted forms are
-    the small side against all spans. What is grouped per text are its
-    accepted spans only.
+    Spans are looked up once per distinct form. The accepted forms then meet
+    all spans: broadcast when a count permits, else salted, as a frequent form
+    is a hot key. What is grouped per text are its accepted spans only.
     """
-    spans = P.candidate_spans(df, key, text, reach=V.reach(index, threshold))
-    hits = lookup_join(spans, proposals(spans, index, gate, threshold), "form", [key, "start", "end"])
+    reached = P.candidate_spans(df, key, text, reach=V.reach(index, threshold))
+    accepted, small = written_lookup(proposals(reached, index, gate, threshold))
+    if small:
+        # Probing a broadcast table costs less than the reach test, and keeps the same rows.
+        hits = P.candidate_spans(df, key, text).join(F.broadcast(accepted), "form")
+    else:
+        hits = salted_join(reached, accepted, "form", [key, "start", "end"])
     hit = F.struct("start", "end", "proposal")
     return hits.groupBy(key).agg(F.collect_list(hit).alias("_hits")).select(
         key, P.select_spans(F.col("_hits")).alias("_chosen")

@@ -92,14 +92,10 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, spread_by: list[str]
 BROADCAST_ROWS = 500_000
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, spread_by: list[str], how: str = "inner") -> DataFrame:
-    """Join ``big`` to a computed lookup ``small`` (unique on ``key``).
+def written_lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """A computed lookup written to the shared folder, and whether it is small enough to broadcast.
 
-    The lookup is written to the shared folder, so that it is computed once
-    and its size is known: broadcast up to ``BROADCAST_ROWS`` rows, beyond
-    that a join salted against hot keys.
+    It is computed once that way, and its size is counted instead of guessed.
     """
     table = via_table(small, "lookup")
-    if table.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(table), key, how)
-    return salted_join(big, table, key, spread_by, how)
+    return table, table.count() <= limit

@@ -194,6 +194,13 @@ def test_correction_equals_brute_force(spark, index, gated):
     assert all(any(ch.isdigit() for c in r["corrections"] for ch in c["original"]) for r in lost)
 
 
+def test_large_lookups_take_the_salted_join(spark, index, monkeypatch):
+    df = spark.createDataFrame([(i, "patient hydroxylzene 5 mg omeprazol.") for i in range(20)], "id int, t string")
+    small = {(r["id"], r["corrected_text"]) for r in K.correct(df, index, "id", "t").collect()}
+    monkeypatch.setattr(K, "written_lookup", lambda table: (table, False))
+    assert {(r["id"], r["corrected_text"]) for r in K.correct(df, index, "id", "t").collect()} == small
+
+
 def test_correction_can_be_off(spark, index):
     df = spark.createDataFrame([(1, "a  hydroxylzene")], "id int, t string")
     row = K.correct(df, index, "id", "t", enabled=False).first()
