@@ -1,0 +1,178 @@
+"""Mixing to target weights with soft domain membership, in DataFrame operations.
+
+A table of labelled documents teaches which words speak for which domain;
+every document then gets posteriors for all domains instead of one. The mixture
+is the nonnegative rate per document for which the expected tokens
+of each domain, sum of tokens x posterior x rate, come closest to the targets:
+
+    minimise  1/2 sum_k (share_k - target_k)^2 / natural_k
+            + RIDGE / 2 sum_d weight_d (rate_d - 1)^2,   rate_d >= 0
+
+by projected gradient. Each step is one aggregate of as many sums as there are
+domains; the rates themselves never leave the executors.
+
+The classifier is fitted on at most ``MAX_LABELLED`` labelled documents, those
+with the smallest hash of their id. Evidence is kept for a bounded number of
+word buckets (``BUCKETS``), so the table that is broadcast has a proven bound.
+Tokens are words between blanks.
+
+Rows that share a ``doc_id`` (null ids among them) are one document whose
+tokens add up. Null and empty texts have no tokens and no evidence: prior
+posteriors, and their rate moves with those. Labels without a document, null
+labels and a label table without rows are allowed; without labels there is one
+prior for all. Without tokens at all every rate is 1. Only ``doc_id`` and
+``text`` are read, and ``doc_id``, ``quality``, ``toxic`` of the labels.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from earshot.session import via_table
+
+# Domains of the labelled table and the share of tokens each is to have.
+TARGETS = {"good": 0.95, "low": 0.03, "toxic": 0.02}
+MAX_LABELLED = 20_000
+BUCKETS = 1 << 15
+# Documents of a domain that must show a bucket, and log odds from which it is evidence.
+MIN_SHOWING = 4
+MIN_LOG_ODDS = 2.0
+# Largest log odds that all evidence for one domain adds up to.
+MAX_EVIDENCE = 8.0
+RIDGE = 0.002
+STEPS = 40
+TOLERANCE = 1e-4
+# Below this rate a document may be left out; above it, it is there at least once.
+MAY_GO = 0.5
+
+
+def domain_of(quality: Column, toxic: Column) -> Column:
+    return F.when(toxic == 1, "toxic").when(quality == 0, "low").when(quality == 1, "good")
+
+
+def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """``label_id, domain`` of at most ``limit`` labelled documents."""
+    one = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    told = one.select(F.col("doc_id").alias("label_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    return told.filter("domain IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
+
+
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+
+
+def buckets_of(words: Column) -> Column:
+    """Buckets of whole words and of the beginnings of longer ones; empty words have none."""
+    def bucket(kind: int, word: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(kind), word), F.lit(BUCKETS)).cast("int")
+
+    real = F.filter(words, lambda w: w != "")
+    return F.concat(F.transform(real, lambda w: bucket(0, w)),
+                    F.transform(F.filter(real, lambda w: F.char_length(w) > 5), lambda w: bucket(1, F.substring(w, 1, 5))))
+
+
+def n_words(text: Column) -> Column:
+    words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    return F.size(F.array_remove(words, "")).cast("long")
+
+
+def priors(sample: DataFrame, domains: list[str]) -> dict[str, tuple[int, float]]:
+    """Labelled documents and smoothed prior of each domain."""
+    n = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.get(d, 0) for d in domains)
+    return {d: (n.get(d, 0), (n.get(d, 0) + 1) / (total + len(domains))) for d in domains}
+
+
+def evidence(docs: DataFrame, sample: DataFrame, known: dict[str, tuple[int, float]]) -> DataFrame:
+    """``bucket`` and one column of log odds per domain, for the buckets that tell domains apart."""
+    words = F.explode(F.array_distinct(buckets_of(words_of(F.col("text"))))).alias("bucket")
+    seen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(
+        "domain", words)
+    shown = seen.groupBy("bucket").pivot("domain", list(known)).count().na.fill(0)
+    total = sum(n for n, _ in known.values())
+
+    def log_odds(d: str) -> Column:
+        n = known[d][0]
+        rest = sum((F.col(x) for x in known if x != d), F.lit(0))
+        odds = F.log(((F.col(d) + 0.5) / (n + 1.0)) / ((rest + 0.5) / (total - n + 1.0)))
+        return F.when((F.abs(odds) >= MIN_LOG_ODDS) & (F.greatest(F.col(d), rest) >= MIN_SHOWING), odds).otherwise(0.0)
+
+    odds = shown.select("bucket", *(log_odds(d).alias(f"w_{i}") for i, d in enumerate(known)))
+    useful = " OR ".join(f"w_{i} <> 0" for i in range(len(known)))
+    return via_table(odds.filter(useful), "evidence")
+
+
+def memberships(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DataFrame:
+    """``doc_id, n_tokens`` and ``p_0 ..``: the posteriors in the order of ``domains``."""
+    sample = via_table(labelled_sample(labels), "labelled")
+    known = priors(sample, domains)
+    weights = evidence(docs, sample, known)
+    texts = docs.select("doc_id", "text")
+    spread = texts.select("doc_id", F.explode(buckets_of(words_of(F.col("text")))).alias("bucket"))
+    k = len(domains)
+    sums = spread.join(F.broadcast(weights), "bucket").groupBy("doc_id").agg(
+        *(F.sum(f"w_{i}").alias(f"e_{i}") for i in range(k)))
+    sizes = texts.groupBy("doc_id").agg(F.sum(n_words(F.col("text"))).alias("n_tokens"))
+    joined = sizes.join(sums.withColumnRenamed("doc_id", "sum_id"), F.col("doc_id").eqNullSafe(F.col("sum_id")), "left")
+
+    def score(i: int, d: str) -> Column:
+        told = F.coalesce(F.col(f"e_{i}"), F.lit(0.0))
+        return F.exp(F.lit(math.log(known[d][1])) + F.least(F.greatest(told, F.lit(-MAX_EVIDENCE)), F.lit(MAX_EVIDENCE)))
+
+    raised = joined.select("doc_id", "n_tokens", *(score(i, d).alias(f"s_{i}") for i, d in enumerate(domains)))
+    whole = sum((F.col(f"s_{i}") for i in range(k)), F.lit(0.0))
+    return raised.select("doc_id", "n_tokens", *((F.col(f"s_{i}") / whole).alias(f"p_{i}") for i in range(k)))
+
+
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
+    """``members`` with ``rate``, by projected gradient on the written table."""
+    k = len(targets)
+    state = via_table(members.withColumn("rate", F.lit(1.0)), "rates")
+    total = state.agg(F.sum("n_tokens")).first()[0]
+    if not total:
+        return state
+
+    def shares(df: DataFrame) -> list[float]:
+        share = (F.sum(F.col("n_tokens") * F.col(f"p_{i}") * F.col("rate") / F.lit(float(total))) for i in range(k))
+        return [float(x) for x in df.agg(*(s.alias(f"s_{i}") for i, s in enumerate(share))).first()]
+
+    natural = [max(s, 1e-6) for s in shares(state)]
+    now = natural
+    eta = 1 / (1 + ridge)
+    for step in range(1, steps + 1):
+        slope = [(s - t) / m for s, t, m in zip(now, targets, natural)]
+        moved = sum((F.lit(eta * g) * F.col(f"p_{i}") for i, g in enumerate(slope)), F.lit(0.0))
+        state = state.withColumn("rate", F.greatest(
+            F.lit(0.0), F.lit(1 - eta * ridge) * F.col("rate") + F.lit(eta * ridge) - moved))
+        if step % 10 == 0:  # keeps the expression short
+            state = via_table(state, "rates")
+        before, now = now, shares(state)
+        if max(abs(a - b) for a, b in zip(before, now)) < TOLERANCE * min(targets):
+            break
+    return via_table(state, "rates")
+
+
+def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """``doc_id, n_tokens, p_<domain> .., rate`` of every document."""
+    targets = targets or TARGETS
+    whole = sum(targets.values())
+    fitted = fit_rates(memberships(docs, labels, list(targets)), [t / whole for t in targets.values()])
+    return fitted.select("doc_id", "n_tokens", *(F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(targets)), "rate")
+
+
+def copies(rate: Column, doc_id: Column) -> Column:
+    """Whole copies for a rate: rounded up with the probability of its fraction, by a hash of the id."""
+    uniform = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(8)), 11) / F.lit(float(1 << 53))
+    n = F.floor(rate + uniform).cast("int")
+    return F.when(rate >= MAY_GO, F.greatest(n, F.lit(1))).otherwise(n)
+
+
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """The documents, each as often as its rate asks for, with all their columns."""
+    rates = mix_rates(docs, labels, targets)
+    taken = rates.select(F.col("doc_id").alias("__rate_id"), copies(F.col("rate"), F.col("doc_id")).alias("__copies"))
+    joined = docs.join(taken.filter("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__rate_id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from earshot.llm import line_dedup, quality, simhash
+from earshot.llm import line_dedup, mixing, packing, quality, simhash
 from earshot.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ FROM judged j LEFT JOIN verdicts v ON j.source = v.source
 """
 
 
+@_query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 @_query("op6_line_dedup", _LINE_DEDUP_SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
@@ -102,6 +107,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "host_verdict", "kept")
 
 
+@_query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
