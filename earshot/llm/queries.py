@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from earshot.llm import language_id, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity
+from earshot.llm import (
+    language_id,
+    line_dedup,
+    mixing,
+    order_minhash,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from earshot.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +137,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_query("op9_order_minhash")
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.report(documents(spark, sf_dir))
+
+
 @_query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
