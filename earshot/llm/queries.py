@@ -17,6 +17,7 @@ from earshot.llm import (
     simhash,
     token_counts,
     toxicity,
+    training_order,
 )
 from earshot.llm.common import documents
 
@@ -100,6 +101,11 @@ FROM judged j LEFT JOIN verdicts v ON j.source = v.source
 """
 
 
+@_query("op1_training_order")
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(documents(spark, sf_dir))
+
+
 @_query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
