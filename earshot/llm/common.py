@@ -54,7 +54,12 @@ def fold_of(doc_id: int) -> int:
     return crc32(str(doc_id).encode()) % 4
 
 
+def whole_rows(docs: DataFrame, *keys: Column) -> DataFrame:
+    """Every row as one column ``row`` beside the given keys, so that no name can clash."""
+    return docs.select(F.struct("*").alias("row"), *keys)
+
+
 def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is in ``ids``; null ids match null ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("__kept_id")), F.col("doc_id").eqNullSafe(F.col("__kept_id")),
-                     "left_semi")
+    kept = ids.select(F.col("doc_id").alias("kept_id"))
+    return whole_rows(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

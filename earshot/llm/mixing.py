@@ -31,6 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.llm.common import whole_rows
 from earshot.session import via_table
 
 # Domains of the labelled table and the share of tokens each is to have.
@@ -173,6 +174,6 @@ def copies(rate: Column, doc_id: Column) -> Column:
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents, each as often as its rate asks for, with all their columns."""
     rates = mix_rates(docs, labels, targets)
-    taken = rates.select(F.col("doc_id").alias("__rate_id"), copies(F.col("rate"), F.col("doc_id")).alias("__copies"))
-    joined = docs.join(taken.filter("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__rate_id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    taken = rates.select(F.col("doc_id").alias("rate_id"), copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    joined = whole_rows(docs).join(taken.filter("copies > 0"), F.col("row.doc_id").eqNullSafe(F.col("rate_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -40,7 +40,9 @@ END_ID = 0
 # Rounds of multiplicative weights, the part of what is missing that a round buys, and how fast prices move.
 ROUNDS = 60
 STEP = 0.12
-RATE = 0.6
+RATE = 2.0
+# Parts of the fractional solution that are tried as the whole part; the one with the fewest sequences wins.
+PARTS = (1.0, 0.5)
 # Pieces in a block whose ranks one window numbers, and the least number of blocks.
 BLOCK_ROWS = 100_000
 MIN_BLOCKS = 64
@@ -184,6 +186,11 @@ def _exact_fill(left: np.ndarray) -> tuple[int, ...] | None:
 
 def round_down(counts: np.ndarray, bought: Counter) -> list[tuple[tuple[int, ...], int]]:
     """Whole configurations and their numbers, which hold exactly ``counts``."""
+    plans = [_rounded(counts, bought, part) for part in PARTS]
+    return sorted(min(plans, key=lambda plan: sum(plan.values())).items())
+
+
+def _rounded(counts: np.ndarray, bought: Counter, part: float) -> Counter:
     left = counts.copy()
     plan: Counter = Counter()
 
@@ -200,12 +207,12 @@ def round_down(counts: np.ndarray, bought: Counter) -> list[tuple[tuple[int, ...
     full = sorted(bought.items(), key=lambda x: (sum(x[0]) < capacity, -x[1], x[0]))
     for config, amount in full:
         if sum(config) == capacity:
-            use(config, int(amount))
+            use(config, int(part * amount))
     while left.any():
         config = _exact_fill(left)
         if config is None or not use(tuple(sorted(config, reverse=True)), 1 << 60):
             use(_best_fit(left), 1 << 60)
-    return sorted(plan.items())
+    return plan
 
 
 class Places:
