@@ -21,8 +21,15 @@ def edit_distance(a: Column, b: Column) -> Column:
     A banded run costs band x length and answers -1 when the distance lies
     beyond the band; only then is the next, wider one evaluated.
     """
-    runs = [F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS]
-    return F.when(a == b, F.lit(0)).otherwise(F.coalesce(*runs, F.levenshtein(a, b)))
+    out = F.levenshtein(a, b)
+    for band in reversed(BANDS):
+        out = _unless_beyond(F.levenshtein(a, b, band), out)
+    return F.when(a == b, F.lit(0)).otherwise(out)
+
+
+def _unless_beyond(banded: Column, wider: Column) -> Column:
+    """The banded distance, bound so that no run is repeated to look at its answer, or the wider one."""
+    return let(banded, lambda d: F.when(d < 0, wider).otherwise(d))
 
 
 # Shared words up to this number are spelled with one-byte code points.

@@ -123,7 +123,21 @@ def safe_parse(raw: Column, audience: Column) -> Column:
         is_object = F.startswith(F.coalesce(F.schema_of_variant(payload), F.lit("VOID")), F.lit("OBJECT"))
         return F.when(is_object, normalize_payload(payload, audience)).otherwise(_error_record(raw, audience))
 
-    return let(F.try_parse_json(strip_code_fences(raw)), record)
+    return let(strip_code_fences(raw), lambda text: let(F.coalesce(F.try_parse_json(text), _last_values(text)), record))
+
+
+_FIELDS = ("summary", *LIST_FIELDS, "next_steps", "follow_up", "risk_flag")
+
+
+def _last_values(text: Column) -> Column:
+    """The known fields of an object whose keys are repeated, the last value of each; null if it is no JSON.
+
+    The variant parser refuses repeated keys; the reader of named fields does not.
+    """
+    schema = ", ".join(f"{name} variant" for name in _FIELDS) + ", _broken string"
+    read = F.from_json(text, schema, {"columnNameOfCorruptRecord": "_broken"})
+    return let(read, lambda r: F.when(r["_broken"].isNull() & text.startswith("{") & text.endswith("}"), F.to_variant_object(
+        F.struct(*(r[name].alias(name) for name in _FIELDS)))))
 
 
 def risk_level(payload: Column) -> Column:

@@ -11,8 +11,11 @@ _BLANK = BLANK.replace("\\", "\\\\")
 
 
 def _distance(a: str, b: str) -> str:
-    runs = ", ".join(f"nullif(levenshtein({a}, {b}, {band}), -1)" for band in BANDS)
-    return f"CASE WHEN {a} = {b} THEN 0 ELSE coalesce({runs}, levenshtein({a}, {b})) END"
+    out = f"levenshtein({a}, {b})"
+    for band in reversed(BANDS):
+        bound = f"transform(array(levenshtein({a}, {b}, {band})), d{band} -> CASE WHEN d{band} < 0 THEN {out} ELSE d{band} END)"
+        out = f"element_at({bound}, 1)"
+    return f"CASE WHEN {a} = {b} THEN 0 ELSE {out} END"
 
 
 def _symbols(words: str, missing: int) -> str:

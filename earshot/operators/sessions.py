@@ -28,11 +28,15 @@ CHUNK_SECONDS = 4
 def ingest(chunks: DataFrame) -> DataFrame:
     """Raw chunks with their normalised text and its entities; a missing session id or place is filled in.
 
-    Row by row, so it is the same on a table and on a stream.
+    Row by row, so it is the same on a table and on a stream. A missing id
+    is derived from the row's place, time and text, so a second read or a re-run task gives the same one.
     """
+    known = [F.col(c).cast("string") for c in ("chunk_index", "ts", "text") if c in chunks.columns]
+    digest = F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in known]))
+    derived = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     filled = chunks.withColumns(
         {
-            "session_id": F.coalesce(F.nullif(F.col("session_id").cast("string"), F.lit("")), F.uuid()),
+            "session_id": F.coalesce(F.nullif(F.col("session_id").cast("string"), F.lit("")), derived),
             "chunk_index": F.coalesce(F.col("chunk_index"), F.lit(0)),
             "text": text_or_empty(F.col("text")),
         }
@@ -62,11 +66,15 @@ def _in_order(order: Sequence[str], text: str) -> Column:
 
 
 def session_transcripts(ingested: DataFrame, order: Sequence[str] = ("chunk_index",)) -> DataFrame:
-    """The whole transcript per session, blanks at the ends gone. Also the streaming form, in update mode."""
-    return ingested.groupBy("session_id").agg(
+    """The whole transcript per session, blanks at the ends gone."""
+    return ingested.groupBy("session_id").agg(*transcript_columns(order))
+
+
+def transcript_columns(order: Sequence[str] = ("chunk_index",)) -> list[Column]:
+    return [
         strip(_in_order(order, "normalized_text")).alias("normalized_transcript"),
         F.count(F.lit(1)).alias("chunks"),
-    )
+    ]
 
 
 def newest_sessions(chunks: DataFrame, arrival: str, keep: int = MAX_SESSIONS) -> DataFrame:

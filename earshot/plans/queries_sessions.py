@@ -75,9 +75,9 @@ def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_chunks(C.table(spark, sf_dir, "events"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = C.table(spark, sf_dir, "events").schema
-    return as_chunks(live.read_chunks(spark, sf_dir, "events.parquet", schema))
+def event_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as a stream of several batches, and its delay."""
+    return live.staged(event_chunks(spark, sf_dir))
 
 
 def _stamped(windows: DataFrame) -> DataFrame:
@@ -113,8 +113,6 @@ windows AS (SELECT session_id, n, min(ts) AS s, max(ts) + INTERVAL '6 hours' AS
   string_agg(text, ' ' ORDER BY ts, chunk_index) AS text FROM numbered GROUP BY session_id, n)"""
 _WINDOW_ROWS = f"""SELECT session_id, strftime(s, '{_STAMP}') AS window_start, strftime(e, '{_STAMP}') AS window_end, chunks, text
   FROM windows"""
-# A stream gives a window once the watermark, kept in milliseconds, has reached its end.
-_CLOSED = "WHERE e <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)"
 GAP = "6 hours"
 
 
@@ -128,47 +126,55 @@ def q_finalize_on_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stamped(T.idle_sessions(event_chunks(spark, sf_dir), GAP))
 
 
-@query("stream_chunk_window", f"WITH {TUMBLED} {_WINDOW_ROWS} {_CLOSED}")
+@query("stream_chunk_window", f"WITH {TUMBLED} {_WINDOW_ROWS}")
 def q_stream_chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stamped(live.drain(live.chunk_windows(event_stream(spark, sf_dir)), "windows"))
+    chunks, delay = event_stream(spark, sf_dir)
+    return _stamped(live.drain(live.chunk_windows(chunks, delay=delay), "windows"))
 
 
-@query("stream_finalize_on_idle", f"WITH {PAUSED} {_WINDOW_ROWS} {_CLOSED}")
+@query("stream_finalize_on_idle", f"WITH {PAUSED} {_WINDOW_ROWS}")
 def q_stream_finalize_on_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stamped(live.drain(live.idle_sessions(event_stream(spark, sf_dir), GAP), "idle"))
+    chunks, delay = event_stream(spark, sf_dir)
+    return _stamped(live.drain(live.idle_sessions(chunks, GAP, delay), "idle"))
 
 
-def turn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = C.table(spark, sf_dir, "conversations").schema
-    turns = live.read_chunks(spark, sf_dir, "conversations.parquet", schema)
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    return turns.select(
-        F.col("conv_id").alias("session_id"),
+    return C.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"),
         F.col("turn").alias("chunk_index"),
         F.timestamp_add("SECOND", (F.col("turn") * T.CHUNK_SECONDS).cast("int"), start).alias("ts"),
         C.replace_all(F.col("text"), C.CLINICAL).alias("text"),
     )
 
 
+def turn_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The turns as ingested chunks in several batches, the end mark without a session kept, and the delay."""
+    stream, delay = live.staged(turns(spark, sf_dir))
+    mark = F.col("ts") == F.lit(live.END_OF_TIME).cast("timestamp")
+    return T.ingest(stream).withColumn("session_id", F.when(~mark, F.col("session_id"))), delay
+
+
 @query(
     "stream_chunk_ingest",
     f"""WITH {INGESTED}, s AS (SELECT session_id, chunk_index, normalized_text AS text FROM ingested),
         {ENTITIES.format(source='s')} SELECT session_id, chunk_index, text AS normalized_text, {_JOINED}, intent, risk_flag FROM entities""",
 )
 def q_stream_chunk_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = live.drain(T.ingest(turn_stream(spark, sf_dir)), "ingest")
+    rows = live.drain(turn_stream(spark, sf_dir)[0].where("session_id IS NOT NULL"), "ingest")
     return flat_entities(rows.select("session_id", "chunk_index", "normalized_text", "extraction"), "extraction")
 
 
 @query("stream_session_running", RUNNING)
 def q_stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live.drain(live.running_transcripts(T.ingest(turn_stream(spark, sf_dir))), "running")
+    chunks, delay = turn_stream(spark, sf_dir)
+    return live.drain(live.running_transcripts(chunks.where("session_id IS NOT NULL"), delay=delay), "running")
 
 
 @query("stream_session_transcript", f"WITH {WHOLE} SELECT session_id, chunks, normalized_transcript FROM whole")
 def q_stream_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    transcripts = T.session_transcripts(T.ingest(turn_stream(spark, sf_dir)))
-    return live.drain_latest(transcripts, "session_id", "transcripts")
+    chunks, delay = turn_stream(spark, sf_dir)
+    return live.drain(live.session_transcripts(chunks, delay=delay), "transcripts")
 
 
 # Final records: every user of the events asks for the session of that number, known or not.

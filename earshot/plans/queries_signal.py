@@ -10,12 +10,15 @@ from earshot.operators import augment as A
 from earshot.plans import corpus as C
 from earshot.plans.registry import query
 
-# Clean clips differ in length from the noise clips: longer for odd, shorter for even ids.
-_CLIP = """CASE WHEN vec_id % 2 = 1 THEN concat(embedding, slice(embedding, 1, 32)) ELSE slice(embedding, 1, 40) END"""
+# Clips and noises are whole vectors, some given twice, so that noises are longer, shorter and equal in length.
+_CLIP = "CASE WHEN vec_id % 2 = 1 THEN concat(embedding, embedding) ELSE embedding END"
+_NOISE = "CASE WHEN vec_id % 3 = 1 THEN concat(embedding, embedding, embedding) ELSE embedding END"
 CLIPS = """clips AS (
-  SELECT vec_id AS clip_id, list_transform(CASE WHEN vec_id % 2 = 1 THEN list_concat(embedding, embedding[1:32])
-         ELSE embedding[1:40] END, lambda v: v::DOUBLE) AS y FROM embeddings),
-noises AS (SELECT vec_id AS noise_id, list_transform(embedding, lambda v: v::DOUBLE) AS noise FROM embeddings WHERE label < 3)"""
+  SELECT vec_id AS clip_id, list_transform(CASE WHEN vec_id % 2 = 1 THEN list_concat(embedding, embedding)
+         ELSE embedding END, lambda v: v::DOUBLE) AS y FROM embeddings),
+noises AS (
+  SELECT vec_id AS noise_id, list_transform(CASE WHEN vec_id % 3 = 1 THEN flatten([embedding, embedding, embedding])
+         ELSE embedding END, lambda v: v::DOUBLE) AS noise FROM embeddings)"""
 
 
 def sql_hash(key: str, salt: str = "") -> str:
@@ -48,10 +51,8 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        C.table(spark, sf_dir, "embeddings")
-        .where(F.col("label") < 3)
-        .select(F.col("vec_id").alias("noise_id"), F.col("embedding").alias("noise"))
+    return C.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("noise_id"), F.expr(_NOISE).alias("noise")
     )
 
 

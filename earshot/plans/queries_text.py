@@ -20,10 +20,24 @@ from earshot.session import spread
 DOSES = [(n, "") for n in (10, 20, 25, 40, 50, 500)] + [(n, " ") for n in (500, 5, 10, 20, 25, 40)]
 
 
+# DuckDB's \b knows ASCII words only, Spark's (under the U flag) all letters. Runs of other letters are
+# therefore put between underscores, which are ASCII word characters; chr(1) marks which ones to take out again.
+_LETTERS = "([\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1\u0300-\u1fff\u2c00-\u2dff\u3040-\ud7ff]+)"
+
+
+def sql_marked(expr: str) -> str:
+    return rf"regexp_replace({expr}, '{_LETTERS}', concat('_', chr(1), '\1', chr(1), '_'), 'g')"
+
+
+def sql_unmarked(expr: str) -> str:
+    return f"replace(replace({expr}, concat('_', chr(1)), ''), concat(chr(1), '_'), '')"
+
+
 def sql_doses(expr: str) -> str:
+    expr = sql_marked(expr)
     for number, gap in DOSES:
         expr = rf"regexp_replace({expr}, '\b{number}{gap}mg\b', '{number} milligrams', 'gi')"
-    return expr
+    return sql_unmarked(expr)
 
 
 def sql_squeeze(expr: str) -> str:
@@ -34,10 +48,14 @@ def sql_normalize(expr: str) -> str:
     return sql_squeeze(sql_doses(expr))
 
 
-def sql_digit_words(expr: str) -> str:
+def _sql_digits(marked: str) -> str:
     for word, digit in DIGIT_WORDS.items():
-        expr = rf"regexp_replace({expr}, '\b{word}\b', '{digit}', 'gi')"
-    return expr
+        marked = rf"regexp_replace({marked}, '\b{word}\b', '{digit}', 'gi')"
+    return marked
+
+
+def sql_digit_words(expr: str) -> str:
+    return sql_unmarked(_sql_digits(sql_marked(expr)))
 
 
 @query("normalize_doses", f"WITH {C.TRANSCRIPTS} SELECT doc_id, {sql_doses('text')} AS text FROM transcripts")
@@ -66,12 +84,14 @@ def q_digit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_stage(stage: str) -> tuple[str, str, str, str]:
     label, pattern, replacement = pii.STAGES[stage]
     flags = "i" if pattern.startswith("(?iU)") else ""
+    # An address must not begin at a mark's underscore.
+    pattern = pattern.replace(r"\b[A-Za-z0-9._%+-]+@", r"\b[A-Za-z0-9.%+-][A-Za-z0-9._%+-]*@")
     return label, pattern[pattern.index(")") + 1 :], replacement.replace("$1", r"\1"), flags
 
 
 def sql_redact_steps(source: str, key: str) -> tuple[str, str]:
-    """CTEs s0..s7 that follow a text through the stages, and the name of the last one."""
-    ctes = [f"s0 AS (SELECT {key}, {sql_digit_words('text')} AS text FROM {source})"]
+    """CTEs s0..s7 that follow a marked text through the stages, ``redacted`` without marks, and the name of that."""
+    ctes = [f"s0 AS (SELECT {key}, {_sql_digits(sql_marked('text'))} AS text FROM {source})"]
     for i, stage in enumerate(pii.STAGES):
         label, pattern, replacement, flags = _sql_stage(stage)
         hits = f"regexp_extract_all(text, '{pattern}', 0, '{flags}')" if flags else f"regexp_extract_all(text, '{pattern}')"
@@ -80,7 +100,9 @@ def sql_redact_steps(source: str, key: str) -> tuple[str, str]:
             f"s{i + 1} AS (SELECT {key}{earlier}, {hits} AS hits{i}, "
             f"regexp_replace(text, '{pattern}', '{replacement}', 'g{flags}') AS text FROM s{i})"
         )
-    return ", ".join(ctes), f"s{len(pii.STAGES)}"
+    hits = ", ".join(f"hits{j}" for j in range(len(pii.STAGES)))
+    ctes.append(f"redacted AS (SELECT {key}, {hits}, {sql_unmarked('text')} AS text FROM s{len(pii.STAGES)})")
+    return ", ".join(ctes), "redacted"
 
 
 REDACT_STEPS, REDACTED = sql_redact_steps("transcripts", "doc_id")
@@ -89,7 +111,7 @@ REDACT_STEPS, REDACTED = sql_redact_steps("transcripts", "doc_id")
 def _stage_query(number: int, stage: str) -> None:
     @query(
         f"redact_{stage}",
-        f"WITH {C.TRANSCRIPTS}, {REDACT_STEPS} SELECT doc_id, len(hits{number}) AS hits, text FROM s{number + 1}",
+        f"WITH {C.TRANSCRIPTS}, {REDACT_STEPS} SELECT doc_id, len(hits{number}) AS hits, {sql_unmarked('text')} AS text FROM s{number + 1}",
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = digit_words(F.col("text"))
@@ -174,7 +196,7 @@ SQL_DOSAGES = f"regexp_extract_all({_LOWER}, '{E.DOSAGE}')"
 
 
 def _sql_phrases(phrases: list[str]) -> str:
-    return "flatten([" + ", ".join(rf"regexp_extract_all({_LOWER}, '\b{p}\b')" for p in phrases) + "])"
+    return "flatten([" + ", ".join(rf"regexp_extract_all({sql_marked(_LOWER)}, '\b{p}\b')" for p in phrases) + "])"
 
 
 ENTITIES = f"""found AS (

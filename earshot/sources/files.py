@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from earshot import schemas
 
-_CSV = {"header": "true", "escape": '"'}
+# A quoted text may go over several lines.
+_CSV = {"header": "true", "escape": '"', "multiLine": "true"}
 # Written texts keep their blanks, and an empty text stays apart from null.
-_CSV_OUT = {**_CSV, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""'}
+_CSV_OUT = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""'}
 
 
 def read_predictions(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTIONS) -> DataFrame:
@@ -28,6 +29,8 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType = sche
         validate_columns(found, required)
         return found.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     if ending == "json":
+        # The names in the file decide what is missing; a schema alone would fill it with nulls.
+        validate_columns(spark.read.option("primitivesAsString", True).json(path), [f.name for f in schema.fields])
         return spark.read.schema(schema).json(path)
     raise ValueError(f"unsupported input file type: .{ending}")
 

@@ -68,19 +68,58 @@ def running_transcripts(ingested: DataFrame, idle_minutes: int = 60, delay: str
     )
 
 
-def chunk_windows(chunks: DataFrame, seconds: int = B.CHUNK_SECONDS, delay: str = "0 seconds") -> DataFrame:
+# Stands after every chunk of a finished table.
+END_OF_TIME = "9999-01-01 00:00:00"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def staged(chunks: DataFrame, slices: int = 4) -> tuple[DataFrame, str]:
+    """A stream over a finished table, in batches that follow its time, and the delay its watermark needs.
+
+    The table is written in slices of time, one after the other, and then an end
+    mark without a session, which lets every window and session close. Files
+    of one slice may come in any order; no row is older than a slice's length.
+    """
+    spark = chunks.sparkSession
+    folder = fresh_path(spark, "staged")
+    low, high = chunks.agg(F.min("ts"), F.max("ts")).first()
+    shares = [i / slices for i in range(1, slices)]
+    inner = chunks.agg(F.percentile_approx("ts", shares)).first()[0] or []
+    edges = sorted({t for t in (low, *inner) if t is not None})
+    for begin, end in zip(edges, [*edges[1:], None]):
+        part = chunks.where(F.col("ts") >= F.lit(begin))
+        (part if end is None else part.where(F.col("ts") < F.lit(end))).write.mode("append").parquet(folder)
+    mark = [F.lit(END_OF_TIME).cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType) for f in chunks.schema]
+    spark.range(1, numPartitions=1).select(*(c.alias(f.name) for c, f in zip(mark, chunks.schema))).write.mode("append").parquet(folder)
+    stream = read_chunks(spark, folder, "*.parquet", chunks.schema, max(1, chunks.rdd.getNumPartitions()))
+    longest = max((b - a).total_seconds() for a, b in zip(edges, [*edges[1:], high])) if edges else 0
+    return stream, f"{int(longest) + 1} seconds"
+
+
+def session_transcripts(ingested: DataFrame, gap: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Each session's whole transcript once, when no chunk came for ``gap``; its state is dropped then."""
+    paused = ingested.withWatermark("ts", delay).groupBy("session_id", F.session_window("ts", gap).alias("w"))
+    return paused.agg(*B.transcript_columns()).drop("w")
+
+
+def chunk_windows(chunks: DataFrame, seconds: int = B.CHUNK_SECONDS, delay: str = "10 minutes") -> DataFrame:
     """Closed windows; rows later than ``delay`` are dropped and counted in the query's progress."""
     return B.chunk_windows(chunks.withWatermark("ts", delay), seconds)
 
 
-def idle_sessions(chunks: DataFrame, gap: str, delay: str = "0 seconds") -> DataFrame:
+def idle_sessions(chunks: DataFrame, gap: str, delay: str = "10 minutes") -> DataFrame:
     """Sessions closed by a pause, each given once."""
     return B.idle_sessions(chunks.withWatermark("ts", delay), gap)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run an appending stream over all data at hand into files of the shared folder and read them."""
+    """Run an appending stream over all data at hand into files of the shared folder and read them.
+
+    What belongs to the end mark, rows without a session, is left out here: a filter
+    on the stream would be moved below the watermark and take the mark away.
+    """
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # state beyond the heap
     out = fresh_path(spark, label)
     query = (
         stream.writeStream.outputMode("append")
@@ -90,7 +129,8 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         .start(out)
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.schema(stream.schema).parquet(out)
+    return rows.where(F.col("session_id").isNotNull()) if "session_id" in rows.columns else rows
 
 
 def drain_latest(stream: DataFrame, key: str, label: str) -> DataFrame:

@@ -48,23 +48,35 @@ def best(span, terms, code, threshold):
     return top[2] if top[0] >= threshold and top[2] != span else None
 
 
+def chosen(runs):
+    """Of runs (start, end, ..): the longest first, then the leftmost, as long as all their places are free."""
+    free, kept = set(range(max((r[1] for r in runs), default=0))), []
+    for run in sorted(runs, key=lambda r: (r[0] - r[1], r[0])):
+        if free.issuperset(range(run[0], run[1])):
+            free.difference_update(range(run[0], run[1]))
+            kept.append(run)
+    return kept
+
+
+def rewritten(words, kept):
+    """The words with each kept run (start, end, term) replaced by its term."""
+    by_start = {start: (end, term) for start, end, term in kept}
+    out, place = [], 0
+    while place < len(words):
+        place, word = by_start.get(place, (place + 1, words[place]))
+        out.append(word)
+    return " ".join(out)
+
+
 def correct(text, choose, common):
-    """Longest runs first, then leftmost; ``choose`` gives a run's replacement or None."""
+    """All runs of one to four words whose term ``choose`` names, chosen and rewritten."""
     words = text.split()
-    taken, out = [False] * len(words), list(words)
-    applied = 0
-    for size in (4, 3, 2, 1):
-        for start in range(len(words) - size + 1):
-            if any(taken[start : start + size]):
-                continue
-            clean = re.sub("[^a-zA-Z ]", "", " ".join(words[start : start + size])).strip()
-            parts = clean.lower().split()
-            if len(clean.replace(" ", "")) < 6 or sum(p not in common for p in parts) / len(parts) < 0.5:
-                continue
-            term = choose(clean.lower())
-            if term is None:
-                continue
-            out[start : start + size] = [term] + [""] * (size - 1)
-            taken[start : start + size] = [True] * size
-            applied += 1
-    return " ".join(w for w in out if w), applied
+    runs = []
+    for start in range(len(words)):
+        for end in range(start + 1, min(start + 4, len(words)) + 1):
+            form = re.sub("[^a-zA-Z ]", "", " ".join(words[start:end])).strip().lower()
+            rare = [w for w in form.split() if w not in common]
+            if len(form.replace(" ", "")) >= 6 and 2 * len(rare) >= len(form.split()) and (term := choose(form)):
+                runs.append((start, end, term))
+    kept = chosen(runs)
+    return rewritten(words, kept), len(kept)

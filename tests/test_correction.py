@@ -152,6 +152,27 @@ def test_select_spans_is_greedy_and_disjoint(spark):
         assert got[i] == kept
 
 
+def test_choice_and_rewrite_of_whole_documents(spark):
+    """The registered queries over the smallest tables, beside brute force."""
+    from earshot.plans import catalog
+    from earshot.plans import queries_correction as Q
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in Q.heard(spark, sf_dir).collect()}
+    picked = {}
+    for r in catalog.QUERIES["select_spans"](spark, sf_dir).collect():
+        picked.setdefault(r["doc_id"], set()).add((r["start"], r["end"], r["candidate"]))
+    written = {r["doc_id"]: r["text"] for r in catalog.QUERIES["apply_corrections"](spark, sf_dir).collect()}
+    assert set(written) == set(texts) and picked
+    for doc_id, text in texts.items():
+        words = text.split()
+        hits = [(s, e, " ".join(words[s:e]).upper()) for s in range(len(words)) for e in range(s + 1, min(s + 4, len(words)) + 1)
+                if " ".join(words[s:e]).lower().startswith(tuple(Q._HIT_STEMS))]
+        kept = brute.chosen(hits)
+        assert picked.get(doc_id, set()) == set(kept)
+        assert written[doc_id] == brute.rewritten(words, kept)
+
+
 @pytest.mark.parametrize("gated", [False, True])
 def test_correction_equals_brute_force(spark, index, gated):
     rng = random.Random(17)

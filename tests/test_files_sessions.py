@@ -21,7 +21,9 @@ def test_read_csv_and_json(spark, tmp_path):
     )
     row = files.read_predictions(spark, str(tmp_path / "p.csv")).first()
     assert row["reference_text"] == 'a, "b"' and row["predicted_text"] is None
-    (tmp_path / "p.json").write_text('{"sample_id": "s1", "condition": "clean"}\n')
+    (tmp_path / "p.json").write_text(
+        '{"sample_id": "s1", "condition": "clean", "reference_text": "a", "predicted_text": "b", "baseline_name": "x"}\n'
+    )
     assert files.read_predictions(spark, str(tmp_path / "p.json")).first()["sample_id"] == "s1"
     with pytest.raises(ValueError, match="unsupported"):
         files.read_predictions(spark, str(tmp_path / "p.txt"))
@@ -33,10 +35,20 @@ def test_validation(spark, tmp_path):
     (tmp_path / "p.csv").write_text("sample_id,condition\ns1,clean\n")
     with pytest.raises(ValueError, match="reference_text"):
         files.read_predictions(spark, str(tmp_path / "p.csv"))
+    (tmp_path / "p.json").write_text('{"sample_id": "s1", "condition": "c", "reference_txt": "a", "predicted_text": "b", "baseline_name": "x"}\n')
+    with pytest.raises(ValueError, match="reference_text"):
+        files.read_predictions(spark, str(tmp_path / "p.json"))
     with pytest.raises(ValueError, match="no rows"):
         files.require_rows(spark.createDataFrame([], "a int"))
 
 
+def test_texts_with_line_ends_come_back(spark, tmp_path):
+    rows = [("s1", "clean", 'two\nlines, "quoted"', "", "x"), ("s2", "noisy", "one", " b ", "x")]
+    files.write_rows(spark.createDataFrame(rows, schemas.PREDICTIONS), str(tmp_path / "rows.csv"))
+    got = files.read_predictions(spark, str(tmp_path / "rows.csv")).collect()
+    assert sorted((r["sample_id"], r["reference_text"]) for r in got) == [("s1", rows[0][2]), ("s2", "one")]
+
+
 def test_truth_and_samples(spark, tmp_path):
     (tmp_path / "t.json").write_text(
         '{"a": {"reference_transcript": "x", "entities": {"dosages": ["5 mg"]}, "intent": "follow_up", "risk_flag": true},\n'
@@ -107,6 +119,8 @@ def test_ingest_fills_in(spark):
     got = T.ingest(rows).collect()
     assert all(len(r["session_id"]) == 36 for r in got)
     assert got[0]["chunk_index"] == 0 and got[0]["normalized_text"] == ""
+    again = T.ingest(rows.repartition(3)).collect()
+    assert {r["session_id"] for r in again} == {r["session_id"] for r in got} and len({r["session_id"] for r in got}) == 2
 
 
 def test_running_and_whole(chunks):
@@ -168,13 +182,15 @@ def test_stream_whole_equals_batch(spark, folder, chunks):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_stream_windows_equal_batch_where_closed(spark, folder, chunks):
-    closed = lambda df: {(r["session_id"], r["w"]["start"], r["text"]) for r in df.collect()}
-    last = chunks.agg(F.max("ts")).first()[0]
-    want = closed(T.chunk_windows(chunks).where(F.col("w.end") <= F.lit(last)))
-    assert closed(live.drain(live.chunk_windows(stream(spark, folder)), "t-windows")) == want
-    idle = closed(T.idle_sessions(chunks, "1 minute").where(F.col("w.end") <= F.lit(last)))
-    assert closed(live.drain(live.idle_sessions(stream(spark, folder), "1 minute"), "t-idle")) == idle
+def test_staged_streams_give_all_that_batches_give(spark, chunks):
+    rows = lambda df: {(r["session_id"], r["w"]["start"], r["text"]) for r in df.collect()}
+    windows, delay = live.staged(chunks, 3)
+    assert rows(live.drain(live.chunk_windows(windows, delay=delay), "t-windows")) == rows(T.chunk_windows(chunks))
+    idle, delay = live.staged(chunks, 3)
+    assert rows(live.drain(live.idle_sessions(idle, "1 minute", delay), "t-idle")) == rows(T.idle_sessions(chunks, "1 minute"))
+    whole, delay = live.staged(T.ingest(chunks).select("session_id", "chunk_index", "ts", "normalized_text"), 3)
+    want = {tuple(r) for r in T.session_transcripts(T.ingest(chunks)).collect()}
+    assert {tuple(r) for r in live.drain(live.session_transcripts(whole, delay=delay), "t-whole").collect()} == want
 
 
 def test_signal(spark):

@@ -130,3 +130,13 @@ def test_parse_errors(spark, text):
 )
 def test_risk(spark, text, level):
     assert one(spark, text, lambda c: records.risk_level(F.try_parse_json(c))) == level
+
+
+def test_repeated_keys_keep_the_last_value(spark):
+    from earshot.functions.records import safe_parse
+
+    rows = ['{"summary": "a", "summary": "b", "symptoms": "p, q"}', '{"summary": "a", "summary": ', '{"a": {"b": 1, "b": 2}} x']
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select(safe_parse(F.col("t"), F.lit("patient")).alias("r"))
+    got = [r["r"] for r in df.collect()]
+    assert got[0]["summary"] == "b" and got[0]["symptoms"] == ["p", "q"] and not got[0]["parse_error"]
+    assert got[1]["parse_error"] and got[2]["parse_error"]
