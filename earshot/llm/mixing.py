@@ -1,7 +1,10 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations.
 
 A table of labelled documents teaches which words speak for which domain;
-every document then gets posteriors for all domains instead of one. The mixture
+every document then gets posteriors for all domains instead of one. Evidence of
+words is not independent, so posteriors are calibrated: one half of the labelled
+documents teaches the words, the other half counts how often each domain is behind
+evidence of a kind (for which domain, how strong, or none). The mixture
 is the nonnegative rate per document for which the expected tokens
 of each domain, sum of tokens x posterior x rate, come closest to the targets:
 
@@ -12,12 +15,13 @@ by projected gradient. Each step is one aggregate of as many sums as there are
 domains; the rates themselves never leave the executors.
 
 The classifier is fitted on at most ``MAX_LABELLED`` labelled documents, those
-with the smallest hash of their id. Evidence is kept for a bounded number of
-word buckets (``BUCKETS``), so the table that is broadcast has a proven bound.
+with the smallest hash of their id. Evidence is kept for a bounded number of features
+(words and their beginnings; ``MAX_FEATURES``), so the table that goes to all
+tasks has a proven bound.
 Tokens are words between blanks.
 
 Rows that share a ``doc_id`` (null ids among them) are one document whose
-tokens add up. Null and empty texts have no tokens and no evidence: prior
+tokens add up and whose posteriors are averaged. Null and empty texts have no tokens and no evidence: prior
 posteriors, and their rate moves with those. Labels without a document, null
 labels and a label table without rows are allowed; without labels there is one
 prior for all. Without tokens at all every rate is 1. Only ``doc_id`` and
@@ -26,23 +30,26 @@ prior for all. Without tokens at all every rate is 1. Only ``doc_id`` and
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.functions.text import let
 from earshot.llm.common import whole_rows
 from earshot.session import via_table
 
 # Domains of the labelled table and the share of tokens each is to have.
 TARGETS = {"good": 0.95, "low": 0.03, "toxic": 0.02}
 MAX_LABELLED = 20_000
-BUCKETS = 1 << 15
-# Documents of a domain that must show a bucket, and log odds from which it is evidence.
-MIN_SHOWING = 4
+MAX_FEATURES = 4096
+# Slots of the table that tasks look features up in; the strongest feature of a slot stays.
+SLOTS = 1 << 15
+PREFIXES = (4, 6)
+# Log odds from which a feature is evidence, and their least product with the root of the documents that show it:
+# rare words differ between domains by chance, and by copies of one text.
 MIN_LOG_ODDS = 2.0
-# Largest log odds that all evidence for one domain adds up to.
-MAX_EVIDENCE = 8.0
+MIN_STRENGTH = 20.0
+# Sums of evidence that part its strength for calibration.
+STRENGTHS = (3.0, 6.0, 12.0)
 RIDGE = 0.002
 STEPS = 40
 TOLERANCE = 1e-4
@@ -55,24 +62,28 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """``label_id, domain`` of at most ``limit`` labelled documents."""
+    """``label_id, domain, half`` of at most ``limit`` labelled documents."""
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     told = one.select(F.col("doc_id").alias("label_id"), domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    return told.filter("domain IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(limit)
+    half = F.pmod(F.xxhash64("label_id", F.lit(2)), F.lit(2)).cast("int")
+    return told.filter("domain IS NOT NULL").orderBy(F.xxhash64("label_id"), "label_id").limit(limit).withColumn("half", half)
 
 
 def words_of(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def buckets_of(words: Column) -> Column:
-    """Buckets of whole words and of the beginnings of longer ones; empty words have none."""
-    def bucket(kind: int, word: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(kind), word), F.lit(BUCKETS)).cast("int")
+def features_of(words: Column) -> Column:
+    """Hashes of whole words and of the beginnings of longer ones; empty words have none."""
+    def real(w: Column) -> Column:
+        return F.filter(w, lambda x: x != "")
+
+    def hashed(w: Column) -> Column:
+        starts = [F.transform(F.filter(w, lambda x: F.char_length(x) > n), lambda x: F.xxhash64(F.lit(n), F.substring(x, 1, n)))
+                  for n in PREFIXES]
+        return F.concat(F.transform(w, lambda x: F.xxhash64(F.lit(0), x)), *starts)
 
-    real = F.filter(words, lambda w: w != "")
-    return F.concat(F.transform(real, lambda w: bucket(0, w)),
-                    F.transform(F.filter(real, lambda w: F.char_length(w) > 5), lambda w: bucket(1, F.substring(w, 1, 5))))
+    return let(real(words), hashed)
 
 
 def n_words(text: Column) -> Column:
@@ -80,52 +91,103 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(words, "")).cast("long")
 
 
-def priors(sample: DataFrame, domains: list[str]) -> dict[str, tuple[int, float]]:
-    """Labelled documents and smoothed prior of each domain."""
+def counts_of(sample: DataFrame, domains: list[str]) -> dict[str, int]:
+    """Labelled documents of each domain."""
     n = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    total = sum(n.get(d, 0) for d in domains)
-    return {d: (n.get(d, 0), (n.get(d, 0) + 1) / (total + len(domains))) for d in domains}
+    return {d: n.get(d, 0) for d in domains}
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(
+        "domain", "text")
+
+
+def evidence(docs: DataFrame, sample: DataFrame, known: dict[str, int]) -> DataFrame:
+    """``feature`` and one column of log odds per domain, for the strongest features that tell domains apart."""
+    words = F.explode(F.array_distinct(features_of(words_of(F.col("text"))))).alias("feature")
+    seen = labelled_texts(docs, sample).select("domain", words)
+    shown = seen.groupBy("feature").agg(*(F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(known)))
+    total = sum(known.values())
+    all_ = sum((F.col(f"n_{i}") for i in range(len(known))), F.lit(0))
+
+    def log_odds(i: int, d: str) -> Column:
+        n, mine = known[d], F.col(f"n_{i}")
+        odds = F.log(((mine + 0.5) / (n + 1.0)) / ((all_ - mine + 0.5) / (total - n + 1.0)))
+        return F.when((F.abs(odds) >= MIN_LOG_ODDS) & (F.abs(odds) * F.sqrt(all_) >= MIN_STRENGTH), odds).otherwise(0.0)
+
+    odds = shown.select("feature", all_.alias("n"), *(log_odds(i, d).alias(f"w_{i}") for i, d in enumerate(known)))
+    strength = sum((F.abs(f"w_{i}") for i in range(len(known))), F.lit(0.0)) * F.sqrt("n")
+    return odds.filter(strength > 0).orderBy(F.desc(strength), "feature").limit(MAX_FEATURES)
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A constant array; the optimizer folds it into one object, so it costs an access by place."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def evidence(docs: DataFrame, sample: DataFrame, known: dict[str, tuple[int, float]]) -> DataFrame:
-    """``bucket`` and one column of log odds per domain, for the buckets that tell domains apart."""
-    words = F.explode(F.array_distinct(buckets_of(words_of(F.col("text"))))).alias("bucket")
-    seen = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select(
-        "domain", words)
-    shown = seen.groupBy("bucket").pivot("domain", list(known)).count().na.fill(0)
-    total = sum(n for n, _ in known.values())
+def told_by(text: Column, odds: DataFrame, k: int) -> Column:
+    """The evidence of a text for each domain, as an array. A feature speaks once, however often it is repeated.
 
-    def log_odds(d: str) -> Column:
-        n = known[d][0]
-        rest = sum((F.col(x) for x in known if x != d), F.lit(0))
-        odds = F.log(((F.col(d) + 0.5) / (n + 1.0)) / ((rest + 0.5) / (total - n + 1.0)))
-        return F.when((F.abs(odds) >= MIN_LOG_ODDS) & (F.greatest(F.col(d), rest) >= MIN_SHOWING), odds).otherwise(0.0)
+    The features, at most ``MAX_FEATURES``, are laid out in slots by hash, so
+    evidence is looked up and added up inside the row: no row per word, no join.
+    """
+    rows = odds.collect()  # at most MAX_FEATURES rows, the strongest first
+    if not rows:
+        return F.array_repeat(F.lit(0.0), k)
+    slots: dict[int, tuple] = {}
+    for r in rows:
+        slots.setdefault(r["feature"] % SLOTS, (r["feature"], *(r[f"w_{i}"] for i in range(k))))
+    none = tuple([0] * (k + 1))
+    # An empty slot holds a feature that belongs into another slot, which no feature equals there.
+    keys = _constant([slots[b][0] if b in slots else (b + 1) % SLOTS for b in range(SLOTS)], "bigint")
+    weights = [_constant([slots.get(b, none)[i + 1] for b in range(SLOTS)], "double") for i in range(k)]
 
-    odds = shown.select("bucket", *(log_odds(d).alias(f"w_{i}") for i, d in enumerate(known)))
-    useful = " OR ".join(f"w_{i} <> 0" for i in range(len(known)))
-    return via_table(odds.filter(useful), "evidence")
+    def slot(feature: Column) -> Column:
+        return F.pmod(feature, F.lit(SLOTS)).cast("int")
+
+    def total(hits: Column, weight: Column) -> Column:
+        return F.aggregate(hits, F.lit(0.0), lambda n, x: n + F.get(weight, slot(x)))
+
+    def sums(hits: Column) -> Column:
+        return F.array(*(total(hits, w) for w in weights))
+
+    return let(F.array_distinct(F.filter(features_of(words_of(text)), lambda x: F.get(keys, slot(x)) == x)), sums)
+
+
+def kind_of(told: Column) -> Column:
+    """The kind of evidence: 0 if none speaks for a domain, else the domain it speaks for most and how strongly."""
+    def kind(e: Column) -> Column:
+        most = F.array_max(e)
+        level = sum(((most >= s).cast("int") for s in STRENGTHS), F.lit(0))
+        return F.when(most > 0, 1 + (F.array_position(e, most).cast("int") - 1) * (len(STRENGTHS) + 1) + level).otherwise(F.lit(0))
+
+    return let(told, kind)
+
+
+def posteriors(labelled: DataFrame, domains: list[str]) -> list[list[float]]:
+    """For each kind of evidence, the share of every domain behind it (``domain, kind``), smoothed by the shares over all."""
+    k = len(domains)
+    kinds = 1 + k * (len(STRENGTHS) + 1)
+    n = {(r["kind"], r["domain"]): r["n"] for r in labelled.groupBy("kind", "domain").agg(F.count("*").alias("n")).collect()}
+    whole = [1 + sum(n.get((j, d), 0) for j in range(kinds)) for d in domains]
+    prior = [x / sum(whole) for x in whole]
+    out = []
+    for j in range(kinds):
+        mine = [n.get((j, d), 0) + p for d, p in zip(domains, prior)]
+        out.append([x / sum(mine) for x in mine])
+    return out
 
 
 def memberships(docs: DataFrame, labels: DataFrame, domains: list[str]) -> DataFrame:
     """``doc_id, n_tokens`` and ``p_0 ..``: the posteriors in the order of ``domains``."""
     sample = via_table(labelled_sample(labels), "labelled")
-    known = priors(sample, domains)
-    weights = evidence(docs, sample, known)
-    texts = docs.select("doc_id", "text")
-    spread = texts.select("doc_id", F.explode(buckets_of(words_of(F.col("text")))).alias("bucket"))
-    k = len(domains)
-    sums = spread.join(F.broadcast(weights), "bucket").groupBy("doc_id").agg(
-        *(F.sum(f"w_{i}").alias(f"e_{i}") for i in range(k)))
-    sizes = texts.groupBy("doc_id").agg(F.sum(n_words(F.col("text"))).alias("n_tokens"))
-    joined = sizes.join(sums.withColumnRenamed("doc_id", "sum_id"), F.col("doc_id").eqNullSafe(F.col("sum_id")), "left")
-
-    def score(i: int, d: str) -> Column:
-        told = F.coalesce(F.col(f"e_{i}"), F.lit(0.0))
-        return F.exp(F.lit(math.log(known[d][1])) + F.least(F.greatest(told, F.lit(-MAX_EVIDENCE)), F.lit(MAX_EVIDENCE)))
-
-    raised = joined.select("doc_id", "n_tokens", *(score(i, d).alias(f"s_{i}") for i, d in enumerate(domains)))
-    whole = sum((F.col(f"s_{i}") for i in range(k)), F.lit(0.0))
-    return raised.select("doc_id", "n_tokens", *((F.col(f"s_{i}") / whole).alias(f"p_{i}") for i in range(k)))
+    teach, test = (sample.filter(F.col("half") == h) for h in (0, 1))
+    kind = kind_of(told_by(F.col("text"), evidence(docs, teach, counts_of(teach, domains)), len(domains)))
+    table = posteriors(labelled_texts(docs, test).select("domain", kind.alias("kind")), domains)
+    rows = docs.select("doc_id", n_words(F.col("text")).alias("n"), kind.alias("kind"))
+    shares = (F.get(F.array(*(F.lit(float(p[i])) for p in table)), F.col("kind")) for i in range(len(domains)))
+    return rows.select("doc_id", "n", *(p.alias(f"p_{i}") for i, p in enumerate(shares))).groupBy("doc_id").agg(
+        F.sum("n").alias("n_tokens"), *(F.avg(f"p_{i}").alias(f"p_{i}") for i in range(len(domains))))
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:

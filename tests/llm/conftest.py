@@ -1,15 +1,5 @@
 import pytest
-from pyspark.sql import types as T
-
-from llm.cases import ODD, row
-
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("lang", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("n_chars", T.LongType()),
-])
+from llm.cases import ODD, SCHEMA, row
 
 # Names the operators use inside; a table may well have columns called the same.
 CLASHING = ["row", "words", "kept", "fp", "label", "bucket", "rank", "block", "__id", "n", "verdict", "rate", "shard"]

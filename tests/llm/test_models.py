@@ -142,15 +142,18 @@ def test_rates_equal_projected_gradient(spark):
     assert (tokens * got) @ p / tokens.sum() == pytest.approx(targets, abs=0.02)
 
 
+N = 800
+
+
 def test_mixture(make, spark, odd_clashing, empty):
     rng = random.Random(5)
     kinds = {"good": "", "low": " lorem fillerword", "toxic": " vileword"}
-    rows = [(i, speak("en", rng, 40) + kinds[k], "en", "s") for i in range(300) for k in [("good", "good", "low", "toxic")[i % 4]]]
-    labels = spark.createDataFrame([(i, int(i % 4 != 2), int(i % 4 == 3)) for i in range(0, 300, 2)] + [(1, 1, 0), (3, 1, 1), (7, 1, 1), (11, 1, 1), (15, 1, 1), (9999, 1, 0), (5, None, None)],
+    rows = [(i, speak("en", rng, 20) + kinds[k], "en", "s") for i in range(N) for k in [("good", "good", "low", "toxic")[i % 4]]]
+    labels = spark.createDataFrame([(i, int(i % 4 != 2), int(i % 4 == 3)) for i in range(N) if i % 3] + [(9999, 1, 0), (3, None, None)],
                                    "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in mixing.mix_rates(make(rows), labels).collect()}
-    assert len(got) == 300 and all(r.p_good + r.p_low + r.p_toxic == pytest.approx(1) and r.rate >= 0 for r in got.values())
-    assert np.mean([got[i].rate for i in range(300) if i % 4 == 3]) < 0.3 < 1 < np.mean([got[i].rate for i in range(300) if i % 4 < 2])
+    assert len(got) == N and all(r.p_good + r.p_low + r.p_toxic == pytest.approx(1) and r.rate >= 0 for r in got.values())
+    assert np.mean([got[i].rate for i in range(N) if i % 4 == 3]) < 0.3 < 1 < np.mean([got[i].rate for i in range(N) if i % 4 < 2])
     total = sum(r.n_tokens for r in got.values())
     for name, share in mixing.TARGETS.items():
         assert sum(r.n_tokens * r[f"p_{name}"] * r.rate for r in got.values()) / total == pytest.approx(share, abs=0.02)
@@ -163,4 +166,4 @@ def test_mixture(make, spark, odd_clashing, empty):
     assert set(one) == {d for d, *_ in ODD}
     assert {r.rate for r in mixing.mix_rates(make([(1, None), (2, "")]), labels).collect()} == {1.0}
     assert mixing.mix_rates(empty, labels).count() == 0 and mixing.mixed_documents(empty, labels).count() == 0
-    assert mixing.mix_rates(make(rows), labels.limit(0)).count() == 300
+    assert mixing.mix_rates(make(rows), labels.limit(0)).count() == N
