@@ -46,31 +46,35 @@ def proposals(
     return accepted.select(F.col("span").alias("form"), proposal.alias("proposal"))
 
 
-def corrections_of(
-    df: DataFrame,
-    index: DataFrame,
-    key: str,
-    text: str,
-    gate: G.Coefficients | PipelineModel | None = G.DEFAULT,
-    threshold: float = V.THRESHOLD,
-) -> DataFrame:
-    """The chosen corrections of each text that has any: (key, chosen).
+def _hits_of(df: DataFrame, index: DataFrame, key: str, text: str, gate: G.Coefficients | PipelineModel | None,
+             threshold: float, gate_threshold: float = G.THRESHOLD) -> DataFrame:
+    """The accepted spans of each text that has any: (key, _hits).
 
     Spans are looked up once per distinct form. The accepted forms then meet
     all spans: broadcast when a count permits, else salted, as a frequent form
     is a hot key. What is grouped per text are its accepted spans only.
     """
     reached = P.candidate_spans(df, key, text, reach=V.reach(index, threshold))
-    accepted, small = written_lookup(proposals(reached, index, gate, threshold))
+    accepted, small = written_lookup(proposals(reached, index, gate, threshold, gate_threshold))
     if small:
         # Probing a broadcast table costs less than the reach test, and keeps the same rows.
         hits = P.candidate_spans(df, key, text).join(F.broadcast(accepted), "form")
     else:
         hits = salted_join(reached, accepted, "form", [key, "start", "end"])
-    hit = F.struct("start", "end", "proposal")
-    return hits.groupBy(key).agg(F.collect_list(hit).alias("_hits")).select(
-        key, P.select_spans(F.col("_hits")).alias("_chosen")
-    )
+    return hits.groupBy(key).agg(F.collect_list(F.struct("start", "end", "proposal")).alias("_hits"))
+
+
+def corrections_of(
+    df: DataFrame,
+    index: DataFrame,
+    key: str,
+    text: str,
+    gate: G.Coefficients | PipelineModel | None = G.DEFAULT,
+    threshold: float = V.THRESHOLD,
+) -> DataFrame:
+    """The chosen corrections of each text that has any: (key, chosen)."""
+    hits = _hits_of(df, index, key, text, gate, threshold)
+    return hits.select(key, P.select_spans(F.col("_hits")).alias("_chosen"))
 
 
 def _records(words: Column, chosen: Column, kind: str) -> Column:
@@ -131,6 +135,35 @@ def correct(
     return done.withColumn("digits_lost", lost).drop("_chosen")
 
 
+def correct_both(df: DataFrame, index: DataFrame, key: str, text: str,
+                 gate: G.Coefficients | PipelineModel = G.DEFAULT, threshold: float = V.THRESHOLD) -> DataFrame:
+    """Add ``ungated_text, ungated_corrections, gated_text, gated_corrections`` from one search.
+
+    The two forms differ only in which accepted spans may be chosen, so forms are ranked and judged once,
+    with a gate that keeps all, and spans are chosen twice from the same hits.
+    """
+    hits = _hits_of(df, index, key, text, gate, threshold, gate_threshold=0.0)
+    passed = F.filter("_hits", lambda h: h["proposal"]["gate_probability"] >= G.THRESHOLD)
+    chosen = hits.select(key, P.select_spans(F.col("_hits")).alias("_all"),
+                         F.when(F.size(passed) > 0, P.select_spans(passed)).alias("_passed"))
+    words, empty = tokens(F.col(text)), F.array().cast(T.ArrayType(CORRECTION))
+    joined = df.join(chosen, key, "left")
+
+    def written(spans: str, kind: str, judged: bool) -> tuple[Column, Column]:
+        edits = F.transform(spans, lambda c: F.struct(
+            c["start"].alias("start"), c["end"].alias("end"), c["proposal"]["candidate"].alias("candidate")))
+        records = F.when(F.col(spans).isNotNull(), _records(words, F.col(spans), kind)).otherwise(empty)
+        if not judged:  # an ungated correction carries no probability
+            records = F.transform(records, lambda r: r.withField("gate_probability", F.lit(None).cast("double")))
+        return P.apply_corrections(words, edits), records.cast(T.ArrayType(CORRECTION))
+
+    ungated, gated = written("_all", UNGATED, False), written("_passed", GATED, True)
+    return joined.withColumns({
+        "ungated_text": ungated[0], "ungated_corrections": ungated[1],
+        "gated_text": gated[0], "gated_corrections": gated[1],
+    }).drop("_all", "_passed")
+
+
 # The short list of the word-by-word corrector and its acceptance.
 WORD_LIST = [
     "metformin", "lisinopril", "hydroxyzine", "atorvastatin", "insulin", "amlodipine", "omeprazole",

@@ -9,16 +9,19 @@ from earshot.functions import entities as E
 from earshot.functions import similarity as X
 from earshot.functions.text import normalize, tokens
 from earshot.operators import correction as K
+from earshot.operators import evaluation as N
 from earshot.operators import gate as G
 from earshot.operators import reports as R
 from earshot.operators import retrieval as V
 from earshot.operators import scoring as S
 from earshot.operators import spans as P
 from earshot.plans import corpus as C
-from earshot.plans.queries_metrics import sql_strings, sql_words
+from earshot.plans.queries_metrics import sql_strings, sql_words, with_targets
 from earshot.plans.queries_text import sql_normalize
 from earshot.plans.registry import query
+from earshot.schemas import GATE_TRAINING
 from earshot.session import fresh_path, via_table
+from earshot.sources import files
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
@@ -411,18 +414,72 @@ def q_baseline_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def four_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw, normalised, retrieval-corrected and gate-corrected text of every transcript."""
-    docs, terms = heard(spark, sf_dir), via_table(index(spark), "index")
-    ungated = K.correct(docs, terms, "doc_id", "text", None).select("doc_id", "text", F.col("corrected_text").alias("ungated"))
-    gated = K.correct(docs, terms, "doc_id", "text", G.DEFAULT).select("doc_id", F.col("corrected_text").alias("gated"))
-    texts = {
-        "baseline_0_raw": F.col("text"),
-        "baseline_1_normalized": normalize(F.col("text")),
-        "baseline_2_retrieval": F.col("ungated"),
-        "baseline_3_gated_retrieval": F.col("gated"),
-    }
-    return S.variants(ungated.join(gated, "doc_id"), texts).select("doc_id", "baseline", "hypothesis")
+    terms = via_table(index(spark), "index")
+    rows = N.baselines(heard(spark, sf_dir), terms, "doc_id", "text")
+    return rows.select("doc_id", "baseline", F.col("predicted_text").alias("hypothesis"))
 
 
 @query("baseline_variants_corrected")
 def q_four_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four_baselines(spark, sf_dir)
+
+
+# The engine's own baselines, scored: samples are the misheard transcripts, their truth the transcripts before.
+def vocabulary_index(spark: SparkSession) -> DataFrame:
+    """The stored index of a vocabulary file."""
+    path = fresh_path(spark, "terms")
+    vocabulary(spark).select(F.col("term").alias("value")).write.text(path)
+    files.write_index(V.build_index(files.read_vocabulary(spark, path)), path + "-index")
+    return files.read_index(spark, path + "-index")
+
+
+def scored_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = C.transcripts(spark, sf_dir).select("doc_id", F.col("text").alias("reference_text"))
+    truth = told.select(F.col("doc_id").alias("sample_id"), F.col("reference_text").alias("reference_transcript"))
+    targets = with_targets(told).select(
+        F.col("doc_id").alias("target_id"), "target_keywords", "target_numerics", "target_negations")
+    samples = heard(spark, sf_dir).withColumnRenamed("doc_id", "sample_id").join(
+        targets, F.col("sample_id") == F.col("target_id")).drop("target_id")
+    return N.evaluate_baselines(samples, truth, vocabulary_index(spark))
+
+
+@query("evaluated_records")
+def q_evaluated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested record of every sample, written as JSON and read back, in flat rows."""
+    records = N.nested_records(scored_baselines(spark, sf_dir))
+    path = fresh_path(spark, "evaluated")
+    files.write_records(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    rows = F.array(*(F.struct(F.lit(b).alias("baseline"), F.col(b).alias("r")) for b in N.BASELINES))
+    return back.select("sample_id", F.inline(rows)).select(
+        "sample_id", "baseline", "r.hypothesis", *(F.round(f"r.{m}", 6).alias(m) for m in S.SCORES),
+        F.size("r.corrections").alias("corrections"))
+
+
+@query("evaluated_ablation")
+def q_evaluated_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.ablation(scored_baselines(spark, sf_dir))
+
+
+@query("evaluated_improvement")
+def q_evaluated_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.improvement(scored_baselines(spark, sf_dir), "sample_id", "baseline", N.BASELINES[0], N.BASELINES[3])
+
+
+@query("evaluated_wer_series")
+def q_evaluated_wer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.wer_series(scored_baselines(spark, sf_dir), "sample_id", "baseline", list(N.BASELINES))
+
+
+@query("gate_from_csv")
+def q_gate_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate fitted on a file of training rows and applied to all feature rows."""
+    path = fresh_path(spark, "training")
+    rows = feature_rows(spark, sf_dir)
+    written = rows.select(
+        F.concat(F.lit("span "), "vec_id").alias("span"), F.lit("term").alias("candidate"),
+        *(F.col(n).cast(GATE_TRAINING[n].dataType) for n in G.FEATURE_NAMES), "should_correct")
+    files.write_rows(written, path)
+    model = G.fit_logistic(files.read_gate_training(spark, path))
+    scored = G.predict_proba(model, rows.withColumn("features", F.struct(*G.FEATURE_NAMES)))
+    return scored.select("vec_id", "should_correct", F.round("gate_probability", 6).alias("gate_probability"))

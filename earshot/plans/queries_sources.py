@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import entities as E
+from earshot.operators import evaluation as N
 from earshot.operators import reports as R
 from earshot.operators import scoring as S
 from earshot.operators import truth as J
@@ -161,3 +162,26 @@ def q_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("term", F.posexplode("embedding").alias("pos", "value")).withColumn(
         "value", F.round("value", 6)
     )
+
+
+@query(
+    "batch_evaluation",
+    f"""WITH {SCORED} SELECT 'summary' AS sink, baseline_name, condition, NULL AS sample_id, {', '.join(f'round(avg("{m}"), 6) AS {m.lower()}' for m in S.METRICS)}, count(sample_id) AS n
+        FROM scored GROUP BY ALL
+        UNION ALL SELECT 'errors', baseline_name, condition, sample_id, {', '.join(f'round("{m}", 6)' for m in S.METRICS)}, 1
+        FROM scored WHERE "WER" > 0.3 OR "CER" > 0.3""",
+)
+def q_batch_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over a file of predictions: both sinks, read back."""
+    path = fresh_path(spark, "batch")
+    files.write_rows(_prediction_rows(spark, sf_dir), path + ".csv")
+    N.batch_evaluation(spark, path + ".csv", path + "-report", path + "-errors")
+
+    def sink(name: str, n: str) -> DataFrame:
+        rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}-{name}")
+        sample = F.col("sample_id") if name == "errors" else F.lit(None).cast("string")
+        return rows.select(
+            F.lit("summary" if name == "report" else name).alias("sink"), "baseline_name", "condition", sample.alias("sample_id"),
+            *(F.round(F.col(m).cast("double"), 6).alias(m.lower()) for m in S.METRICS), F.expr(n).cast("long").alias("n"))
+
+    return sink("report", "NumSamples").unionByName(sink("errors", "1"))

@@ -14,6 +14,7 @@ from earshot.operators import retrieval as V
 from earshot.operators import spans as P
 
 # Published gate training rows: three scores, word count, stopword, digit, label.
+# The published training rows and scores.
 TRAINING = [
     (0.91, 0.91, 1.0, 1, 0, 0, 1), (0.88, 0.42, 0.93, 3, 0, 0, 1), (0.84, 0.78, 0.88, 1, 0, 0, 1),
     (0.83, 0.55, 0.92, 2, 0, 0, 1), (0.79, 0.31, 0.74, 4, 0, 0, 1), (0.77, 0.44, 0.81, 1, 0, 0, 1),
@@ -215,6 +216,27 @@ def test_correction_equals_brute_force(spark, index, gated):
     assert all(any(ch.isdigit() for c in r["corrections"] for ch in c["original"]) for r in lost)
 
 
+def test_one_search_serves_both_gates(spark, index):
+    from earshot.operators import evaluation as N
+
+    rng = random.Random(3)
+    words = ["patient", "hydroxylzene", "5", "omeprazol.", "keep", "less", "in", "april", "atorvastaten", "torsemid", "rash", "the"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)), ["metformin"], ["5"], []) for i in range(20)] + [(98, "", [], [], []), (99, None, [], [], [])]
+    df = spark.createDataFrame(rows, "sample_id int, text string, target_keywords array<string>, target_numerics array<string>, target_negations array<string>")
+    both = {r["sample_id"]: r for r in K.correct_both(df, index, "sample_id", "text").collect()}
+    for name, gate in (("ungated", None), ("gated", G.DEFAULT)):
+        alone = {r["sample_id"]: r for r in K.correct(df, index, "sample_id", "text", gate).collect()}
+        for i, r in both.items():
+            assert r[f"{name}_text"] == alone[i]["corrected_text"] and r[f"{name}_corrections"] == alone[i]["corrections"]
+    truth = df.select("sample_id", F.lit("patient hydroxyzine 5").alias("reference_transcript")).where("sample_id <> 3")
+    scored = N.evaluate_baselines(df, truth, index)
+    records = {r["sample_id"]: r for r in N.nested_records(scored).collect()}
+    assert set(records) == set(both) - {3}
+    assert records[0]["baseline_0_raw"]["hypothesis"] == rows[0][1] and records[0]["baseline_0_raw"]["corrections"] == []
+    assert records[0]["baseline_2_retrieval"]["hypothesis"] == both[0]["ungated_text"]
+    assert records[98]["baseline_3_gated_retrieval"]["wer"] == 1.0
+
+
 def test_large_lookups_take_the_salted_join(spark, index, monkeypatch):
     df = spark.createDataFrame([(i, "patient hydroxylzene 5 mg omeprazol.") for i in range(20)], "id int, t string")
     small = {(r["id"], r["corrected_text"]) for r in K.correct(df, index, "id", "t").collect()}
