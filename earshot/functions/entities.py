@@ -39,19 +39,11 @@ INTENTS = {
 }
 RISK_SYMPTOM = "shortness of breath"
 
-# The larger vocabularies that ship as files.
+# The larger vocabulary of medications, which ships as a file.
 MEDICATION_VOCABULARY = MEDICATIONS + [
     "warfarin", "clopidogrel", "simvastatin", "rosuvastatin", "cetirizine",
     "montelukast", "furosemide", "spironolactone", "doxycycline", "naproxen",
 ]
-SYMPTOM_VOCABULARY = SYMPTOMS + [
-    "rash", "fatigue", "swelling", "palpitations", "wheezing", "sore throat",
-]
-FREQUENCY_VOCABULARY = [
-    "once daily", "twice daily", "three times daily", "every morning", "every night",
-    "before breakfast", "before dinner", "with meals", "starting tomorrow", "tonight",
-    "every other night", "as needed",
-]
 
 
 def _strings(values: Sequence[str]) -> Column:

@@ -128,7 +128,7 @@ def wer_series(scored: DataFrame, key: str, baseline: str, systems: Sequence[str
 
 
 def redaction_counts(redacted: DataFrame) -> DataFrame:
-    """Number of redactions and of touched texts per label."""
+    """Number of redactions and of log entries per label; two stages share the label SSN."""
     return (
         redacted.select(F.inline_outer("redactions"))
         .where(F.col("type").isNotNull())

@@ -67,6 +67,8 @@ def _broadcast_if_small(df: DataFrame) -> DataFrame:
 def retrieve(spans: DataFrame, index: DataFrame, k: int = TOP_K, min_semantic: float = 0.0) -> DataFrame:
     """The ``k`` nearest terms of each distinct span: (span, term, semantic_score).
 
+    Terms without a common trigram have score 0 and are left out, so a span can have fewer than ``k``.
+
     ``min_semantic`` drops weaker pairs before the ranking. Weaker pairs rank
     below all others, so those that remain keep their places.
     """
@@ -130,7 +132,7 @@ def reach(index: DataFrame, threshold: float = THRESHOLD) -> Reach | None:
     needed.append(min(needed))
     # Trigrams that span two words, where a term has several.
     across = 3 if any(" " in g.strip() or "  " in g for g in grams) else 0
-    return Reach("|".join(grams), tuple(needed), across)
+    return Reach(tuple(grams), tuple(needed), across)
 
 
 def final_score(semantic: Column, fuzzy: Column, phonetic: Column) -> Column:
@@ -166,8 +168,12 @@ def best_candidates(spans: DataFrame, index: DataFrame, threshold: float = THRES
     Pairs that cannot reach the threshold go early: before the ranking those
     whose semantic score is too low even with the other two at 1, after it
     those too unlike in length. Neither can be or displace an accepted best.
+    Letters and sound alone must not reach the threshold: terms that share no
+    trigram with a span are not looked at, so lower ones are refused.
     """
-    floor = max(0.0, (threshold - FUZZY_WEIGHT - PHONETIC_WEIGHT) / SEMANTIC_WEIGHT)
+    if threshold <= FUZZY_WEIGHT + PHONETIC_WEIGHT:
+        raise ValueError(f"the threshold must be above {FUZZY_WEIGHT + PHONETIC_WEIGHT}")
+    floor = (threshold - FUZZY_WEIGHT - PHONETIC_WEIGHT) / SEMANTIC_WEIGHT
     near = retrieve(spans, index, k, floor * (1 - 1e-9))
     a, b = F.length("span"), F.length("term")
     ceiling = final_score(F.col("semantic_score"), 2 * F.least(a, b) / (a + b), F.lit(1.0))

@@ -93,10 +93,10 @@ def word_forms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Reach:
-    """What a vocabulary asks of a span at least: its trigrams as one text, and per span
+    """What a vocabulary asks of a span at least: its trigrams, tested as a set, and per span
     length the least number of them a span must have to be accepted for any term."""
 
-    grams: str
+    grams: tuple[str, ...]
     needed: tuple[int, ...]
     across: int
 
@@ -105,7 +105,7 @@ class Reach:
 
         def hits(padded: Column) -> Column:
             cut = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-            return F.size(F.filter(cut, lambda g: F.contains(F.lit(self.grams), g)))
+            return F.size(F.filter(cut, lambda g: g.isin(list(self.grams))))
 
         padded = F.concat(F.lit(" "), word, F.lit(" "))
         return F.when(word == "", F.lit(0)).otherwise(let(padded, hits))

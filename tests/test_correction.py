@@ -137,6 +137,12 @@ def test_reach_loses_nothing(spark, index):
     assert pick(every) == pick(reached) and len(pick(every)) > 5
 
 
+def test_thresholds_that_letters_alone_can_reach_are_refused(spark, index):
+    spans = spark.createDataFrame([("aabbccddeeff",)], "span string")
+    with pytest.raises(ValueError, match="above"):
+        V.best_candidates(spans, index, threshold=0.3)
+
+
 def test_select_spans_is_greedy_and_disjoint(spark):
     rng = random.Random(11)
     rows = []
