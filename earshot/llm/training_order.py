@@ -23,7 +23,9 @@ ordered by number and content. An empty table gives no rows and no shard. Only
 
 from __future__ import annotations
 
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 from zlib import crc32
@@ -38,11 +40,13 @@ from earshot.llm.common import per_text
 from earshot.session import fresh_path, via_table
 
 SEQUENCE = 256
-END_ID = 0
+END_ID = 0  # also fills up the last sequence, so records end in zero bytes
 SHARD_ROWS = 65_536
 # Small corpora are still written by this many tasks, as long as a shard has some rows.
 MIN_SHARDS, LEAST_ROWS = 64, 1024
 ROUNDS = 6
+# Ids whose documents are numbered in one call.
+_HELD_IDS = 1 << 18
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _SEQUENCES = "doc_id long, piece int, shard int, place long, n_tokens int, ids binary"
 _INDEX = "shard int, row long, doc_id long, piece int, n_tokens int, ids_crc32 long"
@@ -110,23 +114,43 @@ def sequences(docs: DataFrame, layout: Layout) -> DataFrame:
     """Every sequence with its place in the permuted domain and its shard."""
     n = layout.sequence
 
+    def dealt(held: list[tuple], permuted: Feistel) -> Iterator[tuple]:
+        """Sequences of some documents; their places come from one call."""
+        counts = np.array([-(-n_ids // n) for _, _, n_ids in held])
+        first = np.array([layout.number(doc_id) for doc_id, _, _ in held], dtype=np.uint64)
+        piece = np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)
+        place = permuted(np.repeat(first, counts) + piece.astype(np.uint64))
+        where = zip(piece.tolist(), layout.shard(place).tolist(), place.astype(np.int64).tolist())
+        for doc_id, data, n_ids in held:
+            for start in range(0, n_ids, n):
+                i, shard, at = next(where)
+                yield doc_id, i, shard, at, min(n, n_ids - start), data[2 * start:2 * (start + n)].ljust(2 * n, b"\0")
+
     def rows(texts: Iterator[tuple]) -> Iterator[tuple]:
         encoder, permuted = BytePairs.shared(), Feistel(layout.size, layout.key)
+        held: list[tuple] = []
+        size = 0
         for doc_id, text in texts:
-            ids = np.array([*encoder.ids(text or ""), END_ID], dtype="<u2")
-            pieces = -(-len(ids) // n)
-            padded = np.full(pieces * n, END_ID, dtype="<u2")
-            padded[:len(ids)] = ids
-            data = padded.tobytes()
-            place = permuted(np.arange(pieces, dtype=np.uint64) + np.uint64(layout.number(doc_id)))
-            shard = layout.shard(place)
-            for i in range(pieces):
-                yield (None if doc_id is None or doc_id != doc_id else int(doc_id), i, int(shard[i]), int(place[i]),
-                       min(n, len(ids) - i * n), data[2 * n * i:2 * n * (i + 1)])
+            ids = [*encoder.ids(text or ""), END_ID]
+            held.append((None if doc_id is None or doc_id != doc_id else int(doc_id), _two_bytes(ids), len(ids)))
+            size += len(ids)
+            if size >= _HELD_IDS:
+                yield from dealt(held, permuted)
+                held, size = [], 0
+        if held:
+            yield from dealt(held, permuted)
 
     return per_text(docs, ["doc_id", "text"], _SEQUENCES, rows, 4_096)
 
 
+def _two_bytes(ids: list[int]) -> bytes:
+    """The ids as unsigned 16-bit numbers, lowest byte first."""
+    packed = array("H", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:07d}.bin"
 
