@@ -68,7 +68,8 @@ def training_sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     # The smallest hashes lie below a bound that follows from the number of documents; the rank decides the rest.
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     bound = F.col("h") / float(1 << 53) * F.col("n") < 1.2 * max_docs + 50
-    few = ids.join(sizes.withColumnRenamed("lang", "size_lang"), F.col("lang") == F.col("size_lang")).filter(bound)
+    # One row per language: broadcast, so that the rows of a frequent language stay where they are.
+    few = ids.join(F.broadcast(sizes.withColumnRenamed("lang", "size_lang")), F.col("lang") == F.col("size_lang")).filter(bound)
     rank = F.expr("row_number() OVER (PARTITION BY lang ORDER BY h, doc_id)")
     chosen = few.withColumn("rank", rank).filter(F.col("rank") <= max_docs).select(F.col("doc_id").alias("chosen_id"))
     return docs.join(F.broadcast(chosen.distinct()), F.col("doc_id") == F.col("chosen_id"), "left_semi").filter(
