@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import per_text, whole_rows
+from earshot.llm import near_copies
+from earshot.llm.common import per_text
 from earshot.llm.components import components
 from earshot.session import via_table
 
@@ -176,8 +177,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns."""
-    key = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("no_id")]
-    firsts = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
-    return whole_rows(docs, *key).join(firsts, ["id", "no_id"], "left_semi").dropDuplicates(
-        ["id", "no_id"]).select("row.*")
+    """One document of each group of near copies by word shingles; not bound to this query's radius and shingles."""
+    return near_copies.one_of_each(docs)

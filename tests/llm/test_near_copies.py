@@ -1,0 +1,57 @@
+import itertools
+import random
+
+import pytest
+
+from earshot.llm import near_copies, simhash
+
+
+def jaccard(a, b):
+    a, b = (t.lower().split() for t in (a, b))
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def kept_by_brute_force(rows):
+    first = list(range(len(rows)))
+
+    def root(k):
+        while first[k] != k:
+            k = first[k]
+        return k
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+            low, high = sorted((root(i), root(j)))
+            first[high] = low
+    return sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"e{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def corpus(rng):
+    rows = []
+    for g in range(25):  # similarities on both sides of 0.8, chains and templates
+        base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        rows += [(g * 100 + i, edited(base, n, rng)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 9, 12])]
+    return rows
+
+
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_edited_copies_go(make, limit):
+    rows = corpus(random.Random(6))
+    got = sorted(r.doc_id for r in near_copies.one_of_each(make(rows), limit).collect())
+    assert got == kept_by_brute_force(rows) and 25 < len(got) < len(rows)
+
+
+def test_a_pair_at_the_threshold(make):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    at, below = [*words, *(f"x{i}" for i in range(25))], [*words, *(f"x{i}" for i in range(26))]
+    assert jaccard(" ".join(words), " ".join(at)) == 0.8
+    for other, left in ((at, 1), (below, 2)):
+        assert simhash.one_of_each(make([(1, " ".join(words)), (2, " ".join(other))])).count() == left
