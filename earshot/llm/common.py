@@ -21,6 +21,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_id() -> Column:
+    """``text_id``: the hash that tells rows apart that share a ``doc_id``."""
+    return F.xxhash64(text_or_empty()).alias("text_id")
+
+
 def per_text(docs: DataFrame, columns: list[str], schema: str,
              rows: Callable[[Iterator[tuple]], Iterator[tuple]], batch: int = BATCH_ROWS) -> DataFrame:
     """Run ``rows`` over the selected columns of each partition, in Arrow batches.
@@ -57,9 +62,3 @@ def fold_of(doc_id: int) -> int:
 def whole_rows(docs: DataFrame, *keys: Column) -> DataFrame:
     """Every row as one column ``row`` beside the given keys, so that no name can clash."""
     return docs.select(F.struct("*").alias("row"), *keys)
-
-
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``ids``; null ids match null ids."""
-    kept = ids.select(F.col("doc_id").alias("kept_id"))
-    return whole_rows(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

@@ -5,13 +5,14 @@ sort by document and position. Range bounds split a hot key between documents,
 so no task holds a whole one. Each partition streams its sorted runs into one
 row per key (documents that hold it first here, largest document), and those
 few rows meet by key. Lines that go are gathered into 64-bit words per
-document; only documents that lose a line have any. Texts are read once more
+row; only documents that lose a line have any. Texts are read once more
 at the end, where the bitmap is applied.
 
 Null and empty texts are one empty line. Keys are compared by two 64-bit
 hashes. A line that is repeated inside one document counts for one document.
-Rows that repeat a ``doc_id`` are one document and share its bitmap. Null ids
-are one document too, below all others. Empty tables give empty results; only ``doc_id`` and ``text`` are
+Rows that repeat a ``doc_id`` count as one document, null ids
+as one too, below all others; bitmaps are those of a row, by id and text, so
+rows of different texts never lose each other's lines. Empty tables give empty results; only ``doc_id`` and ``text`` are
 read, and other columns pass through under any name.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.text import let
+from earshot.llm.common import text_id
 from earshot.session import via_table
 
 MIN_KEY_CHARS = 20
@@ -39,11 +41,11 @@ def key_of(line: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_KEY_CHARS) -> DataFrame:
-    """``doc_id, pos, h1, h2`` of every line whose key is long enough to count."""
-    lines = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keys = lines.filter(F.char_length("line") >= min_chars).select("doc_id", "pos", key_of(F.col("line")).alias("key"))
+    """``doc_id, text_id, pos, h1, h2`` of every line whose key is long enough to count."""
+    lines = docs.select("doc_id", text_id(), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    keys = lines.filter(F.char_length("line") >= min_chars).select("doc_id", "text_id", "pos", key_of(F.col("line")).alias("key"))
     return keys.filter(F.char_length("key") >= min_chars).select(
-        "doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        "doc_id", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
 def repeated_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -53,7 +55,7 @@ def repeated_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
     sorted order; the first row of each such run counts the document.
     """
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = lines.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    ranged = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     place = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
     firsts = ranged.withColumn("place", place).filter(F.col("place") == 1)
     return firsts.groupBy("h1", "h2").agg(
@@ -61,13 +63,13 @@ def repeated_keys(lines: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataF
 
 
 def drop_words(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``doc_id, words``: sorted (word, bits) of the lines to drop; bit b of word w is line 64 w + b."""
+    """``doc_id, text_id, words``: sorted (word, bits) of the lines to drop; bit b of word w is line 64 w + b."""
     lines = via_table(line_hashes(docs, min_chars), "line-hashes")
     keys = via_table(repeated_keys(lines, min_documents), "line-keys")
     gone = lines.join(keys, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep_doc")))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
-    words = gone.groupBy("doc_id", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    words = gone.groupBy("doc_id", "text_id", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
 
 
 def _kept_lines(lines: Column, words: Column) -> Column:
@@ -89,9 +91,9 @@ def _kept_lines(lines: Column, words: Column) -> Column:
 def kept_texts(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``row`` (all columns as they came), ``n_lines``, ``n_dropped`` and ``kept_text``."""
     words = drop_words(docs.select("doc_id", "text"), min_chars, min_documents).select(
-        F.col("doc_id").alias("drop_id"), "words")
-    rows = docs.select(F.col("doc_id").alias("row_id"), F.struct("*").alias("row"))
-    joined = rows.join(words, F.col("row_id").eqNullSafe(F.col("drop_id")), "left")
+        F.col("doc_id").alias("drop_id"), F.col("text_id").alias("drop_text"), "words")
+    rows = docs.select(F.col("doc_id").alias("row_id"), text_id(), F.struct("*").alias("row"))
+    joined = rows.join(words, F.col("row_id").eqNullSafe(F.col("drop_id")) & (F.col("text_id") == F.col("drop_text")), "left")
     text = F.coalesce("row.text", F.lit(""))
     whole = F.struct(
         (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm.common import keep_rows, per_text
+from earshot.llm.common import per_text, text_id, whole_rows
 from earshot.session import salted_join, via_table
 
 MIN_WORDS = 50
@@ -39,7 +39,7 @@ BLOCKED_RATE = 0.9
 
 _SYMBOLS = b"#*$%&|<>"
 _BLANK_BYTES = b" \t\n\x0b\x0c\r"
-_SCHEMA = ("doc_id long, source string, n_words long, word_chars long, n_symbols long, n_lines long, "
+_SCHEMA = ("doc_id long, text_id long, source string, n_words long, word_chars long, n_symbols long, n_lines long, "
            "n_dup_lines long, n_repeat_words long")
 
 
@@ -68,8 +68,8 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 def _measure(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for doc_id, source, text in rows:
-        yield doc_id, source, *text_stats(text)
+    for doc_id, key, source, text in rows:
+        yield doc_id, key, source, *text_stats(text)
 
 
 def base_failed() -> Column:
@@ -86,7 +86,8 @@ def soft_failed() -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Counts and rule results of every document, written once for its two readers."""
-    stats = per_text(docs, ["doc_id", "source", "text"], _SCHEMA, _measure)
+    rows = docs.select("doc_id", text_id(), "source", "text")
+    stats = per_text(rows, ["doc_id", "text_id", "source", "text"], _SCHEMA, _measure)
     return via_table(stats.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed()), "quality")
 
 
@@ -129,5 +130,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents the rules keep, with all their columns."""
-    return keep_rows(docs, judge(docs).filter("kept").select("doc_id").distinct())
+    """The documents the rules keep, with all their columns. Rows are told apart by id, host and text."""
+    kept = judge(docs).filter("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"), F.col("text_id").alias("kept_text")).distinct()
+    same = (F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & F.col("row.source").eqNullSafe(F.col("kept_source"))
+            & (F.col("text_id") == F.col("kept_text")))
+    return whole_rows(docs, text_id()).join(kept, same, "left_semi").select("row.*")

@@ -63,3 +63,13 @@ def test_documents_carry_the_shorter_text(make):
     rows = [(i, f"repeated line of twenty and more\nown {i}") for i in range(4)]
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.dedup_documents(make(rows)).collect()}
     assert got[0] == ("own 0", 5) and got[3] == (rows[3][1], len(rows[3][1]))
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(make):
+    hot = "this very common line is in every document"
+    rows = [(i, f"{hot}\nown line of document number {i}") for i in range(5, 9)]
+    rows += [(d, t) for d in (None, 1) for t in (f"{hot}\nafter the common line in one text", f"a line that only the other text of {d} has\n{hot}")]
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_documents(make(rows)).collect() if r.doc_id in (None, 1))
+    own = ["a line that only the other text of {} has", "after the common line in one text"]
+    assert got == [(d or 0, x.format(d)) for d in (None, 1) for x in own]
+    assert all(r.n_dropped == 1 for r in line_dedup.kept_texts(make(rows)).select("row.doc_id", "n_dropped").collect() if r.doc_id != 8)

@@ -55,3 +55,10 @@ def test_a_pair_at_the_threshold(make):
     assert jaccard(" ".join(words), " ".join(at)) == 0.8
     for other, left in ((at, 1), (below, 2)):
         assert simhash.one_of_each(make([(1, " ".join(words)), (2, " ".join(other))])).count() == left
+
+
+def test_rows_that_share_an_id_are_different_documents(make):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [*zip([None, None, 7, 7], texts), (7, texts[2]), (9, texts[0])]
+    kept = near_copies.one_of_each(make(rows)).collect()
+    assert sorted(r.text for r in kept) == texts

@@ -60,3 +60,9 @@ def test_odd_rows(odd, odd_clashing, empty):
     kept = quality.filter_documents(odd_clashing)
     assert kept.columns == odd_clashing.columns
     assert [r.doc_id for r in kept.collect()] == [r[0] for r in got if r[3]]
+
+
+def test_rows_that_share_an_id_are_judged_by_themselves(make):
+    good = [(d, words(60, random.Random(i))) for i, d in enumerate([None, None, 3])]
+    kept = quality.filter_documents(make([*good, (None, "too short"), (3, "short")]))
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in good)
