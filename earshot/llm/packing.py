@@ -41,7 +41,8 @@ END_ID = 0
 ROUNDS = 60
 STEP = 0.12
 RATE = 2.0
-# Parts of the fractional solution that are tried as the whole part; the one with the fewest sequences wins.
+# Parts of the fractional solution that are tried as the whole part, with all its configurations and with only
+# those that fill a sequence; the plan with the fewest sequences wins.
 PARTS = (1.0, 0.5)
 # Pieces in a block whose ranks one window numbers, and the least number of blocks.
 BLOCK_ROWS = 100_000
@@ -186,11 +187,13 @@ def _exact_fill(left: np.ndarray) -> tuple[int, ...] | None:
 
 def round_down(counts: np.ndarray, bought: Counter) -> list[tuple[tuple[int, ...], int]]:
     """Whole configurations and their numbers, which hold exactly ``counts``."""
-    plans = [_rounded(counts, bought, part) for part in PARTS]
+    capacity = len(counts) - 1
+    plans = [_rounded(counts, bought, part, least) for part in PARTS for least in (0, capacity)]
     return sorted(min(plans, key=lambda plan: sum(plan.values())).items())
 
 
-def _rounded(counts: np.ndarray, bought: Counter, part: float) -> Counter:
+def _rounded(counts: np.ndarray, bought: Counter, part: float, least: int) -> Counter:
+    """The bought configurations that hold ``least`` tokens or more, rounded down, and best fit for what they leave."""
     left = counts.copy()
     plan: Counter = Counter()
 
@@ -206,7 +209,7 @@ def _rounded(counts: np.ndarray, bought: Counter, part: float) -> Counter:
     capacity = len(counts) - 1
     full = sorted(bought.items(), key=lambda x: (sum(x[0]) < capacity, -x[1], x[0]))
     for config, amount in full:
-        if sum(config) == capacity:
+        if sum(config) >= least:
             use(config, int(part * amount))
     while left.any():
         config = _exact_fill(left)

@@ -84,3 +84,10 @@ def test_program_never_buys_more_than_there_is():
             covered[length] += amount
     assert (covered <= counts + 1e-6).all() and covered.sum() > 0.9 * counts.sum()
     assert sum(bought.values()) >= (covered * np.arange(129)).sum() / 128 - 1e-6
+
+
+def test_few_lengths_without_an_exact_filling():
+    counts = np.zeros(2049, dtype=np.int64)
+    counts[[1032, 531, 521, 491]] = 6000, 6000, 6000, 12000
+    plan = packing.round_down(counts, packing.configuration_lp(counts))
+    assert sum(times for _, times in plan) <= 1.02 * 9000
