@@ -10,6 +10,10 @@ shrunk rate is joined back to the documents:
 * ``strict``   a document must also pass the soft rules;
 * ``blocked``  no document of the host is kept.
 
+These verdicts are the query's, whose SQL fixes them. ``filter_documents`` grades
+them: at every rate a document of a host must also pass the soft rules, whose
+limits move with the prior mean over the host's shrunk rate (``leniency``).
+
 Null or empty texts have no words and fail the base rules. Documents of a null
 host have no verdict and are judged by the base rules alone. Rows are judged
 one by one, so ties and repeated rows get equal answers; an empty table gives
@@ -37,6 +41,9 @@ WORD_LENGTH = (2, 15)
 STRICT_RATE = 0.5
 BLOCKED_RATE = 0.9
 
+# Least and largest factor by which a host's rate moves the limits of the soft rules in ``filter_documents``.
+LENIENCY = (2 / 3, 3 / 2)
+
 _SYMBOLS = b"#*$%&|<>"
 _BLANK_BYTES = b" \t\n\x0b\x0c\r"
 _SCHEMA = ("doc_id long, text_id long, source string, n_words long, word_chars long, n_symbols long, n_lines long, "
@@ -77,10 +84,12 @@ def base_failed() -> Column:
             | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def soft_failed() -> Column:
+def soft_failed(leniency: Column | None = None) -> Column:
+    """Whether a soft rule fails, with the limits for symbols and repeated lines times ``leniency``."""
     low, high = WORD_LENGTH
-    return ((100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"))
-            | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines"))
+    times = F.lit(1) if leniency is None else leniency
+    return ((100 * F.col("n_symbols") > times * MAX_SYMBOL_PERCENT * F.col("n_words"))
+            | (100 * F.col("n_dup_lines") > times * MAX_DUP_LINE_PERCENT * F.col("n_lines"))
             | (F.col("word_chars") < low * F.col("n_words")) | (F.col("word_chars") > high * F.col("n_words")))
 
 
@@ -107,21 +116,24 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def host_verdicts(stats: DataFrame) -> DataFrame:
-    """``source, n, failed, shrunk_rate, verdict`` of each host. A hot host is summed before the shuffle."""
+    """``source, n, failed, shrunk_rate, verdict, leniency`` of each host. A hot host is summed before the shuffle."""
     hosts = via_table(
         stats.filter(F.col("source").isNotNull()).groupBy("source").agg(
             F.count("*").alias("n"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("failed")),
         "hosts")
     a, b = beta_prior(hosts)
     shrunk = (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn(
+    # The mean host keeps the soft rules as they are; worse ones tighten them and better ones relax them.
+    least, most = map(F.lit, LENIENCY)
+    leniency = F.when(shrunk > 0, F.least(most, F.greatest(least, F.lit(a / (a + b)) / shrunk))).otherwise(F.lit(1.0))
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("leniency", leniency).withColumn(
         "verdict", F.when(shrunk >= BLOCKED_RATE, "blocked").when(shrunk >= STRICT_RATE, "strict").otherwise("open"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``host_verdict`` and ``kept``."""
     stats = measured(docs)
-    hosts = host_verdicts(stats).select("source", F.col("verdict").alias("host_verdict"))
+    hosts = host_verdicts(stats).select("source", F.col("verdict").alias("host_verdict"), "leniency")
     told = salted_join(stats, hosts, "source", ["doc_id"], "left").withColumn(
         "host_verdict", F.coalesce("host_verdict", F.lit("open")))
     verdict = (F.when(F.col("host_verdict") == "blocked", F.lit(False))
@@ -130,8 +142,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents the rules keep, with all their columns. Rows are told apart by id, host and text."""
-    kept = judge(docs).filter("kept").select(
+    """The documents the rules keep, with all their columns, by soft rules graded by host. Rows are told apart by id, host and text."""
+    fails = F.col("leniency").isNotNull() & soft_failed(F.coalesce("leniency", F.lit(1.0)))
+    kept = judge(docs).filter(F.col("kept") & ~fails).select(
         F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"), F.col("text_id").alias("kept_text")).distinct()
     same = (F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & F.col("row.source").eqNullSafe(F.col("kept_source"))
             & (F.col("text_id") == F.col("kept_text")))

@@ -66,3 +66,17 @@ def test_rows_that_share_an_id_are_judged_by_themselves(make):
     good = [(d, words(60, random.Random(i))) for i, d in enumerate([None, None, 3])]
     kept = quality.filter_documents(make([*good, (None, "too short"), (3, "short")]))
     assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in good)
+
+
+def test_soft_rules_act_in_mixed_hosts(make):
+    rng = random.Random(8)
+
+    def host(name, low, failing, percent):
+        return [(low + i, words(100, rng) + ("#" * 80 if i < failing else "#" * percent if i == 39 else ""), "en", name) for i in range(40)]
+
+    rows = host("bad", 0, 16, 25) + host("better", 100, 1, 25) + host("middle", 200, 8, 25) + [(300, words(100, rng) + "#" * 80, "en", None)]
+    judged = {r.doc_id: r for r in quality.judge(make(rows)).collect()}
+    assert {r.host_verdict for r in judged.values()} == {"open"} and all(r.kept for r in judged.values())
+    kept = {r.doc_id for r in quality.filter_documents(make(rows)).collect()}
+    clear = {*range(16), 100, *range(200, 208)}
+    assert not kept & clear and 39 not in kept and kept == set(judged) - clear - {39}
