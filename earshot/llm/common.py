@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows handed to Python at once; their texts are held in memory together.
 BATCH_ROWS = 256
@@ -62,3 +66,16 @@ def fold_of(doc_id: int) -> int:
 def whole_rows(docs: DataFrame, *keys: Column) -> DataFrame:
     """Every row as one column ``row`` beside the given keys, so that no name can clash."""
     return docs.select(F.struct("*").alias("row"), *keys)
+
+
+def per_row(df: DataFrame, schema: str, rows: Callable[[Iterator[tuple]], Iterator[tuple]], batch: int = 4096) -> DataFrame:
+    """Like ``per_text`` over all columns of ``df``, through Arrow values: nulls stay ``None`` and integers exact."""
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns)))
+        todo = rows(source)
+        while out := list(islice(todo, batch)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
+
+    return df.mapInArrow(batches, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from earshot.llm import (
+    decontamination,
     language_id,
     line_dedup,
     mixing,
@@ -101,6 +102,36 @@ FROM judged j LEFT JOIN verdicts v ON j.source = v.source
 """
 
 
+_WORDS_SQL = """list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+_DECONTAMINATION_SQL = f"""
+WITH item_words AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS_SQL} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT item, w, least(len(w), {decontamination.WINDOW}) AS k,
+               unnest(range(1, len(w) - least(len(w), {decontamination.WINDOW}) + 2)) AS i
+        FROM item_words WHERE len(w) > 0)),
+grams AS (SELECT k, gram, list(item) AS items FROM item_windows GROUP BY k, gram),
+lens AS (SELECT DISTINCT k FROM item_windows),
+doc_words AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+doc_windows AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words JOIN lens ON len(w) >= k)),
+hits AS (SELECT doc_id, i, d.k, items FROM doc_windows d JOIN grams g ON d.k = g.k AND d.gram = g.gram),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+told AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, unnest(items) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN told t ON d.doc_id = t.doc_id
+"""
+
+
 @_query("op1_training_order")
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(documents(spark, sf_dir))
@@ -153,6 +184,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+@_query("op13_decontamination", _DECONTAMINATION_SQL)
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
