@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from earshot.llm import (
+    conversations,
     decontamination,
     language_id,
     line_dedup,
     mixing,
     order_minhash,
     packing,
+    periodic_runs,
     quality,
     simhash,
     token_counts,
@@ -184,6 +186,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+@_query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.report(conversations.damage(rows), ids=rows)
+
+
+@_query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(documents(spark, sf_dir))
+
+
 @_query("op13_decontamination", _DECONTAMINATION_SQL)
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
