@@ -3,20 +3,21 @@
 Each document is measured in one pass over its whole text. A host (column
 ``source``) with few documents says little about its failure rate, so rates
 are shrunk towards the rate of all hosts by a beta prior whose two parameters
-come from the mean and the variance of the hosts' rates. The verdict of the
-shrunk rate is joined back to the documents:
+come from the mean and the variance of the hosts' rates. The shrunk rate is joined back to
+the documents and grades the soft rules: their limits for symbols and repeated lines are multiplied by
+the prior mean over the host's shrunk rate (``leniency``, within ``LENIENCY``).
+The verdict of a host says what that means:
 
-* ``open``     the base rules alone decide;
-* ``strict``   a document must also pass the soft rules;
-* ``blocked``  no document of the host is kept.
+* ``open``     no worse than the prior mean: limits as they are, or wider;
+* ``strict``   worse: limits are tightened, so a document that would pass elsewhere may fail here;
+* ``blocked``  from a shrunk rate of ``BLOCKED_RATE`` on, no document of the host is kept.
 
-These verdicts are the query's, whose SQL fixes them. ``filter_documents`` grades
-them: at every rate a document of a host must also pass the soft rules, whose
-limits move with the prior mean over the host's shrunk rate (``leniency``).
+A document is kept if it passes the base rules, its host is not blocked, and it passes the graded soft rules.
 
 Null or empty texts have no words and fail the base rules. Documents of a null
-host have no verdict and are judged by the base rules alone. Rows are judged
-one by one, so ties and repeated rows get equal answers; an empty table gives
+host have no rate; the soft rules apply to them with their own limits. Rows are judged
+one by one, so ties and repeated rows get equal answers, and very long texts are counted whole, in memory
+in proportion to the text; an empty table gives
 an empty result. Only ``doc_id``, ``text`` and ``source`` are read, so further
 columns can have any names.
 """
@@ -37,11 +38,9 @@ MAX_REPEAT_PERCENT = 50
 MAX_SYMBOL_PERCENT = 30
 MAX_DUP_LINE_PERCENT = 30
 WORD_LENGTH = (2, 15)
-# Shrunk failure rates from which a host is judged strictly, or refused as a whole.
-STRICT_RATE = 0.5
+# Shrunk failure rate from which a host is refused as a whole.
 BLOCKED_RATE = 0.9
-
-# Least and largest factor by which a host's rate moves the limits of the soft rules in ``filter_documents``.
+# Least and largest factor by which a host's rate moves the limits of the soft rules.
 LENIENCY = (2 / 3, 3 / 2)
 
 _SYMBOLS = b"#*$%&|<>"
@@ -127,24 +126,21 @@ def host_verdicts(stats: DataFrame) -> DataFrame:
     least, most = map(F.lit, LENIENCY)
     leniency = F.when(shrunk > 0, F.least(most, F.greatest(least, F.lit(a / (a + b)) / shrunk))).otherwise(F.lit(1.0))
     return hosts.withColumn("shrunk_rate", shrunk).withColumn("leniency", leniency).withColumn(
-        "verdict", F.when(shrunk >= BLOCKED_RATE, "blocked").when(shrunk >= STRICT_RATE, "strict").otherwise("open"))
+        "verdict", F.when(shrunk >= BLOCKED_RATE, "blocked").when(F.col("leniency") < 1, "strict").otherwise("open"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: its counts, ``base_failed``, ``host_verdict`` and ``kept``."""
+    """One row per document: its counts, ``base_failed``, ``host_verdict``, ``leniency`` and ``kept``."""
     stats = measured(docs)
     hosts = host_verdicts(stats).select("source", F.col("verdict").alias("host_verdict"), "leniency")
-    told = salted_join(stats, hosts, "source", ["doc_id"], "left").withColumn(
-        "host_verdict", F.coalesce("host_verdict", F.lit("open")))
-    verdict = (F.when(F.col("host_verdict") == "blocked", F.lit(False))
-               .when(F.col("host_verdict") == "strict", ~F.col("soft_failed")).otherwise(F.lit(True)))
-    return told.withColumn("kept", ~F.col("base_failed") & verdict)
+    told = salted_join(stats, hosts, "source", ["doc_id", "text_id"], "left").withColumn(
+        "host_verdict", F.coalesce("host_verdict", F.lit("open"))).withColumn("leniency", F.coalesce("leniency", F.lit(1.0)))
+    return told.withColumn("kept", ~F.col("base_failed") & (F.col("host_verdict") != "blocked") & ~soft_failed(F.col("leniency")))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents the rules keep, with all their columns, by soft rules graded by host. Rows are told apart by id, host and text."""
-    fails = F.col("leniency").isNotNull() & soft_failed(F.coalesce("leniency", F.lit(1.0)))
-    kept = judge(docs).filter(F.col("kept") & ~fails).select(
+    """The documents the rules keep, with all their columns. Rows are told apart by id, host and text."""
+    kept = judge(docs).filter("kept").select(
         F.col("doc_id").alias("kept_id"), F.col("source").alias("kept_source"), F.col("text_id").alias("kept_text")).distinct()
     same = (F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & F.col("row.source").eqNullSafe(F.col("kept_source"))
             & (F.col("text_id") == F.col("kept_text")))

@@ -91,16 +91,21 @@ hosts AS (
 moments AS (SELECT avg(failed / n) AS m, var_pop(failed / n) AS v FROM hosts),
 prior AS (
   SELECT m, CASE WHEN m > 0 AND m < 1 AND v > 0 THEN greatest(m * (1 - m) / v - 1, 1.0) ELSE 1.0 END AS weight FROM moments),
+rates AS (SELECT source, m, (failed + m * weight) / (n + weight) AS shrunk FROM hosts, prior),
 verdicts AS (
-  SELECT source, CASE WHEN (failed + m * weight) / (n + weight) >= {quality.BLOCKED_RATE} THEN 'blocked'
-                      WHEN (failed + m * weight) / (n + weight) >= {quality.STRICT_RATE} THEN 'strict'
-                      ELSE 'open' END AS host_verdict
-  FROM hosts, prior)
+  SELECT source, shrunk >= {quality.BLOCKED_RATE} AS blocked,
+         CASE WHEN shrunk > 0 THEN least({quality.LENIENCY[1]!r}::DOUBLE, greatest({quality.LENIENCY[0]!r}::DOUBLE, m / shrunk)) ELSE 1.0 END AS leniency
+  FROM rates),
+graded AS (
+  SELECT j.*, coalesce(blocked, false) AS blocked, coalesce(leniency, 1.0) AS leniency
+  FROM judged j LEFT JOIN verdicts v ON j.source = v.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(host_verdict, 'open') AS host_verdict,
-       NOT base_failed AND CASE coalesce(host_verdict, 'open') WHEN 'blocked' THEN false
-                                WHEN 'strict' THEN NOT soft_failed ELSE true END AS kept
-FROM judged j LEFT JOIN verdicts v ON j.source = v.source
+       CASE WHEN blocked THEN 'blocked' WHEN leniency < 1 THEN 'strict' ELSE 'open' END AS host_verdict,
+       NOT base_failed AND NOT blocked
+       AND NOT (100 * n_symbols > leniency * {quality.MAX_SYMBOL_PERCENT} * n_words
+                OR 100 * n_dup_lines > leniency * {quality.MAX_DUP_LINE_PERCENT} * n_lines
+                OR word_chars < {quality.WORD_LENGTH[0]} * n_words OR word_chars > {quality.WORD_LENGTH[1]} * n_words) AS kept
+FROM graded
 """
 
 

@@ -16,9 +16,11 @@ Links are always verified by counting bits, so components are exact.
 
 Null and empty texts, and texts of blanks, have fingerprint zero, which links
 like any other. Equal fingerprints are one class; rows that repeat a
-``doc_id`` are one document. Null ids are no class names unless a class has
-nothing else. Empty tables give empty results.
-Only ``doc_id`` and ``text`` are read.
+``doc_id`` are one document in a class's name. Null ids are no class names unless a class has
+nothing else. Very long texts are hashed whole, ``_CHUNK`` shingles at a time. Where one document of
+each class is kept, rows are told apart by id and text, ids before null ones and then the smallest, and equal
+rows are one. Empty tables give empty results.
+Only ``doc_id`` and ``text`` are read; other columns pass through ``one_of_each`` under any name.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import near_copies
-from earshot.llm.common import per_text
+from earshot.llm.common import per_text, text_id, whole_rows
 from earshot.llm.components import components
 from earshot.session import via_table
 
@@ -70,8 +71,8 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def _fingerprints(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for doc_id, text in rows:
-        yield doc_id, np.uint64(fingerprint(text)).astype(np.int64)
+    for *keys, text in rows:
+        yield *keys, np.uint64(fingerprint(text)).astype(np.int64)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -159,12 +160,17 @@ def links(prints: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) ->
             (F.col("fp") != F.col("hub")) & (_differing("fp", "hub") <= radius)).select("fp", "hub")).distinct(), "links")
 
 
+def class_labels(classes: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
+    """``classes`` (one row per ``fp``) with ``label``, the same for all that links of at most ``radius`` bits connect."""
+    labels = components(links(classes.select("fp"), radius, limit)).select(F.col("node").alias("fp"), "label")
+    return classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest document reachable over links of at most ``radius`` bits."""
     prints = via_table(fingerprints(docs), "fingerprints")
     classes = via_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    labels = components(links(classes.select("fp"), radius, limit)).select(F.col("node").alias("fp"), "label")
-    told = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    told = class_labels(classes, radius, limit)
     names = told.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = via_table(told.join(names, "label").select("fp", "component_id"), "class-names")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -176,6 +182,14 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies by word shingles; not bound to this query's radius and shingles."""
-    return near_copies.one_of_each(docs)
+def one_of_each(docs: DataFrame, radius: int = RADIUS, limit: int = GROUP_LIMIT) -> DataFrame:
+    """One document of each class, the one with the smallest id, with all its columns."""
+    rows = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), text_id(), "text")
+    prints = via_table(per_text(rows, ["no_id", "id", "text_id", "text"], "no_id boolean, id long, text_id long, fp long",
+                                _fingerprints, 10_000), "fingerprints")
+    # The smallest row of a fingerprint, then the smallest of its class: nothing but those is shuffled twice.
+    classes = via_table(prints.groupBy("fp").agg(F.min(F.struct("no_id", "id", "text_id")).alias("first")), "classes")
+    firsts = via_table(class_labels(classes, radius, limit).groupBy("label").agg(F.min("first").alias("first")).select("first.*"), "firsts")
+    key = ["no_id", "id", "text_id"]
+    keyed = whole_rows(docs, F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), text_id())
+    return keyed.join(firsts, key, "left_semi").dropDuplicates(key).select("row.*")

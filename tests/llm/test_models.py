@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from llm.cases import ODD
 from llm.toy import speak
 
@@ -117,51 +118,174 @@ def test_toxicity(make, spark, odd_clashing, empty):
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
 
 
-def brute_rates(tokens, p, targets, steps=mixing.STEPS, ridge=mixing.RIDGE):
-    rate, total = np.ones(len(tokens)), tokens.sum()
-    shares = lambda r: (tokens * r) @ p / total
+def brute_rates(tokens, p, targets, steps=mixing.STEPS, ridge=mixing.RIDGE, kept=None):
+    total = size = tokens.sum()
+    floor = np.zeros(len(tokens)) if kept is None else (p.argmax(axis=1) == kept).astype(float)
+    if kept is not None:
+        size = total * max(1.0, tokens @ p[:, kept] / total / targets[kept])
+    whole = size / total
+    rate = np.full(len(tokens), whole)
+    shares = lambda r: (tokens * r) @ p / size
     natural = np.maximum(shares(rate), 1e-6)
-    now, eta = natural, 1 / (1 + ridge)
-    for _ in range(steps):
-        rate = np.maximum(0, rate - eta * (p @ ((now - targets) / natural) + ridge * (rate - 1)))
+    prior, before, now, eta = rate, natural, natural, 1 / (1 + ridge)
+    for step in range(1, steps + 1):
+        ahead = (step - 1) / (step + 2)
+        point = rate + ahead * (rate - prior)
+        slope = p @ ((shares(point) - targets) / natural)
+        prior, rate = rate, np.clip(point - eta * (whole * slope + ridge * (point - whole)), floor, mixing.MAX_RATE)
         before, now = now, shares(rate)
         if np.abs(before - now).max() < mixing.TOLERANCE * min(targets):
             break
     return rate
 
 
-def test_rates_equal_projected_gradient(spark):
+def test_fit_reaches_the_optimum():
+    """Momentum leads where many plain steps lead, also where the targets are out of reach."""
+    rng = np.random.default_rng(8)
+    for targets in ([0.95, 0.03, 0.02], [0.5, 0.4, 0.1]):
+        p = rng.dirichlet([0.3, 0.01, 0.05], 300)
+        tokens = rng.integers(1, 500, 300)
+        fast = brute_rates(tokens, p, np.array(targets), kept=0)
+        floor = (p.argmax(axis=1) == 0).astype(float)
+        size = tokens.sum() * max(1.0, tokens @ p[:, 0] / tokens.sum() / targets[0])
+        whole = size / tokens.sum()
+        rate = np.full(300, whole)
+        natural = np.maximum((tokens * rate) @ p / size, 1e-6)
+
+        def cost(r, natural=natural, size=size, whole=whole, p=p, tokens=tokens, targets=targets):
+            s = (tokens * r) @ p / size
+            return ((s - targets) ** 2 / natural).sum() / 2
+
+        for _ in range(20_000):
+            slope = p @ (((tokens * rate) @ p / size - targets) / natural)
+            rate = np.clip(rate - (whole * slope + mixing.RIDGE * (rate - whole)) / (1 + mixing.RIDGE), floor, mixing.MAX_RATE)
+        assert cost(fast) <= cost(rate) + 1e-3
+
+
+@pytest.mark.parametrize("kept, targets", [(None, [0.5, 0.4, 0.1]), (0, [0.5, 0.4, 0.1]), (0, [0.2, 0.5, 0.3])])
+def test_rates_equal_projected_gradient(spark, kept, targets):
     rng = np.random.default_rng(4)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 200)
+    p = rng.dirichlet([0.1, 0.1, 0.1], 200)
     tokens = rng.integers(0, 500, 200)
-    targets = [0.5, 0.4, 0.1]
     members = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))],
                                     "doc_id long, n_tokens long, p_0 double, p_1 double, p_2 double")
-    got = mixing.fit_rates(members, targets).orderBy("doc_id").toPandas().rate.to_numpy()
-    assert got == pytest.approx(brute_rates(tokens, p, np.array(targets)), abs=1e-9) and (got >= 0).all()
-    assert (tokens * got) @ p / tokens.sum() == pytest.approx(targets, abs=0.02)
+    got = mixing.fit_rates(members, targets, kept=kept).orderBy("doc_id").toPandas().rate.to_numpy()
+    assert got == pytest.approx(brute_rates(tokens, p, np.array(targets), kept=kept), abs=1e-9) and (got >= 0).all()
+    mixed = (tokens * got) @ p
+    assert mixed / mixed.sum() == pytest.approx(targets, abs=0.02)
+    if kept is not None:
+        assert (got[p.argmax(axis=1) == kept] >= 1).all()
+
+
+def brute_features(text):
+    text = text or ""
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
+    found = {("word", w) for w in words} | {(n, w[:n]) for w in words for n in mixing.PREFIXES if len(w) > n}
+    if words:
+        lines = [x for x in text.split("\n") if x.strip(" ")]
+        letters = len(regex.findall(r"\p{L}", text))
+        shape = (sum(text.count(c) for c in mixing.SYMBOLS) / len(words), len(set(words)) / len(words),
+                 len(regex.findall(r"\p{Lu}", text)) / max(letters, 1), 1 - len(set(lines)) / max(len(lines), 1), letters / len(words))
+        found |= {(name, sum(m >= s for s in steps)) for m, (name, steps) in zip(shape, mixing.SHAPE)}
+    return found
+
+
+def brute_posteriors(texts, domains):
+    """Posteriors of texts from taught ones ``(domain, half, text)``, by the definition."""
+    taught = [(d, brute_features(t)) for d, half, t in texts if half == 0]
+    known = Counter(d for d, _ in taught)
+    shown = {d: Counter(f for e, fs in taught if e == d for f in fs) for d in domains}
+    weights = {}
+    for f in set().union(*(fs for _, fs in taught)):
+        everywhere, total = sum(shown[d][f] for d in domains), sum(known.values())
+        told = []
+        for d in domains:
+            n, mine = known[d], shown[d][f]
+            rest = total - n
+            odds = math.log(((mine + 0.5) / (n + 1)) / ((everywhere - mine + 0.5) / (rest + 1)))
+            p = everywhere / total
+            apart, error = abs(mine / n - (everywhere - mine) / rest), math.sqrt(p * (1 - p) * (1 / n + 1 / rest))
+            told.append(odds if abs(odds) >= mixing.MIN_LOG_ODDS and apart >= mixing.MIN_ERRORS * error and apart > 0 else 0.0)
+        if any(told):
+            weights[f] = told
+
+    def kind(text):
+        sums = [sum(weights[f][i] for f in brute_features(text) if f in weights) for i in range(len(domains))]
+        most = max(sums)
+        return 0 if most <= 0 else 1 + sums.index(most) * 4 + sum(most >= s for s in mixing.STRENGTHS)
+
+    seen = Counter((kind(t), d) for d, half, t in texts if half == 1)
+    whole = [1 + sum(n for (_, e), n in seen.items() if e == d) for d in domains]
+    prior = [x / sum(whole) for x in whole]
+
+    def posterior(text):
+        k = kind(text)
+        mine = [seen[k, d] + q for d, q in zip(domains, prior)]
+        return [x / sum(mine) for x in mine]
+
+    return posterior, weights
+
+
+def mixed_rows(n):
+    """Three domains: plain texts, texts of symbols, repetitions or capitals, and texts with vile words."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        text = speak("en", rng, 30)
+        if i % 4 == 2:
+            text = [text.upper(), text.replace(" ", " # % "), " ".join([speak("en", rng, 1)] * 25), "\n".join([text] * 6)][i // 4 % 4]
+        if i % 4 == 3:
+            text += f" vileword{rng.randint(0, 2)}"
+        rows.append((i, text, "en", "s"))
+    return rows
 
 
 N = 800
 
 
+def test_posteriors_equal_brute_force(make, spark):
+    rows = mixed_rows(N) + [(1000, None, "en", "s"), (1001, "", "en", "s"), (1002, " ?! ", "en", "s")]
+    rows += [(2000 + i, rows[3][1], "en", "s") for i in range(50)]  # copies teach once
+    labels = spark.createDataFrame([(r[0], int(r[0] % 4 != 2), int(r[0] % 4 == 3 or r[0] >= 2000)) for r in rows if r[0] % 3 or r[0] >= 1000],
+                                   "doc_id long, quality int, toxic int")
+    docs, domains = make(rows), list(mixing.TARGETS)
+    taught = [tuple(r) for r in mixing.labelled_texts(docs, mixing.labelled_sample(labels)).collect()]
+    assert len(taught) < labels.count() - 40
+    posterior, weights = brute_posteriors(taught, domains)
+    assert any(f[0] == "symbols to words" for f in weights) and ("word", "vileword0") in weights
+    got = {r.doc_id: [r.p_0, r.p_1, r.p_2] for r in mixing.memberships(docs, labels, domains).collect()}
+    for doc_id, text, *_ in rows:
+        assert got[doc_id] == pytest.approx(posterior(text), abs=1e-9), doc_id
+    held = [r[0] for r in rows[:N] if r[0] % 3 == 0]
+    low, good = ([got[i][1] for i in held if i % 4 in k] for k in ((2,), (0, 1)))
+    assert np.mean(low) > 10 * np.mean(good)
+
+
+def test_every_feature_has_its_place():
+    rng = random.Random(3)
+    for n in (0, 1, 500, 5000):
+        features = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)] + [rng.randrange(4) for _ in range(min(n, 2))]
+        bits, table = mixing.two_places(sorted(set(features)))
+        mask = (1 << bits) - 1
+        assert sorted(table.values()) == sorted(set(features))
+        assert all(at in (f & mask, (f >> 32) & mask) for at, f in table.items())
+
+
 def test_mixture(make, spark, odd_clashing, empty):
-    rng = random.Random(5)
-    kinds = {"good": "", "low": " lorem fillerword", "toxic": " vileword"}
-    rows = [(i, speak("en", rng, 20) + kinds[k], "en", "s") for i in range(N) for k in [("good", "good", "low", "toxic")[i % 4]]]
+    rows = mixed_rows(N)
     labels = spark.createDataFrame([(i, int(i % 4 != 2), int(i % 4 == 3)) for i in range(N) if i % 3] + [(9999, 1, 0), (3, None, None)],
                                    "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in mixing.mix_rates(make(rows), labels).collect()}
     assert len(got) == N and all(r.p_good + r.p_low + r.p_toxic == pytest.approx(1) and r.rate >= 0 for r in got.values())
     assert np.mean([got[i].rate for i in range(N) if i % 4 == 3]) < 0.3 < 1 < np.mean([got[i].rate for i in range(N) if i % 4 < 2])
-    total = sum(r.n_tokens for r in got.values())
+    total = sum(r.n_tokens * r.rate for r in got.values())
     for name, share in mixing.TARGETS.items():
-        assert sum(r.n_tokens * r[f"p_{name}"] * r.rate for r in got.values()) / total == pytest.approx(share, abs=0.02)
+        assert sum(r.n_tokens * r[f"p_{name}"] * r.rate for r in got.values()) / total == pytest.approx(share, abs=0.01)
     mixed = mixing.mixed_documents(make(rows, clashing=True), labels)
     assert mixed.columns == make(rows, clashing=True).columns
     n = Counter(r.doc_id for r in mixed.collect())
-    assert all(n[i] >= 1 for i in got if got[i].rate >= mixing.MAY_GO)
-    assert all(abs(n[i] - got[i].rate) < 1 for i in got if got[i].rate >= 1)
+    assert all(n[i] >= 1 for i, r in got.items() if r.p_good >= max(r.p_low, r.p_toxic))
+    assert all(abs(n[i] - got[i].rate) < 1 for i in got)
     one = {r.doc_id: r.rate for r in mixing.mix_rates(odd_clashing, labels).collect()}
     assert set(one) == {d for d, *_ in ODD}
     assert {r.rate for r in mixing.mix_rates(make([(1, None), (2, "")]), labels).collect()} == {1.0}
