@@ -10,9 +10,14 @@ and the language with the shortest code is predicted.
 Trees are learned from at most ``MAX_DOCS`` documents per language, those with
 the smallest hash of their id among rows outside the held-out fold with a
 language. Their byte 4-grams are counted by a distributed aggregate; what reaches the
-driver is bounded by the sample. The frozen tree is laid out as arrays: a row for every
-context of two symbols and for the ``MAX_CONTEXTS`` most frequent ones of three, so
-the cost of a byte in all languages is one array access. Texts are scored
+driver and the tasks is one number and its count for each different 4-gram of a language's sample. Nothing of the
+sample is left out: all byte values and every context of it are in the tree.
+
+The frozen trees are laid out for array access: languages share tables in groups of ``GROUP``. A 4-gram that the
+sample of any language of the group holds has its bits for each of them in one row, found by hash; others take the
+escape of their context and the bits of their last three bytes, found alike, or those of the last two, which have
+a row each. A group takes about 4 x (4-grams + 2 x 3-grams + 131,072) x ``GROUP`` bytes: some 14 MB for samples of
+100,000 different 4-grams, so memory grows with the number of languages and not with its square. Texts are scored
 whole, in slices that carry their context over.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every
@@ -36,10 +41,8 @@ from earshot.llm.common import fold, per_text
 UNKNOWN = "und"
 ORDER = 3
 MAX_DOCS = 1000
-# Bytes that have a symbol of their own, and contexts of three symbols that the tree keeps.
-MAX_SYMBOLS = 126
-MAX_CONTEXTS = 16_384
-MIN_CONTEXT = 4
+# Languages whose tables are shared.
+GROUP = 8
 # Bytes scored at once.
 SLICE = 1 << 20
 # Stands for the start of a text; real bytes of this value count as 0xFF, which no text has.
@@ -85,6 +88,119 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict[str, tuple[np.ndarr
     return {lang: (codes[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))}
 
 
+class Numbering:
+    """Places of known numbers in a sorted list, by a hash table with linear probing."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes.astype(np.uint32)
+        self.bits = max(4, (4 * len(codes)).bit_length())
+        self.table = np.full(1 << self.bits, -1, dtype=np.int32)
+        left = np.arange(len(codes), dtype=np.int32)
+        at = self._hash(self.codes)
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = left[free]  # of several that want a slot, one gets it
+            lost = self.table[at] != left
+            left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
+
+    def _hash(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for those that are not known."""
+        at = self._hash(codes)
+        place = self.table[at]
+        open_ = np.flatnonzero(place >= 0)
+        if len(self.codes):
+            open_ = open_[self.codes[place[open_]] != codes[open_]]
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            place[open_] = self.table[at[open_]]
+            open_ = open_[place[open_] >= 0]
+            open_ = open_[self.codes[place[open_]] != codes[open_]]
+        return place
+
+
+class Trees:
+    """The frozen context trees of some languages."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        k = len(counts)
+        four = np.unique(np.concatenate([codes for codes, _ in counts]))
+        three = np.unique(np.concatenate((four >> 8, four & 0xFFFFFF)))
+        self.four, self.three = Numbering(four), Numbering(three)
+        self.bits4 = np.empty((len(four), k), dtype=np.float32)
+        self.bits3, self.escape3 = (np.empty((len(three), k), dtype=np.float32) for _ in range(2))
+        self.bits2, self.escape2 = (np.empty((1 << 16, k), dtype=np.float32) for _ in range(2))
+        tails, heads = self.three.find((four & 0xFFFFFF).astype(np.uint32)), self.three.find((four >> 8).astype(np.uint32))
+        for i, (codes, n) in enumerate(counts):
+            p = np.full(256, 1 / 256)
+            p, _ = self._order(codes, n, 0, np.arange(256), p)
+            pairs = np.arange(1 << 16)
+            p, _ = self._order(codes, n, 1, pairs, p[pairs & 0xFF])
+            self.bits2[:, i] = -np.log2(p)
+            p, escape = self._order(codes, n, 2, three, p[three & 0xFFFF])
+            self.bits3[:, i], self.escape2[:, i] = -np.log2(p), -np.log2(escape)
+            p, escape = self._order(codes, n, 3, four, p[tails])
+            self.bits4[:, i] = -np.log2(p)
+            contexts, at = np.unique(heads, return_index=True)
+            self.escape3[:, i] = 0
+            self.escape3[contexts, i] = -np.log2(escape[four[at] >> 8])
+
+    @staticmethod
+    def _order(codes: np.ndarray, n: np.ndarray, order: int, grams: np.ndarray, lower: np.ndarray):
+        """Probabilities of ``grams`` (context and byte) of an order from those of the order below, and escapes by context."""
+        own = codes & ((1 << 8 * (order + 1)) - 1)
+        seen, at = np.unique(own, return_inverse=True)
+        times = np.bincount(at, n, len(seen))
+        contexts, of = np.unique(seen >> 8, return_inverse=True)
+        whole = np.bincount(of, times, len(contexts)) + np.bincount(of, minlength=len(contexts))
+        escape = _Lookup(contexts, np.bincount(of, minlength=len(contexts)) / whole if len(contexts) else whole, 1.0, order)
+        place = np.searchsorted(seen, grams)
+        known = place < len(seen)
+        known[known] = seen[place[known]] == grams[known]
+        p = escape[grams >> 8] * lower
+        p[known] = (times / whole[of])[place[known]]
+        return p, escape.dense() if order == 2 else escape
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each 4-gram after the other three, a column for each language."""
+        place = self.four.find(codes)
+        bits = self.bits4[np.maximum(place, 0)] if len(self.bits4) else np.empty((len(codes), self.bits2.shape[1]), np.float32)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            bits[new] = self._new(codes[new])
+        return bits
+
+    def _new(self, codes: np.ndarray) -> np.ndarray:
+        head, tail = self.three.find(codes >> np.uint32(8)), self.three.find(codes & np.uint32(0xFFFFFF))
+        pair = codes & np.uint32(0xFFFF)
+        bits = self.bits2[pair] + self.escape2[codes >> np.uint32(8) & np.uint32(0xFFFF)]
+        known = tail >= 0
+        bits[known] = self.bits3[tail[known]]
+        known = head >= 0
+        bits[known] += self.escape3[head[known]]
+        return bits
+
+
+class _Lookup:
+    """Values of sorted keys, with one for all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, other: float, order: int) -> None:
+        self.keys, self.values, self.other, self.size = keys, values, other, 1 << 8 * order
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), self.other)
+        place = np.searchsorted(self.keys, wanted)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == wanted[known]
+        out[known] = self.values[place[known]]
+        return out
+
+    def dense(self) -> np.ndarray:
+        return self[np.arange(self.size)]
+
+
 class CodeLengths:
     """Frozen context trees of all languages, laid out for array access."""
 
@@ -99,68 +215,17 @@ class CodeLengths:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.langs = sorted(counts)
-        seen = np.zeros(256, dtype=np.int64)
-        for codes, n in counts.values():
-            np.add.at(seen, codes & 0xFF, n)
-        top = np.argsort(-seen, kind="stable")[:MAX_SYMBOLS]
-        top = np.sort(top[seen[top] > 0])
-        self.size = s = len(top) + 2  # the start, the bytes, any other byte
-        self.symbol = np.full(256, s - 1, dtype=np.int64)
-        self.symbol[top] = np.arange(1, len(top) + 1)
-        self.symbol[START] = 0
-        grams = {lang: self._symbols(*counts[lang]) for lang in self.langs}
-        pages = np.zeros(s ** 3, dtype=np.int64)
-        for code, n in grams.values():
-            np.add.at(pages, code // s, n)
-        often = np.flatnonzero(pages >= MIN_CONTEXT)
-        often = np.sort(often[np.argsort(-pages[often], kind="stable")[:MAX_CONTEXTS]])
-        self.page = np.full(s ** 3, -1, dtype=np.int32)
-        self.page[often] = np.arange(len(often))
-        self.cost = np.empty((s ** 3 + len(often) * s, len(self.langs)), dtype=np.float32)
-        for i, lang in enumerate(self.langs):
-            self.cost[:, i] = self._costs(*grams[lang], often)
-        self.cost.reshape(-1, s, len(self.langs))[:, 0] = 0  # the start is never predicted
-
-    def _symbols(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """4-grams over symbols, as one number."""
-        s, out = self.size, np.zeros(len(codes), dtype=np.int64)
-        for shift in (24, 16, 8, 0):
-            out = out * s + self.symbol[codes >> shift & 0xFF]
-        return out, n
-
-    def _costs(self, code: np.ndarray, n: np.ndarray, often: np.ndarray) -> np.ndarray:
-        """Bits of every symbol in every context of two symbols, and in the kept contexts of three."""
-        s = self.size
-        lower = np.full(s, 1 / 256)
-        for order in (0, 1, 2):
-            counted = np.zeros(s ** (order + 1))
-            np.add.at(counted, code % s ** (order + 1), n)
-            lower = self._blend(counted.reshape(-1, s), np.tile(lower.reshape(-1, s), (s if order else 1, 1)))
-        row = np.searchsorted(often, code // s)
-        kept = (row < len(often)) & (often[np.minimum(row, len(often) - 1)] == code // s) if len(often) else row < 0
-        counted = np.zeros((len(often), s))
-        np.add.at(counted, (row[kept], code[kept] % s), n[kept])
-        higher = self._blend(counted, lower[often % s ** 2])
-        return -np.log2(np.concatenate((lower.ravel(), higher.ravel())))
-
-    def _blend(self, counted: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities in contexts from counts (a row per context) and those of the shorter contexts."""
-        counted = counted.copy()
-        counted[:, [0, -1]] = 0  # the start and strange bytes are never seen as successors
-        total, distinct = counted.sum(axis=1, keepdims=True), (counted > 0).sum(axis=1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        escape = np.where(total > 0, distinct / whole, 1.0)
-        return np.where(counted > 0, counted / whole, escape * lower)
+        self.groups = [Trees([counts[lang] for lang in self.langs[i:i + GROUP]]) for i in range(0, len(self.langs), GROUP)]
 
     def of(self, texts: list[str]) -> np.ndarray:
         """Code length in bits of each text in each language."""
         out = np.zeros((len(texts), len(self.langs)))
-        low, n, group = 0, 0, []
+        n, group = 0, []
         for i, text in enumerate(texts):
-            data = self.symbol[_bytes(text)]
-            for at in range(0, max(len(data), 1), SLICE):
+            data = _bytes(text)
+            for at in range(0, len(data), SLICE):
                 before = data[max(at - ORDER, 0):at]
-                group.append((i, np.concatenate((np.zeros(ORDER - len(before), np.int64), before)), data[at:at + SLICE]))
+                group.append((i, np.concatenate((np.full(ORDER - len(before), START, np.uint8), before)), data[at:at + SLICE]))
                 n += len(group[-1][2])
                 if n >= SLICE:
                     self._add(out, group)
@@ -170,21 +235,17 @@ class CodeLengths:
         return out
 
     def _add(self, out: np.ndarray, group: list[tuple]) -> None:
-        s = self.size
-        symbols = np.concatenate([x for _, before, data in group for x in (before, data)])
-        two = symbols[1:-2] * s + symbols[2:-1]
-        context = symbols[:-3] * (s * s) + two
-        page = self.page[context]
-        at = np.where(page >= 0, s ** 3 + page.astype(np.int64) * s, two * s) + symbols[3:]
+        data = np.concatenate([x for _, before, data in group for x in (before, data)]).astype(np.uint32)
+        codes = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
         ends = np.cumsum([len(before) + len(data) for _, before, data in group])
         starts = np.concatenate(([0], ends[:-1]))
-        costs = np.concatenate((self.cost[at], np.zeros((1, len(self.langs)), np.float32)))
-        # A group's first bytes are its context: sums start behind it and stop at the next context.
-        edges = np.minimum(np.column_stack((starts, ends - ORDER)).ravel(), len(costs) - 1)
-        sums = np.add.reduceat(costs, edges, axis=0, dtype=np.float64)[::2]
-        for (i, _, data), total in zip(group, sums):
-            if len(data):
-                out[i] += total
+        # A slice's first bytes are its context: sums start behind it and stop at the next context.
+        edges = np.minimum(np.column_stack((starts, ends - ORDER)).ravel(), len(codes))
+        bits = np.concatenate([trees.of(codes) for trees in self.groups], axis=1)
+        bits = np.concatenate((bits, np.zeros((1, bits.shape[1]), np.float32)))
+        sums = np.add.reduceat(bits, edges, axis=0, dtype=np.float64)[::2]
+        for (i, _, _), total in zip(group, sums):
+            out[i] += total
 
 
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

@@ -40,23 +40,59 @@ def brute_bits(train, text, order=3):
     return sum(-math.log2(p(data, i, order)) for i in range(order, len(data)))
 
 
-def test_code_lengths_equal_the_definition(monkeypatch):
-    monkeypatch.setattr(language_id, "MIN_CONTEXT", 1)
-    monkeypatch.setattr(language_id, "SLICE", 50)
-    rng = random.Random(1)
-    taught = {lang: [speak(lang, rng, 30) for _ in range(5)] for lang in ("de", "en")}
+def trees_of(taught):
     counts = {}
     for lang, texts in taught.items():
         grams = Counter()
         for _, code, n in language_id._grams((lang, t) for t in texts):
             grams[code] += n
-        counts[lang] = (np.array(list(grams)), np.array(list(grams.values())))
-    trees = language_id.CodeLengths(counts)
-    texts = ["", "a", "the of", "ß\x00é€ zz", *(speak("de", rng, 40) for _ in range(5)), speak("en", rng, 200)]
+        counts[lang] = (np.array(list(grams), dtype=np.int64), np.array(list(grams.values()), dtype=np.int64))
+    return language_id.CodeLengths(counts)
+
+
+def assert_code_lengths(taught, texts):
+    trees = trees_of(taught)
     got = trees.of(texts)
     for i, text in enumerate(texts):
         for j, lang in enumerate(trees.langs):
             assert got[i, j] == pytest.approx(brute_bits(taught[lang], text), rel=1e-4, abs=1e-3)
+    return trees, got
+
+
+@pytest.mark.parametrize("size", [50, language_id.SLICE])
+def test_code_lengths_equal_the_definition(monkeypatch, size):
+    monkeypatch.setattr(language_id, "SLICE", size)
+    rng = random.Random(1)
+    taught = {lang: [speak(lang, rng, 30) for _ in range(5)] for lang in ("de", "en")}
+    assert_code_lengths(taught, ["", "a", "the of", "ß\x00é€ zz", *(speak("de", rng, 40) for _ in range(5)), speak("en", rng, 200)])
+
+
+def test_all_scripts_and_rare_contexts_count():
+    """Eleven languages (two groups of tables), scripts that share no letter, most byte values, one rarely taught."""
+    rng = random.Random(7)
+    scripts = {f"l{i:02d}": [chr(c) for c in range(low, low + 24)] for i, low in enumerate(
+        [0x61, 0xE0, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0xE01, 0x10D0, 0x4E00, 0xAC00])}
+
+    def say(lang, n):
+        return " ".join("".join(rng.choices(scripts[lang], k=rng.randint(2, 6))) for _ in range(n))
+
+    taught = {lang: [say(lang, 6) for _ in range(1 if lang == "l10" else 6)] for lang in scripts}
+    taught["l00"].append("".join(map(chr, range(1, 0x250))))
+    taught["l01"].append("".join(chr(c) for c in range(0x1000, 0xFFFF, 251) if not 0xD800 <= c < 0xE000) + "\U0001f600\U000e0001\U00010000")
+    assert len({b for texts in taught.values() for t in texts for b in t.encode()}) > 200
+    texts = [say(lang, 8) for lang in scripts] + ["\U0001f600 new \U00020000", say("l03", 3) + say("l09", 3)]
+    trees, got = assert_code_lengths(taught, texts)
+    assert [trees.langs[b] for b in got[:11].argmin(axis=1)] == list(scripts)
+
+
+def test_every_number_is_found():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 5000):
+        codes = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64) if n != 7 else np.arange(7) << 28).astype(np.uint32)
+        places = language_id.Numbering(codes)
+        assert (places.find(codes) == np.arange(len(codes))).all()
+        other = np.setdiff1d(rng.integers(0, 1 << 32, 3000, dtype=np.uint64).astype(np.uint32), codes)
+        assert (places.find(other) == -1).all()
 
 
 def test_languages(make, odd_clashing, empty):
