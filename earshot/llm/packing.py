@@ -15,8 +15,8 @@ counts per block of pieces, so no task holds all pieces of a length, and the
 table of configurations, bounded by the rounds and the capacity, says which
 sequence and offset a rank has.
 
-Null and empty texts are one piece of the end token. Equal pieces are
-interchangeable; repeated rows are packed once each. An empty table gives no
+Null and empty texts are one piece of the end token. Pieces of equal length, ties and repeated rows among them, are
+interchangeable; each row is packed once. Very long texts are tokenised whole. An empty table gives no
 rows. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -248,15 +248,19 @@ class Places:
 
 
 def ranked(cuts: DataFrame, n_pieces: int) -> DataFrame:
-    """``cuts`` with ``rank``: a number from 0 within each length, without gaps."""
+    """The written ``cuts`` with ``rank``: a number from 0 within each length, without gaps.
+
+    Blocks go by the place of a row in its file, so rows with null or repeated ids spread like any others.
+    """
     blocks = max(MIN_BLOCKS, -(-n_pieces // BLOCK_ROWS))
-    dealt = cuts.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    dealt = cuts.select("*", F.pmod(F.xxhash64(*place), F.lit(blocks)).cast("int").alias("block"), *(c.alias(f"at_{i}") for i, c in enumerate(place)))
     sizes = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = sizes.select("length", "block", (F.sum("n").over(
         Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "block").orderBy("at_0", "at_1")) - 1
     return dealt.withColumn("inside", inside).join(before, ["length", "block"]).withColumn(
-        "rank", F.col("before") + F.col("inside")).drop("block", "inside", "before")
+        "rank", F.col("before") + F.col("inside")).drop("block", "inside", "before", "at_0", "at_1")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

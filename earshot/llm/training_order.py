@@ -1,8 +1,9 @@
 """Training order on disk: token sequences in keyed random order, in shards of fixed stride.
 
 A document's token ids, with an end token, are cut into sequences of ``SEQUENCE``
-ids, the last filled up with end tokens. A sequence's index, from its document and
-its number there, goes through a keyed Feistel network over the smallest
+ids, the last filled up with end tokens. A sequence's index is its document's (a hash of id and text, so rows
+with null or repeated ids lie apart like any others) times the most sequences a document can have, plus
+its number there. It goes through a keyed Feistel network over the smallest
 even number of bits that holds all indexes; values beyond the domain walk on
 through the network until they fall inside. That permutation is the order of training. It
 needs no count of the sequences beforehand, so texts are tokenised once and
@@ -11,18 +12,20 @@ each sorted by its own task and streamed to one file. A sequence's slot is
 its shard's first slot plus its row there, so slots run from 0 without gaps.
 
 Every record has the same number of bytes: the ids as unsigned 16-bit numbers,
-lowest byte first. Slot s is found by one seek, so a reader resumes
-anywhere (``read_slots``). A shard is written under a name of its attempt and then
-renamed, so a lost executor leaves no half shard, and a second attempt writes the same bytes.
-
-Null and empty texts are one sequence that holds the end token. Rows that
-share a ``doc_id`` (null ids among them) share indexes; such ties stand side by side,
-ordered by number and content. An empty table gives no rows and no shard. Only
-``doc_id`` and ``text`` are read.
+lowest byte first. Slot s is found by one seek, so a reader resumes anywhere from the folder alone (``read_slots``):
+``manifest.json`` names the stride and the number of sequences, and the shards' sizes say how many each holds.
+A shard is written under a name of its attempt and then renamed, so a lost executor leaves no half shard; a second
+attempt writes the same bytes, and where a store refuses to rename over the first one's file, that file stays.
+
+Null and empty texts are one sequence that holds the end token. Rows of equal id and text share
+indexes; such ties stand side by side, ordered by number and content, and so do the few whose hashes agree. Very long
+texts are tokenised whole; their ids are held in memory once. An empty table gives no rows and no shard, but a
+manifest. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 from array import array
@@ -31,12 +34,12 @@ from itertools import groupby
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm.bytepair import BytePairs
-from earshot.llm.common import per_text
+from earshot.llm.common import per_row
 from earshot.session import fresh_path, via_table
 
 SEQUENCE = 256
@@ -45,6 +48,7 @@ SHARD_ROWS = 65_536
 # Small corpora are still written by this many tasks, as long as a shard has some rows.
 MIN_SHARDS, LEAST_ROWS = 64, 1024
 ROUNDS = 6
+MANIFEST = "manifest.json"
 # Ids whose documents are numbered in one call.
 _HELD_IDS = 1 << 18
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -84,26 +88,19 @@ class Layout:
     """How documents and their sequences are numbered, permuted and dealt to shards."""
 
     def __init__(self, docs: DataFrame, key: int, sequence: int, shard_rows: int) -> None:
-        n, low, high, total, longest = docs.agg(
-            F.count("*"), F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text")),
-            F.max(F.octet_length("text"))).first()
-        self.sequence, self.low, self.key = sequence, low or 0, key
+        n, total, longest = docs.agg(F.count("*"), F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+        self.sequence, self.key = sequence, key
         # A token has at least one byte, so this is a bound on the sequences of a document.
         self.pieces = ((longest or 0) + 1) // sequence + 1
-        span = (high or 0) - self.low + 2  # the last number stands for null
-        self.hashed = span * self.pieces >= 1 << 62
-        self.ids = (1 << 62) // self.pieces if self.hashed else span
+        self.documents = (1 << 62) // self.pieces
         guess = (total or 0) // (3 * sequence) + (n or 0)
         self.shards = max(1, -(-guess // shard_rows), min(MIN_SHARDS, -(-guess // LEAST_ROWS)))
-        self.size = self.ids * self.pieces
+        self.size = self.documents * self.pieces
 
-    def number(self, doc_id: int | None) -> int:
-        """Where a document's sequences begin in the domain. Ids too far apart for 62 bits are folded."""
-        if doc_id is None or doc_id != doc_id:
-            return (self.ids - 1) * self.pieces
-        if self.hashed:
-            return (crc32(str(doc_id).encode()) << 32 | crc32(f"{doc_id}/".encode())) % (self.ids - 1) * self.pieces
-        return (int(doc_id) - self.low) * self.pieces
+    def number(self, doc_id: int | None, text: str) -> int:
+        """Where a document's sequences begin in the domain."""
+        seed = crc32(str(doc_id).encode())
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) % self.documents * self.pieces
 
     def shard(self, place: np.ndarray) -> np.ndarray:
         width = -(-self.size // self.shards)
@@ -116,12 +113,12 @@ def sequences(docs: DataFrame, layout: Layout) -> DataFrame:
 
     def dealt(held: list[tuple], permuted: Feistel) -> Iterator[tuple]:
         """Sequences of some documents; their places come from one call."""
-        counts = np.array([-(-n_ids // n) for _, _, n_ids in held])
-        first = np.array([layout.number(doc_id) for doc_id, _, _ in held], dtype=np.uint64)
+        counts = np.array([-(-n_ids // n) for *_, n_ids in held])
+        first = np.array([first for _, first, _, _ in held], dtype=np.uint64)
         piece = np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)
         place = permuted(np.repeat(first, counts) + piece.astype(np.uint64))
         where = zip(piece.tolist(), layout.shard(place).tolist(), place.astype(np.int64).tolist())
-        for doc_id, data, n_ids in held:
+        for doc_id, _, data, n_ids in held:
             for start in range(0, n_ids, n):
                 i, shard, at = next(where)
                 yield doc_id, i, shard, at, min(n, n_ids - start), data[2 * start:2 * (start + n)].ljust(2 * n, b"\0")
@@ -132,7 +129,7 @@ def sequences(docs: DataFrame, layout: Layout) -> DataFrame:
         size = 0
         for doc_id, text in texts:
             ids = [*encoder.ids(text or ""), END_ID]
-            held.append((None if doc_id is None or doc_id != doc_id else int(doc_id), _two_bytes(ids), len(ids)))
+            held.append((doc_id, layout.number(doc_id, text or ""), _two_bytes(ids), len(ids)))
             size += len(ids)
             if size >= _HELD_IDS:
                 yield from dealt(held, permuted)
@@ -140,7 +137,7 @@ def sequences(docs: DataFrame, layout: Layout) -> DataFrame:
         if held:
             yield from dealt(held, permuted)
 
-    return per_text(docs, ["doc_id", "text"], _SEQUENCES, rows, 4_096)
+    return per_row(docs.select("doc_id", "text"), _SEQUENCES, rows)
 
 
 def _two_bytes(ids: list[int]) -> bytes:
@@ -159,33 +156,31 @@ def write_shards(rows: DataFrame, layout: Layout, path: str) -> DataFrame:
     """Write the sequences' shards below ``path``; one index row per sequence, in the order of the files."""
     dealt = rows.repartition(layout.shards, "shard").sortWithinPartitions("shard", "place", "doc_id", "piece", "ids")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(source: Iterator[tuple]) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(path)
-        records = (r for f in frames for r in zip(f["shard"], f["doc_id"], f["piece"], f["n_tokens"], f["ids"]))
-        for shard, mine in groupby(records, key=lambda r: r[0]):
+        for shard, mine in groupby(source, key=lambda r: r[0]):
             attempt = f"{folder}/_{shard_name(shard)}.{uuid.uuid4().hex}"
-            out: list[tuple] = []
             row = 0
             with store.open_output_stream(attempt) as stream:
                 for _, doc_id, piece, n_tokens, ids in mine:
                     stream.write(ids)
-                    out.append((shard, row, doc_id, piece, n_tokens, crc32(ids)))
+                    yield shard, row, doc_id, piece, n_tokens, crc32(ids)
                     row += 1
-                    if len(out) >= 10_000:
-                        yield _frame(out)
-                        out = []
-            store.move(attempt, f"{folder}/{shard_name(shard)}")
-            if out:
-                yield _frame(out)
+            _settle(store, attempt, f"{folder}/{shard_name(shard)}", row * 2 * layout.sequence)
 
-    return dealt.mapInPandas(write, _INDEX)
+    return per_row(dealt.select("shard", "doc_id", "piece", "n_tokens", "ids"), _INDEX, write)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _INDEX.split(", ")])
-    return frame.astype({"doc_id": "Int64"})
+def _settle(store, attempt: str, path: str, size: int) -> None:
+    """Give a written file its name, unless an earlier attempt has left the same one there."""
+    try:
+        store.move(attempt, path)
+    except OSError:
+        if store.get_file_info(path).size != size:
+            raise
+        store.delete_file(attempt)
 
 
 def materialise(docs: DataFrame, path: str, key: int = 0, sequence: int = SEQUENCE,
@@ -197,6 +192,8 @@ def materialise(docs: DataFrame, path: str, key: int = 0, sequence: int = SEQUEN
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
     index = via_table(write_shards(sequences(docs, layout), layout, path), "order-index")
+    with store.open_output_stream(f"{folder}/{MANIFEST}") as stream:
+        stream.write(json.dumps({"sequence": sequence, "key": key, "shards": layout.shards, "sequences": index.count()}).encode())
     sizes = index.groupBy("shard").agg(F.count("*").alias("n"))  # one row per shard
     starts = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("first_slot"))
     return index.join(F.broadcast(starts), "shard").select(
@@ -204,18 +201,22 @@ def materialise(docs: DataFrame, path: str, key: int = 0, sequence: int = SEQUEN
         (F.col("row") * (2 * sequence)).alias("byte_offset"), "ids_crc32")
 
 
-def read_slots(path: str, shard_sizes: list[tuple[int, int]], start: int = 0,
-               sequence: int = SEQUENCE) -> Iterator[np.ndarray]:
-    """Sequences from slot ``start`` on, read in order. ``shard_sizes``: (shard, rows) by shard."""
+def read_slots(path: str, start: int = 0) -> Iterator[np.ndarray]:
+    """Sequences from slot ``start`` on, read in order from the folder alone."""
     from pyarrow import fs
 
     store, folder = fs.FileSystem.from_uri(path)
-    stride = 2 * sequence
-    for shard, n in sorted(shard_sizes):
+    with store.open_input_stream(f"{folder}/{MANIFEST}") as file:
+        manifest = json.loads(file.read())
+    stride = 2 * manifest["sequence"]
+    shards = sorted((f.path, f.size // stride) for f in store.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("shard-"))
+    if sum(n for _, n in shards) != manifest["sequences"]:
+        raise ValueError(f"{path}: {sum(n for _, n in shards)} sequences in the shards, {manifest['sequences']} in the manifest")
+    for name, n in shards:
         if start >= n:
             start -= n
             continue
-        with store.open_input_file(f"{folder}/{shard_name(shard)}") as file:
+        with store.open_input_file(name) as file:
             file.seek(start * stride)
             for _ in range(start, n):
                 yield np.frombuffer(file.read(stride), dtype="<u2")

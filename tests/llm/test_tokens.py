@@ -70,15 +70,57 @@ def test_shards_hold_every_sequence_in_order(odd_clashing, empty, tmp_path):
         sizes[r.shard] = sizes.get(r.shard, 0) + 1
     assert len(sizes) > 3
     for start in (0, 17, len(got) - 1):
-        read = list(training_order.read_slots(path, list(sizes.items()), start, 64))
+        read = list(training_order.read_slots(path, start))
         assert [crc32(s.tobytes()) for s in read] == [r.ids_crc32 for r in got[start:]]
-    read = [tuple(s.tolist()) for s in training_order.read_slots(path, list(sizes.items()), 0, 64)]
+    read = [tuple(s.tolist()) for s in training_order.read_slots(path)]
     key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
     assert sorted(((r.doc_id, r.piece, r.n_tokens, s) for r, s in zip(got, read)), key=key) == sorted(want, key=key)
     assert training_order.materialise(empty, str(tmp_path / "none")).count() == 0
+    assert list(training_order.read_slots(str(tmp_path / "none"))) == []
+    # The order is that of the permuted indexes, from the definition.
+    layout = training_order.Layout(odd_clashing, 9, 64, 100)
+    permuted = training_order.Feistel(layout.size, 9)
+    order = []
+    for doc_id, text, *_ in ODD:
+        n = -(-(len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1) // 64)
+        first = layout.number(doc_id, text or "")
+        order += [(int(permuted(np.array([first + i], dtype=np.uint64))[0]), doc_id is not None, doc_id or 0, i) for i in range(n)]
+    assert [(r.doc_id, r.piece) for r in got] == [(d if told else None, i) for _, told, d, i in sorted(order)]
 
 
 def test_ids_far_apart(make, tmp_path):
-    rows = [(-(2**63), "first"), (2**63 - 1, "last"), (0, "middle")]
+    rows = [(-(2**63), "first"), (2**63 - 1, "last"), (0, "middle"), (None, "no id")]
     got = training_order.materialise(make(rows), str(tmp_path)).collect()
-    assert sorted(r.slot for r in got) == [0, 1, 2] and {r.doc_id for r in got} == {r[0] for r in rows}
+    assert sorted(r.slot for r in got) == [0, 1, 2, 3] and {r.doc_id for r in got} == {r[0] for r in rows}
+
+
+def test_no_shard_holds_a_hot_id(make, tmp_path):
+    rows = [(None if i % 4 else i, f"text number {i} " * 3) for i in range(3000)] + [(7, f"another {i}") for i in range(1000)]
+    got = training_order.materialise(make(rows), str(tmp_path), sequence=16, shard_rows=200).groupBy("shard").count().collect()
+    assert len(got) > 15 and max(r["count"] for r in got) < 3 * sum(r["count"] for r in got) / len(got)
+
+
+def test_a_second_attempt_settles(tmp_path):
+    from pyarrow import fs
+
+    class Refusing:
+        """A store that does not rename over files."""
+
+        def __init__(self):
+            self.store = fs.LocalFileSystem()
+
+        def move(self, a, b):
+            if self.store.get_file_info(b).type != fs.FileType.NotFound:
+                raise OSError("exists")
+            self.store.move(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+    for attempt in ("a", "b"):
+        (tmp_path / attempt).write_bytes(b"same bytes")
+        training_order._settle(Refusing(), str(tmp_path / attempt), str(tmp_path / "shard"), 10)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["shard"]
+    (tmp_path / "c").write_bytes(b"others")
+    with pytest.raises(OSError):
+        training_order._settle(Refusing(), str(tmp_path / "c"), str(tmp_path / "shard"), 6)
