@@ -50,13 +50,13 @@ MAX_LABELLED = 20_000
 PREFIXES = (4, 6)
 # Steps of each measure of a text's shape; a text has one feature for each measure, the number of steps it has passed.
 SHAPE = (
-    ("symbols to words", (0.02, 0.1, 0.3, 1.0)),
+    ("characters between words to words", (1.3, 1.6, 2.0, 3.0)),
     ("different words to words", (0.1, 0.25, 0.4, 0.55)),
-    ("capitals to letters", (0.04, 0.08, 0.2, 0.5)),
+    ("runs of capitals to words", (0.05, 0.2, 0.5)),
     ("repeated lines to lines", (0.1, 0.3, 0.5)),
-    ("letters to words", (3.8, 4.4, 6.0, 7.5)),
+    ("letters and digits to words", (3.8, 4.4, 6.0, 7.5)),
 )
-SYMBOLS = "#*$%&|<>!"
+CAPITALS = r"\p{Lu}{3,}"
 # Log odds from which a feature is evidence, and by how many standard errors its shares of texts must differ: rare
 # words differ between domains by chance.
 MIN_LOG_ODDS = 2.0
@@ -89,18 +89,17 @@ def words_of(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def shape_of(text: Column, words: Column) -> Column:
+def shape_of(text: Column, words: Column, different: Column) -> Column:
     """One hash for each measure of ``SHAPE``: the measure and the number of steps it has passed. No words: none."""
     n = F.size(words)
-    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    symbols = F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))
-    capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
+    inside = F.char_length(F.array_join(words, ""))
+    capitals = F.regexp_count(text, F.lit(CAPITALS))
 
     def repeated(lines: Column) -> Column:
         return 1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x) != "")
-    measures = (symbols / n, F.size(F.array_distinct(words)) / n, capitals / F.greatest(letters, F.lit(1)), let(lines, repeated), letters / n)
+    measures = ((F.char_length(text) - inside) / n, F.size(different) / n, capitals / n, let(lines, repeated), inside / n)
 
     def passed(m: Column, i: int, steps: tuple[float, ...]) -> Column:
         return F.xxhash64(F.lit(-1 - i), sum(((m >= s).cast("int") for s in steps), F.lit(0)))
@@ -112,13 +111,18 @@ def shape_of(text: Column, words: Column) -> Column:
 
 
 def features_of(text: Column) -> Column:
-    """Hashes of whole words, of the beginnings of longer ones and of the text's shape. A feature may come repeatedly."""
-    def hashed(w: Column) -> Column:
-        starts = [F.transform(F.filter(w, lambda x: F.char_length(x) > n), lambda x: F.xxhash64(F.lit(n), F.substring(x, 1, n)))
+    """Hashes of the different words, of the beginnings of longer ones and of the text's shape. A beginning may come repeatedly."""
+    def hashed(p: Column) -> Column:
+        words = p["different"]
+        starts = [F.transform(F.filter(words, lambda x: F.char_length(x) > n), lambda x: F.xxhash64(F.lit(n), F.substring(x, 1, n)))
                   for n in PREFIXES]
-        return F.concat(F.transform(w, lambda x: F.xxhash64(F.lit(0), x)), *starts, shape_of(F.coalesce(text, F.lit("")), w))
+        return F.concat(F.transform(words, lambda x: F.xxhash64(F.lit(0), x)), *starts,
+                        shape_of(F.coalesce(text, F.lit("")), p["words"], words))
 
-    return let(F.array_remove(words_of(text), ""), hashed)
+    def parted(words: Column) -> Column:
+        return F.struct(words.alias("words"), F.array_distinct(words).alias("different"))
+
+    return let(let(F.array_remove(words_of(text), ""), parted), hashed)
 
 
 def n_words(text: Column) -> Column:

@@ -219,9 +219,9 @@ def brute_features(text):
     found = {("word", w) for w in words} | {(n, w[:n]) for w in words for n in mixing.PREFIXES if len(w) > n}
     if words:
         lines = [x for x in text.split("\n") if x.strip(" ")]
-        letters = len(regex.findall(r"\p{L}", text))
-        shape = (sum(text.count(c) for c in mixing.SYMBOLS) / len(words), len(set(words)) / len(words),
-                 len(regex.findall(r"\p{Lu}", text)) / max(letters, 1), 1 - len(set(lines)) / max(len(lines), 1), letters / len(words))
+        inside = sum(map(len, words))
+        shape = ((len(text) - inside) / len(words), len(set(words)) / len(words),
+                 len(regex.findall(mixing.CAPITALS, text)) / len(words), 1 - len(set(lines)) / max(len(lines), 1), inside / len(words))
         found |= {(name, sum(m >= s for s in steps)) for m, (name, steps) in zip(shape, mixing.SHAPE)}
     return found
 
@@ -288,7 +288,7 @@ def test_posteriors_equal_brute_force(make, spark):
     taught = [tuple(r) for r in mixing.labelled_texts(docs, mixing.labelled_sample(labels)).collect()]
     assert len(taught) < labels.count() - 40
     posterior, weights = brute_posteriors(taught, domains)
-    assert any(f[0] == "symbols to words" for f in weights) and ("word", "vileword0") in weights
+    assert any(f[0] == "characters between words to words" for f in weights) and ("word", "vileword0") in weights
     got = {r.doc_id: [r.p_0, r.p_1, r.p_2] for r in mixing.memberships(docs, labels, domains).collect()}
     for doc_id, text, *_ in rows:
         assert got[doc_id] == pytest.approx(posterior(text), abs=1e-9), doc_id
