@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.functions.similarity import masks_if_short, metaphone, ratio_by_masks, trigrams
+from earshot.functions.text import let
+from earshot.operators.setjoin import bag, similar_sets
 from earshot.operators.spans import Reach
+from earshot.session import via_table
 
 # Weights of the three scores, the acceptance threshold, candidates re-ranked.
 SEMANTIC_WEIGHT, FUZZY_WEIGHT, PHONETIC_WEIGHT = 0.5, 0.3, 0.2
@@ -90,6 +93,20 @@ def retrieve(spans: DataFrame, index: DataFrame, k: int = TOP_K, min_semantic: f
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
 
 
+def filled(near: DataFrame, spans: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The retrieved terms of every distinct span, filled up to ``k`` with terms of score 0 in the order of the terms.
+
+    A span lacks at most ``k`` terms and has fewer than ``k``, so the first ``k`` terms of the index hold those it needs.
+    """
+    heads = F.array(*(F.lit(r["term"]) for r in index.select("term").distinct().orderBy("term").limit(k).collect())).cast("array<string>")
+    found = near.groupBy("span").agg(F.collect_list(F.struct("term", "semantic_score")).alias("found"))
+    rows = spans.select("span").distinct().join(found, "span", "left")
+    have = F.coalesce("found", F.array().cast(found.schema["found"].dataType))
+    rest = F.slice(F.filter(heads, lambda t: ~F.array_contains(have["term"], t)), F.lit(1), k - F.size(have))
+    more = F.transform(rest, lambda t: F.struct(t.alias("term"), F.lit(0.0).alias("semantic_score")))
+    return rows.select("span", F.inline(F.concat(have, more)))
+
+
 # Spans longer than this are held to the need of this length.
 REACH_LENGTHS = 64
 
@@ -156,10 +173,77 @@ def _scored(near: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def _by_score() -> list[Column]:
+    """Scores that differ by less than their arithmetic's noise are ties, which go by term."""
+    return [F.round("final_score", 9).desc(), F.round("semantic_score", 9).desc(), F.col("term")]
+
+
+def _ranked(scored: DataFrame) -> DataFrame:
+    order = Window.partitionBy("span").orderBy(*_by_score())
+    return scored.withColumn("rank", F.row_number().over(order))
+
+
 def rank_candidates(spans: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The retrieved terms with all scores, ranked by the weighted one."""
-    order = Window.partitionBy("span").orderBy(F.desc("final_score"), F.desc("semantic_score"), "term")
-    return _scored(retrieve(spans, index, k), index).withColumn("rank", F.row_number().over(order))
+    """The ``k`` nearest terms by meaning of each distinct span (all, if the index has fewer), ranked by the weighted score."""
+    return _ranked(_scored(filled(retrieve(spans, index, k), spans, index, k), index))
+
+
+def _listed(spans: DataFrame, index: DataFrame, depth: float | None) -> DataFrame:
+    """``span, term`` of all pairs that stand in one of three lists, sorted by trigrams, letters and sounds, down to ``depth``.
+
+    ``spans``: ``span``, and ``depth`` where it is not one number. Common letters bound the letter score
+    from above, those of the sound codes the sound score, so the lists hold every pair whose scores lie that deep.
+    """
+    terms = via_table(index.select("term").distinct(), "terms")
+    spans = spans.withColumnRenamed("depth", "at_least")
+
+    def listed(tokens, measure: str) -> DataFrame:
+        left = spans.select(F.col("span").alias("left_id"), *(["at_least"] if depth is None else []), tokens(F.col("span")).alias("tokens"))
+        right = terms.select(F.col("term").alias("right_id"), tokens(F.col("term")).alias("tokens"))
+        return similar_sets(left, right, depth, measure).select(F.col("left_id").alias("span"), F.col("right_id").alias("term"))
+
+    sounds = listed(lambda c: bag(metaphone(c)), "dice")
+    return listed(trigrams, "cosine").union(listed(lambda c: bag(F.lower(c)), "dice")).union(sounds).distinct()
+
+
+def _measured(pairs: DataFrame, index: DataFrame, least: Column) -> DataFrame:
+    """All scores of ``span, term`` pairs, of those that can reach ``least`` by their trigrams and common letters."""
+
+    def share(a: Column, b: Column) -> Column:
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
+
+    grams = F.struct(trigrams(F.col("span")).alias("a"), trigrams(F.col("term")).alias("b"))
+    semantic = let(grams, lambda g: F.size(F.array_intersect(g["a"], g["b"])) / F.sqrt(F.size(g["a"]) * F.size(g["b"])))
+    told = pairs.withColumn("semantic_score", semantic)
+    bags = F.struct(*(bag(x).alias(n) for n, x in (
+        ("a", F.lower("span")), ("b", F.lower("term")), ("c", metaphone(F.col("span"))), ("d", metaphone(F.col("term"))))))
+    ceiling = let(bags, lambda g: final_score(F.lit(0.0), share(g["a"], g["b"]), share(g["c"], g["d"])))
+    can = told.where(SEMANTIC_WEIGHT * F.col("semantic_score") + ceiling >= least - 1e-9)
+    return _scored(can.select("span", "term", "semantic_score"), index)
+
+
+def rank_by_all(spans: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The ``k`` best terms of each distinct span by the weighted score, whatever their rank by meaning.
+
+    A threshold search over three sorted lists. The ``k`` nearest by meaning are scored first; the last of them says
+    how deep the lists of trigrams, letters and sounds must be read: the weights add up to 1, so a term below that
+    depth in all three lists scores below it too. Nothing else is scored, and the result is that of scoring every pair.
+    """
+    first = via_table(rank_candidates(spans, index, k), "first-candidates")
+    depth = first.groupBy("span").agg(F.min("final_score").alias("depth"), F.count("*").alias("n"))
+    more = _listed(depth.where(F.col("n") == k).select("span", "depth"), index, None)
+    new = more.join(first.select("span", "term"), ["span", "term"], "left_anti").join(depth.select("span", "depth"), "span")
+    scored = _measured(new, index, F.col("depth")).unionByName(first.drop("rank"))
+    return _ranked(scored).where(F.col("rank") <= k)
+
+
+def best_by_all(spans: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The best of all terms of each span when it reaches the threshold, however low, and differs from the span."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"the threshold lies above 0 and up to 1, not {threshold}")
+    pairs = _listed(spans.select("span").distinct(), index, threshold)
+    reached = _measured(pairs, index, F.lit(threshold)).where(F.col("final_score") >= threshold)
+    return _ranked(reached).where(F.col("rank") == 1).drop("rank").where(F.lower("span") != F.lower("term"))
 
 
 def best_candidates(spans: DataFrame, index: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K) -> DataFrame:
@@ -179,7 +263,7 @@ def best_candidates(spans: DataFrame, index: DataFrame, threshold: float = THRES
     ceiling = final_score(F.col("semantic_score"), 2 * F.least(a, b) / (a + b), F.lit(1.0))
     scored = _scored(near.where(ceiling >= threshold - 1e-9), index)
     reached = scored.where(F.col("final_score") >= threshold)
-    order = Window.partitionBy("span").orderBy(F.desc("final_score"), F.desc("semantic_score"), "term")
+    order = Window.partitionBy("span").orderBy(*_by_score())
     best = reached.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).drop("rank")
     return best.where(F.lower("span") != F.lower("term"))
 

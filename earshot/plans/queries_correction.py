@@ -15,6 +15,7 @@ from earshot.operators import reports as R
 from earshot.operators import retrieval as V
 from earshot.operators import scoring as S
 from earshot.operators import spans as P
+from earshot.operators.setjoin import similar_sets
 from earshot.plans import corpus as C
 from earshot.plans.queries_metrics import sql_strings, sql_words, with_targets
 from earshot.plans.queries_text import sql_normalize
@@ -186,25 +187,120 @@ def q_fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("span", "term", F.round(X.fuzzy_ratio(F.col("span"), F.col("term")), 9).alias("fuzzy_score"))
 
 
-@query("phonetic_ratio")
+# The sound rules in SQL, whose patterns cannot look around: what stands around a match is matched and put back. Rules
+# whose contexts can overlap are applied until chains of them are done.
+_DOUBLED = [(f"{c}{c}+", c) for c in "abdefghijklmnopqrstuvwxyz"]
+SQL_METAPHONE = [
+    ("[^a-z ]", ""), ("(^|[^a-z])(?:a(e)|[gkp](n)|w(r))", r"\1\2\3\4"), ("(^|[^a-z])x", r"\1s"), ("(^|[^a-z])wh", r"\1w"),
+    *_DOUBLED, ("mb([^a-z]|$)", r"m\1"), ("tch", "ch"), ("sch", "sK"), ("ch|c(ia)", r"X\1"), ("sc([iey])", r"s\1"),
+    ("c([iey])", r"S\1"), ("ck?", "K"), ("dg([eiy])", r"J\1"), ("d", "T"), *[("g(h[^aeiou ])", r"\1")] * 2,
+    ("g(n(?:ed)?(?:[^a-z]|$))", r"\1"), ("gh", "K"), ("g([iey])", r"J\1"), ("g", "K"), ("ph", "F"), ("sh|s(i[oa])", r"X\1"),
+    ("t(i[oa])", r"X\1"), ("th", "0"), ("([aeiou])h([^aeiou]|$)", r"\1\2"), ("q", "K"), ("v", "F"), ("x", "KS"), ("z", "S"),
+    *[("[wy]([^aeiou]|$)", r"\1")] * 4, ("([a-zA-Z0])[aeiou]+", r"\1"),
+]
+
+
+def sql_metaphone(expr: str) -> str:
+    out = f"lower({expr})"
+    for pattern, code in SQL_METAPHONE:
+        out = f"regexp_replace({out}, '{pattern}', '{code}', 'g')"
+    return f"trim(regexp_replace(upper({out}), ' +', ' ', 'g'))"
+
+
+_CODED = f"""span_codes AS (SELECT word AS span, {sql_metaphone('word')} AS code_a FROM words WHERE word <> ''),
+term_codes AS (SELECT term, {sql_metaphone('term')} AS code_b FROM terms)"""
+# Scores of pairs ``near`` (span, term, semantic). The letters and the sounds go through the same fold.
+_SCORED = f"""{_CODED}, spelled AS (SELECT span, term, semantic, regexp_extract_all(lower(span), '(?s).') AS a, regexp_extract_all(term, '(?s).') AS b,
+  regexp_extract_all(code_a, '(?s).') AS ca, regexp_extract_all(code_b, '(?s).') AS cb FROM near JOIN span_codes USING (span) JOIN term_codes USING (term)),
+three AS (SELECT span, term, semantic, 2 * {LCS} / (len(a) + len(b)) AS fuzzy,
+  CASE WHEN len(ca) = 0 OR len(cb) = 0 THEN 0 ELSE 2 * {LCS.replace('len(b)', 'len(cb)').replace('b[j]', 'cb[j]').replace('list_reduce(a,', 'list_reduce(ca,')} / (len(ca) + len(cb)) END AS phonetic FROM spelled),
+final AS (SELECT *, {V.SEMANTIC_WEIGHT} * semantic + {V.FUZZY_WEIGHT} * fuzzy + {V.PHONETIC_WEIGHT} * phonetic AS score FROM three)"""
+
+
+@query("phonetic_ratio", f"WITH {_RETRIEVED}, {_SCORED} SELECT span, term, round(phonetic, 9) AS phonetic_score FROM three")
 def q_phonetic_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = V.retrieve(doc_words(spark, sf_dir), index(spark), 3)
-    return near.select("span", "term", X.phonetic_ratio(F.col("span"), F.col("term")).alias("phonetic_score"))
+    return near.select("span", "term", F.round(X.phonetic_ratio(F.col("span"), F.col("term")), 9).alias("phonetic_score"))
 
 
-@query("metaphone")
+@query("metaphone", f"WITH {_DOC_WORDS} SELECT word AS span, {sql_metaphone('word')} AS code FROM words WHERE word <> ''")
 def q_metaphone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_words(spark, sf_dir).select("span", X.metaphone(F.col("span")).alias("code"))
 
 
-@query("rank_candidates")
+# All terms of every span, those without a common trigram with score 0 and in the order of the terms.
+_ALL_PAIRS = "{spans} CROSS JOIN terms LEFT JOIN pairs ON pairs.span = word AND pairs.term = terms.term"
+_FILLED = f"""{_RETRIEVED.rpartition('near AS')[0]}
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY semantic DESC, term) AS place
+  FROM (SELECT word AS span, terms.term AS term, coalesce(semantic, 0.0) AS semantic FROM {_ALL_PAIRS.format(spans='words')} WHERE word <> '')) WHERE place <= 3)"""
+_RANKED_COLUMNS = """span, term, round(semantic, 9) AS semantic_score, round(fuzzy, 9) AS fuzzy_score,
+  round(phonetic, 9) AS phonetic_score, round(score, 9) AS final_score"""
+# Equal scores have to be equal in both engines' arithmetic, so they are ordered by their rounded values.
+_BY_SCORE = "PARTITION BY span ORDER BY round(score, 9) DESC, round(semantic, 9) DESC, term"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("semantic_score", "fuzzy_score", "phonetic_score", "final_score")})
+
+
+@query(
+    "rank_candidates",
+    f"WITH {_FILLED}, {_SCORED} SELECT {_RANKED_COLUMNS}, row_number() OVER ({_BY_SCORE}) AS rank FROM final",
+)
 def q_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.rank_candidates(doc_words(spark, sf_dir), index(spark), 3)
+    return _rounded(V.rank_candidates(doc_words(spark, sf_dir), index(spark), 3))
 
 
-@query("best_candidates")
+@query(
+    "best_candidates",
+    f"""WITH {_RETRIEVED}, {_SCORED}, best AS (SELECT *, row_number() OVER ({_BY_SCORE}) AS rank FROM final WHERE score >= {V.THRESHOLD})
+        SELECT {_RANKED_COLUMNS} FROM best WHERE rank = 1 AND span <> term""",
+)
 def q_best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.best_candidates(doc_words(spark, sf_dir), index(spark))
+    return _rounded(V.best_candidates(doc_words(spark, sf_dir), index(spark)))
+
+
+# Search by all three scores: every word of the benchmark items against every term.
+_EVERY_PAIR = f"""words AS (SELECT term AS word FROM ({_ITEM_WORDS}) WHERE term <> ''), {_RETRIEVED[len(_DOC_WORDS) + 2:].rpartition('near AS')[0]}
+near AS (SELECT word AS span, terms.term AS term, coalesce(semantic, 0.0) AS semantic FROM {_ALL_PAIRS.format(spans='words')})"""
+
+
+@query(
+    "rank_by_all",
+    f"""WITH {_EVERY_PAIR}, {_SCORED}, ranked AS (SELECT *, row_number() OVER ({_BY_SCORE}) AS rank FROM final)
+        SELECT {_RANKED_COLUMNS}, rank FROM ranked WHERE rank <= 3""",
+)
+def q_rank_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = item_words(spark, sf_dir).withColumnRenamed("term", "span")
+    return _rounded(V.rank_by_all(spans, index(spark), 3))
+
+
+@query(
+    "best_by_all",
+    f"""WITH {_EVERY_PAIR}, {_SCORED}, best AS (SELECT *, row_number() OVER ({_BY_SCORE}) AS rank FROM final WHERE score >= 0.35)
+        SELECT {_RANKED_COLUMNS} FROM best WHERE rank = 1 AND span <> term""",
+)
+def q_best_by_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = item_words(spark, sf_dir).withColumnRenamed("term", "span")
+    return _rounded(V.best_by_all(spans, index(spark), 0.35))
+
+
+@query(
+    "similar_words",
+    f"""WITH {_DOC_WORDS}, terms AS (SELECT * FROM ({_ITEM_WORDS}) WHERE term <> ''),
+        wg AS (SELECT word, list_distinct(list_transform(range(1, length(word) + 1), lambda i: concat(' ', word, ' ')[i : i + 2])) AS g FROM words WHERE word <> ''),
+        tg AS (SELECT term, list_distinct(list_transform(range(1, length(term) + 1), lambda i: concat(' ', term, ' ')[i : i + 2])) AS g FROM terms),
+        wr AS (SELECT word, len(g) AS a, unnest(g) AS gram FROM wg), tr AS (SELECT term, len(g) AS b, unnest(g) AS gram FROM tg)
+        SELECT word, term, count(*) AS shared, any_value(a) AS word_grams, any_value(b) AS term_grams
+        FROM wr JOIN tr USING (gram) GROUP BY word, term HAVING count(*) >= 0.6 * sqrt(any_value(a) * any_value(b)) - 1e-9""",
+)
+def q_similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the transcripts with the words of the benchmark items whose trigrams are alike."""
+    left = doc_words(spark, sf_dir).select(F.col("span").alias("left_id"), X.trigrams(F.col("span")).alias("tokens"))
+    right = item_words(spark, sf_dir).select(F.col("term").alias("right_id"), X.trigrams(F.col("term")).alias("tokens"))
+    return similar_sets(left, right, 0.6).select(
+        F.col("left_id").alias("word"), F.col("right_id").alias("term"), F.col("shared").cast("long"),
+        F.col("left_size").alias("word_grams"), F.col("right_size").alias("term_grams"))
 
 
 # Gate. Feature rows are derived from the embeddings: three score-like numbers
