@@ -375,8 +375,7 @@ def q_gate_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.classification_report(judged, "should_correct", "predicted")
 
 
-# Choice and rewrite. Hits are all runs that begin with a clinical stem, of any length and at any place. The choice
-# is a fold in order of length; as SQL it takes minutes on whole tables, so tests hold it against brute force.
+# Choice and rewrite. Hits are all runs that begin with a clinical stem, of any length and at any place.
 _HIT_STEMS = ["met", "atorvastat", "hydroxy", "omepra", "torse", "taking", "keep"]
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,13 +387,42 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.where(starts).groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
 
 
-@query("select_spans")
+def sql_chosen() -> str:
+    """The choice in SQL, length by length: runs that a longer chosen one touches go, the others are taken from the left.
+
+    Reads ``hits`` (doc_id, start, "end", ..) and makes ``chosen``.
+    """
+    parts, kept = [], []
+    for n in (4, 3, 2, 1):
+        taken = " UNION ALL ".join(f"SELECT doc_id, unnest(range(start, start + {m})) AS pos FROM kept_{m}" for m in kept)
+        blocked = (f"""SELECT DISTINCT doc_id, start FROM (SELECT doc_id, start, unnest(range(start, start + {n})) AS pos
+          FROM hits WHERE "end" - start = {n}) JOIN ({taken}) USING (doc_id, pos)""" if kept else "SELECT doc_id, start FROM hits WHERE false")
+        parts.append(f"""kept_{n} AS (SELECT doc_id, start FROM (
+          SELECT doc_id, unnest(list_reduce(list(start ORDER BY start), lambda acc, s: CASE WHEN s >= acc[-1] + {n} THEN list_append(acc, s) ELSE acc END, [-100::BIGINT])) AS start
+          FROM (SELECT doc_id, start::BIGINT AS start FROM hits WHERE "end" - start = {n} EXCEPT SELECT doc_id, start FROM ({blocked})) GROUP BY doc_id) WHERE start >= 0)""")
+        kept.append(n)
+    together = " UNION ALL ".join(f'SELECT doc_id, start, start + {n} AS "end" FROM kept_{n}' for n in kept)
+    return ", ".join([*parts, f'chosen AS (SELECT h.* FROM hits h JOIN ({together}) k ON h.doc_id = k.doc_id AND h.start = k.start AND h."end" = k."end")'])
+
+
+# Every text rewritten: the first word of a chosen span becomes its candidate, the others go.
+SQL_REWRITTEN = """covered AS (SELECT doc_id, start, unnest(range(start, "end")) AS pos, candidate FROM chosen),
+placed AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM ws, unnest(range(1, len(w) + 1)) AS t(i)),
+rewritten AS (SELECT ws.doc_id, coalesce(e.text, '') AS text FROM ws LEFT JOIN (
+  SELECT p.doc_id, string_agg(CASE WHEN c.doc_id IS NULL THEN word WHEN p.pos = c.start THEN candidate END, ' ' ORDER BY p.pos) AS text
+  FROM placed p LEFT JOIN covered c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id) e ON ws.doc_id = e.doc_id)"""
+
+_SQL_HITS = f"""{NGRAMS}, hits AS (SELECT doc_id, start, "end", upper(span) AS candidate FROM runs
+  WHERE {' OR '.join(f"starts_with(lower(span), '{stem}')" for stem in _HIT_STEMS)})"""
+
+
+@query("select_spans", f'WITH {_SQL_HITS}, {sql_chosen()} SELECT doc_id, start, "end", candidate FROM chosen')
 def q_select_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = _hits(spark, sf_dir).select("doc_id", F.inline(P.select_spans(F.col("hits"))))
     return chosen.select("doc_id", "start", "end", "candidate")
 
 
-@query("apply_corrections")
+@query("apply_corrections", f"WITH {_SQL_HITS}, {sql_chosen()}, {SQL_REWRITTEN} SELECT doc_id, text FROM rewritten")
 def q_apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = heard(spark, sf_dir)
     chosen = _hits(spark, sf_dir).select("doc_id", P.select_spans(F.col("hits")).alias("chosen"))
@@ -403,23 +431,58 @@ def q_apply_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The whole correction in SQL: forms of the candidate spans, their nearest terms, scores, gate, choice, rewrite. Pairs
+# whose trigrams alone rule the threshold out go first, as the other two scores are at most 1.
+_FLOOR = (V.THRESHOLD - V.FUZZY_WEIGHT - V.PHONETIC_WEIGHT) / V.SEMANTIC_WEIGHT
+_FORM_GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}), 1) + 1), lambda i: concat(' ', {0}, ' ')[i : i + 2]))"
+_JUDGED = f"""{NGRAMS}, terms AS (SELECT unnest({sql_strings(E.MEDICATION_VOCABULARY)}) AS term),
+words AS (SELECT DISTINCT form AS word FROM candidates),
+fr AS (SELECT word, len(g) AS n, unnest(g) AS gram FROM (SELECT word, {_FORM_GRAMS.format('word')} AS g FROM words)),
+tr AS (SELECT term, len(g) AS m, unnest(g) AS gram FROM (SELECT term, {_FORM_GRAMS.format('term')} AS g FROM terms)),
+pairs AS (SELECT word AS span, term, count(*) / sqrt(any_value(n) * any_value(m)) AS semantic FROM fr JOIN tr USING (gram)
+  GROUP BY word, term HAVING count(*) / sqrt(any_value(n) * any_value(m)) >= {_FLOOR} - 1e-9),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY span ORDER BY semantic DESC, term) AS place FROM pairs) WHERE place <= 3),
+{_SCORED.replace("FROM words WHERE word <> ''", "FROM words WHERE word IN (SELECT span FROM near)")},
+best AS (SELECT *, row_number() OVER ({_BY_SCORE}) AS rank FROM final WHERE score >= {V.THRESHOLD}),
+features AS (SELECT span, term, score, semantic AS semantic_score, fuzzy AS fuzzy_score, phonetic AS phonetic_score, len(fw) AS word_count,
+  CASE WHEN list_has_any(fw, {sql_strings(G.STOPWORDS)}) THEN 1 ELSE 0 END AS contains_stopword, 0 AS contains_digit
+  FROM (SELECT *, list_filter(string_split(span, ' '), lambda x: x <> '') AS fw FROM best WHERE rank = 1 AND span <> term)),
+judged_forms AS (SELECT *, {_sql_probability()} AS p FROM features)"""
+
+
+def sql_corrected(gated: bool) -> str:
+    """``chosen`` (with all scores) and ``rewritten`` of the ungated or the gated correction."""
+    return f"""{_JUDGED}, hits AS (SELECT doc_id, start, "end", c.span AS original, clean, term AS candidate, f.* EXCLUDE (span, term)
+  FROM candidates c JOIN judged_forms f ON c.form = f.span {f'WHERE p >= {G.THRESHOLD}' if gated else ''}),
+{sql_chosen()}, {SQL_REWRITTEN},
+corrected AS (SELECT r.doc_id, r.text AS corrected_text, coalesce(n, 0) AS corrections, coalesce(lost, false) AS digits_lost
+  FROM rewritten r LEFT JOIN (SELECT doc_id, count(*) AS n, bool_or(regexp_matches(original, '\\p{{Nd}}') AND NOT regexp_matches(candidate, '\\p{{Nd}}')) AS lost
+  FROM chosen GROUP BY doc_id) c ON r.doc_id = c.doc_id)"""
+
+
 def _corrected(spark: SparkSession, sf_dir: str, gate) -> DataFrame:
     return K.correct(heard(spark, sf_dir), index(spark), "doc_id", "text", gate)
 
 
-@query("correct_ungated")
+@query("correct_ungated", f"WITH {sql_corrected(False)} SELECT * FROM corrected")
 def q_correct_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _corrected(spark, sf_dir, None)
     return done.select("doc_id", "corrected_text", F.size("corrections").alias("corrections"), "digits_lost")
 
 
-@query("correct_gated")
+@query("correct_gated", f"WITH {sql_corrected(True)} SELECT * FROM corrected")
 def q_correct_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _corrected(spark, sf_dir, G.DEFAULT)
     return done.select("doc_id", "corrected_text", F.size("corrections").alias("corrections"), "digits_lost")
 
 
-@query("correction_records")
+@query(
+    "correction_records",
+    f"""WITH {sql_corrected(True)} SELECT doc_id, '{K.GATED}' AS type, original, clean AS clean_span, candidate AS corrected,
+        round(score, 4) AS retrieval_score, round(p, 4) AS gate_probability, round(semantic_score, 4) AS semantic_score,
+        round(fuzzy_score, 4) AS fuzzy_score, round(phonetic_score, 4) AS phonetic_score, word_count, contains_stopword, contains_digit
+        FROM chosen""",
+)
 def q_correction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _corrected(spark, sf_dir, G.DEFAULT)
     records = done.select("doc_id", F.inline_outer("corrections")).where(F.col("type").isNotNull())
@@ -515,7 +578,17 @@ def four_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "baseline", F.col("predicted_text").alias("hypothesis"))
 
 
-@query("baseline_variants_corrected")
+# Both corrections share the judged forms; only their hits differ.
+_SQL_FOUR = f"""WITH raw AS (SELECT doc_id, text FROM (WITH {C.MISHEARD} SELECT doc_id, text FROM misheard)),
+  ungated AS (SELECT doc_id, corrected_text FROM (WITH {sql_corrected(False)} SELECT * FROM corrected)),
+  gated AS (SELECT doc_id, corrected_text FROM (WITH {sql_corrected(True)} SELECT * FROM corrected))
+SELECT doc_id, '{N.BASELINES[0]}' AS baseline, text AS hypothesis FROM raw
+UNION ALL SELECT doc_id, '{N.BASELINES[1]}', {sql_normalize('text')} FROM raw
+UNION ALL SELECT doc_id, '{N.BASELINES[2]}', corrected_text FROM ungated
+UNION ALL SELECT doc_id, '{N.BASELINES[3]}', corrected_text FROM gated"""
+
+
+@query("baseline_variants_corrected", _SQL_FOUR)
 def q_four_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return four_baselines(spark, sf_dir)
 
