@@ -15,6 +15,7 @@ from earshot.operators import reports as R
 from earshot.operators import retrieval as V
 from earshot.operators import scoring as S
 from earshot.operators import spans as P
+from earshot.operators import vector_index as I
 from earshot.operators.setjoin import similar_sets
 from earshot.plans import corpus as C
 from earshot.plans.queries_metrics import sql_strings, sql_words, with_targets
@@ -131,6 +132,15 @@ def q_semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("semantic_score", F.round("semantic_score", 6))
 
 
+@query("approximate_topk")
+def q_approximate_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against a stored index of all of them, by its nearest cells. What it finds is scored exactly."""
+    vectors = C.table(spark, sf_dir, "embeddings")
+    stored = I.write_vector_index(vectors.select(F.col("vec_id").alias("term_id"), "embedding"), fresh_path(spark, "vectors"), "term_id")
+    top = I.approximate_topk(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), stored, 3)
+    return top.withColumn("semantic_score", F.round("semantic_score", 6))
+
+
 @query(
     "normalize_vectors",
     """WITH n AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings)
