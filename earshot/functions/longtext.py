@@ -55,6 +55,9 @@ def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
+# The form SQL functions call: it may stand inside an aggregate, which a volatile one may not.
+long_distance_udf = _long_distance
+
 # Declared volatile so that the optimizer neither moves a filter on the result
 # below the UDF nor evaluates the UDF a second time.
 _once = _long_distance.asNondeterministic()

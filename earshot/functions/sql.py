@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from earshot.functions.longtext import LONG_PAIR_CELLS, long_distance_udf
 from earshot.functions.metrics import BANDS, SHORT_ALPHABET
 from earshot.functions.text import BLANK
 
+LONG_DISTANCE = "earshot_long_distance"
 _BLANK = BLANK.replace("\\", "\\\\")
 
 
@@ -18,6 +20,12 @@ def _distance(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 0 ELSE {out} END"
 
 
+def _either_distance(a: str, b: str) -> str:
+    """The distance of two strings; long pairs take the Arrow route, which others reach as nulls."""
+    asked = [f"CASE WHEN CAST(length({a}) AS BIGINT) * length({b}) > {LONG_PAIR_CELLS} AND {a} <> {b} THEN {x} END" for x in (a, b)]
+    return f"coalesce({LONG_DISTANCE}({', '.join(asked)}), {_distance(a, b)})"
+
+
 def _symbols(words: str, missing: int) -> str:
     place = "array_position(p.s, w)"
     point = f"CASE WHEN {place} = 0 THEN {missing} WHEN {place} >= 55294 THEN {place} + 2050 ELSE {place} + 2 END"
@@ -43,7 +51,7 @@ FUNCTIONS = {
         array(named_struct('r', {_words('ref')}, 'h', {_words('hyp')}, 's', array_intersect({_words('ref')}, {_words('hyp')}))),
         p -> named_struct('n', size(p.r), 'r', {_symbols('r', 1)}, 'h', {_symbols('h', 2)})),
         q -> ({_distance('q.r', 'q.h')}) / greatest(1, q.n)), 1)""",
-    "cer": f"({_distance('''coalesce(ref, '')''', '''coalesce(hyp, '')''')}) / greatest(1, length(coalesce(ref, '')))",
+    "cer": f"({_either_distance("coalesce(ref, '')", "coalesce(hyp, '')")}) / greatest(1, length(coalesce(ref, '')))",
     "keyword_accuracy": _share(_words("ref"), _words("hyp")),
     "numeric_accuracy": _share(_digits("ref"), _digits("hyp")),
     "negation_accuracy": "CAST(contains(coalesce(ref, ''), 'no ') = contains(coalesce(hyp, ''), 'no ') AS DOUBLE)",
@@ -52,6 +60,7 @@ FUNCTIONS = {
 
 def register(spark: SparkSession) -> None:
     """Create ``wer, cer, keyword_accuracy, numeric_accuracy, negation_accuracy`` (ref, hyp)."""
+    spark.udf.register(LONG_DISTANCE, long_distance_udf)
     for name, body in FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(ref STRING, hyp STRING) RETURNS DOUBLE RETURN {body}"

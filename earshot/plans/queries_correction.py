@@ -460,9 +460,13 @@ features AS (SELECT span, term, score, semantic AS semantic_score, fuzzy AS fuzz
 judged_forms AS (SELECT *, {_sql_probability()} AS p FROM features)"""
 
 
-def sql_corrected(gated: bool) -> str:
-    """``chosen`` (with all scores) and ``rewritten`` of the ungated or the gated correction."""
-    return f"""{_JUDGED}, hits AS (SELECT doc_id, start, "end", c.span AS original, clean, term AS candidate, f.* EXCLUDE (span, term)
+def sql_corrected(gated: bool, source: str = "misheard", made: str = C.MISHEARD) -> str:
+    """``chosen`` (with all scores) and ``rewritten`` of the ungated or the gated correction of a table (doc_id, text).
+
+    ``made``: the parts that make the table ``source``.
+    """
+    judged = _JUDGED.replace(C.MISHEARD, made, 1).replace("AS w FROM misheard)", f"AS w FROM {source})", 1)
+    return f"""{judged}, hits AS (SELECT doc_id, start, "end", c.span AS original, clean, term AS candidate, f.* EXCLUDE (span, term)
   FROM candidates c JOIN judged_forms f ON c.form = f.span {f'WHERE p >= {G.THRESHOLD}' if gated else ''}),
 {sql_chosen()}, {SQL_REWRITTEN},
 corrected AS (SELECT r.doc_id, r.text AS corrected_text, coalesce(n, 0) AS corrections, coalesce(lost, false) AS digits_lost

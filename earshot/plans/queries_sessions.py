@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from earshot.operators import gate as G
 from earshot.operators import sessions as T
 from earshot.plans import corpus as C
-from earshot.plans.queries_correction import heard, index
+from earshot.plans.queries_correction import heard, index, sql_corrected
 from earshot.plans.queries_text import (
     _JOINED,
     _PROMPT,
@@ -231,7 +231,27 @@ def _misheard_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.session_transcripts(T.ingest(heard))
 
 
-@query("finalize_session_corrected")
+# The transcripts of the asked sessions as the raw system hears them, corrected by the gate.
+_HEARD = C.CHUNKS.replace(C.sql_replace_all("text", C.CLINICAL), C.sql_replace_all(C.sql_replace_all("text", C.CLINICAL), C.RAW_ERRORS), 1)
+_HEARD_SESSIONS = f"""{WHOLE.replace(C.CHUNKS, _HEARD, 1)}, {REQUESTS}, known AS (SELECT session_id AS doc_id, coalesce(normalized_transcript, '') AS text
+  FROM requests JOIN whole USING (session_id))"""
+
+
+@query(
+    "finalize_session_corrected",
+    f"""WITH {sql_corrected(True, 'known', _HEARD_SESSIONS)},
+        joined AS (SELECT requests.session_id, audience, normalized_transcript, rewritten.text AS corrected
+          FROM requests LEFT JOIN whole USING (session_id) LEFT JOIN rewritten ON rewritten.doc_id = requests.session_id),
+        asked AS (SELECT session_id, corrected AS text FROM joined),
+        {_STEPS}, {ENTITIES.format(source='asked')}
+        SELECT a.session_id, a.audience, coalesce(a.normalized_transcript, '') AS normalized_transcript,
+          coalesce(a.corrected, '') AS corrected_transcript,
+          CASE WHEN a.normalized_transcript IS NOT NULL THEN e.intent END AS intent,
+          CASE WHEN a.normalized_transcript IS NOT NULL THEN array_to_string(e.medications, '|') END AS medications,
+          r.text AS redacted_text, {_COUNTS} AS redactions,
+          CASE WHEN a.normalized_transcript IS NOT NULL THEN {_PROMPT_SQL} END AS prompt
+        FROM joined a JOIN entities e USING (session_id) JOIN {REDACTED} r USING (session_id)""",
+)
 def q_finalize_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_final(
         T.finalize(requests(spark, sf_dir), _misheard_transcripts(spark, sf_dir), index(spark), G.DEFAULT)
@@ -249,7 +269,14 @@ def q_file_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_entities(done.select("doc_id", "corrected_text", "extraction"), "extraction")
 
 
-@query("file_transcribe_corrected")
+_NORMAL = f"{C.MISHEARD}, normal AS (SELECT doc_id, {sql_normalize('text')} AS text FROM misheard)"
+
+
+@query(
+    "file_transcribe_corrected",
+    f"""WITH {sql_corrected(True, 'normal', _NORMAL)}, {ENTITIES.format(source='rewritten')}
+        SELECT doc_id, text AS corrected_text, {_JOINED}, intent, risk_flag FROM entities""",
+)
 def q_file_transcribe_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = T.transcribe_files(heard(spark, sf_dir), index(spark), "doc_id", "text", G.DEFAULT)
     return flat_entities(done.select("doc_id", "corrected_text", "extraction"), "extraction")

@@ -432,7 +432,7 @@ def q_summary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sql_functions",
-    f"""WITH {SCORED} SELECT baseline_name, condition, round(avg("WER"), 6) AS wer,
+    f"""WITH {SCORED} SELECT baseline_name, condition, round(avg("WER"), 6) AS wer, round(avg("CER"), 6) AS cer,
         round(avg("KeywordAcc"), 6) AS keyword_accuracy, round(avg("NumericAcc"), 6) AS numeric_accuracy,
         round(avg("NegationAcc"), 6) AS negation_accuracy FROM scored GROUP BY ALL""",
 )
@@ -441,6 +441,7 @@ def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs(spark, sf_dir).createOrReplaceTempView("earshot_predictions")
     return spark.sql(
         """SELECT baseline_name, condition, round(avg(wer(reference_text, predicted_text)), 6) AS wer,
+                  round(avg(cer(reference_text, predicted_text)), 6) AS cer,
                   round(avg(keyword_accuracy(reference_text, predicted_text)), 6) AS keyword_accuracy,
                   round(avg(numeric_accuracy(reference_text, predicted_text)), 6) AS numeric_accuracy,
                   round(avg(negation_accuracy(reference_text, predicted_text)), 6) AS negation_accuracy

@@ -167,3 +167,14 @@ def test_routing(spark):
     )
     got = [r[0] for r in df.select(S.route_condition(F.col("a"), F.col("c"))).collect()]
     assert got == ["accented", "clean", "clean", "telephony", "noisy"]
+
+
+def test_sql_cer_of_long_pairs(spark):
+    register(spark)
+    rng = random.Random(17)
+    long = "".join(rng.choice("abcd ") for _ in range(3000))
+    pairs = [(long, long[:1500] + "xyz" + long[1600:]), (long, long), (long, ""), ("", long), (None, "a"), ("kitten", "sitting"), (long, long[::-1])]
+    spark.createDataFrame(pairs, "ref string, hyp string").createOrReplaceTempView("long_pairs")
+    got = {(r.ref, r.hyp): r.c for r in spark.sql("SELECT ref, hyp, cer(ref, hyp) AS c FROM long_pairs").collect()}
+    assert got == pytest.approx({(a, b): bit_distance(a or "", b or "") / max(1, len(a or "")) for a, b in pairs})
+    assert spark.sql("SELECT avg(cer(ref, hyp)) AS c FROM long_pairs WHERE cer(ref, hyp) > 0.5").first().c > 0.5

@@ -37,6 +37,17 @@ def test_recall_and_exact_scores(spark, rows, tmp_path, monkeypatch):
         (r.query_id, r.place, round(r.semantic_score, 9)) for r in exact.collect()}
 
 
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    tight = np.array([centres[i % 30] + 0.02 * rng.normal(size=24) for i in range(600)])
+    loose = rng.normal(size=(600, 24))
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (tight, loose)]
+    few, many = (I.measured_probes(centres, x) for x in unit)
+    assert few == 1 < many <= 30 and I.measured_probes(centres, unit[1], 0.5) < many and I.measured_probes(centres, unit[0][:1]) == 1
+
+
 def test_empty_index(spark, rows, tmp_path):
     stored = I.write_vector_index(table(spark, rows[:1], "term").limit(0), str(tmp_path / "none"))
     assert I.approximate_topk(table(spark, rows[:3], "query_id"), stored, 2).count() == 0
