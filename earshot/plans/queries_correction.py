@@ -11,6 +11,7 @@ from earshot.functions.text import normalize, tokens
 from earshot.operators import correction as K
 from earshot.operators import evaluation as N
 from earshot.operators import gate as G
+from earshot.operators import lexicon as L
 from earshot.operators import reports as R
 from earshot.operators import retrieval as V
 from earshot.operators import scoring as S
@@ -123,6 +124,19 @@ SELECT query_id, term_id, place, round(s, 6) AS semantic_score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, term_id) AS place FROM scored) WHERE place <= 3"""
 
 
+@query(
+    "lexicon_terms",
+    f"""WITH {C.MISHEARD}, terms AS (SELECT * FROM ({_ITEM_WORDS}) WHERE term <> ''),
+        found AS (SELECT doc_id, term FROM misheard JOIN terms ON contains(lower(text), term))
+        SELECT m.doc_id, count(term) AS n_terms, coalesce(string_agg(term, '|' ORDER BY term), '') AS terms
+        FROM misheard m LEFT JOIN found f ON m.doc_id = f.doc_id GROUP BY m.doc_id""",
+)
+def q_lexicon_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark items as one large lexicon, looked up in every transcript."""
+    found = L.lexicon_terms(heard(spark, sf_dir), "doc_id", "text", item_words(spark, sf_dir))
+    return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+
+
 @query("semantic_topk", _TOPK_SQL)
 def q_semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = C.table(spark, sf_dir, "embeddings")
