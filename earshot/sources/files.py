@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot import schemas
+from earshot.sources.records import read_quoted_csv
 
-# A quoted text may go over several lines.
+# Rows of a JSON file whose names are looked at before the read.
+NAMES_FROM_ROWS = 100
+# A quoted text may go over several lines. Files of this kind that are small by nature are read whole.
 _CSV = {"header": "true", "escape": '"', "multiLine": "true"}
 # Written texts keep their blanks, and an empty text stays apart from null.
 _CSV_OUT = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""'}
@@ -24,17 +28,32 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType = sche
     """
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "csv":
-        found = spark.read.options(**_CSV).csv(path)
+        found = read_quoted_csv(spark, path)
         required = [f.name for f in schema.fields]
         validate_columns(found, required)
         return found.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     if ending == "json":
-        # The names in the file decide what is missing; a schema alone would fill it with nulls.
-        validate_columns(spark.read.option("primitivesAsString", True).json(path), [f.name for f in schema.fields])
+        # The names in the file decide what is missing; a schema alone would fill it with nulls. Only if the first rows
+        # lack a name are all of them read for it.
+        names = [f.name for f in schema.fields]
+        if set(names) - _names_of(spark.read.text(path).limit(NAMES_FROM_ROWS).collect()):
+            validate_columns(spark.read.option("primitivesAsString", True).json(path), names)
         return spark.read.schema(schema).json(path)
     raise ValueError(f"unsupported input file type: .{ending}")
 
 
+def _names_of(rows: list) -> set[str]:
+    """The names that the JSON objects of some lines have; lines that are none have none."""
+    names: set[str] = set()
+    for row in rows:
+        try:
+            told = json.loads(row[0])
+        except ValueError:
+            continue
+        names |= set(told) if isinstance(told, dict) else set()
+    return names
+
+
 def validate_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     missing = [name for name in required if name not in df.columns]
     if missing:
