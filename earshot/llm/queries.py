@@ -191,7 +191,77 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
-@_query("op11_conversation_repair")
+def _repair_sql() -> str:
+    """Damage, faults and the cost program from the first turn on: a state is its cost and audit in one string, and its text."""
+    blank = "[\\x20\\x09-\\x0D]"
+    crc = """xor(list_reduce(list_transform(regexp_extract_all({0}, '.'), lambda ch: unicode(ch)::BIGINT), lambda crc, b:
+      list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, b)), 4294967295::BIGINT), 4294967295)"""
+
+    def add(state: str, cost: str | int, label: str, line: str | None = None, when: str = "true") -> str:
+        text = f"list_append({state}.t, {line})" if line else f"{state}.t"
+        key = f"lpad((left({state}.k, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({state}.k, 7) || '{label}'"
+        return f"CASE WHEN {state} IS NOT NULL AND {when} THEN struct_pack(k := {key}, t := {text}) END"
+
+    def least(*states: str) -> str:
+        return f"list_sort(list_filter([{', '.join(states)}], lambda x: x IS NOT NULL))[1]"
+
+    def inserted(source: str) -> str:
+        user = [add(f"s{q}", conversations.INSERT, "I", "'user:'") for q in (0, 1, 3)]
+        one = f"SELECT *, {least('s2', *user)} AS i2 FROM {source}"
+        return f"SELECT *, {least('s3', add('i2', conversations.INSERT, 'I', "'assistant:'"))} AS i3 FROM ({one})"
+
+    def kept(state: str, initial: str) -> str:
+        return add(state, "more", "K", "r.role || ':' || r.text", f"NOT r.forced AND r.initial = '{initial}'")
+
+    def reroled(state: str, role: str) -> str:
+        return add(state, f"{conversations.REROLE} + more", "R", f"'{role}:' || r.text", "NOT r.forced")
+
+    def gone(state: str) -> str:
+        return add(state, conversations.DELETE, "D")
+
+    step = [
+        gone("s0"),
+        least(gone("s1"), kept("s0", "s")),
+        least(gone("i2"), *(f(q, x) for q in ("s0", "s1", "i3") for f, x in ((kept, "u"), (reroled, "user")))),
+        least(gone("i3"), kept("i2", "a"), reroled("i2", "assistant")),
+    ]
+    none = "NULL::STRUCT(k VARCHAR, t VARCHAR[])"
+    return f"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM source, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(copy)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+faulty AS (
+  SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         NOT regexp_matches(text, '[.!?]{blank}*$') AS cut FROM placed),
+turns AS (
+  SELECT *, blank OR again AS forced, CASE WHEN cut THEN {conversations.TRUNCATED} ELSE 0 END AS more,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM faulty),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT forced) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+program AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, struct_pack(k := '000000', t := []::VARCHAR[]) AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM conversations
+  UNION ALL
+  SELECT i.conv_id, r.pos, {step[0]}, {step[1]}, {step[2]}, {step[3]}
+  FROM ({inserted('program')}) i JOIN turns r ON i.conv_id = r.conv_id AND r.pos = i.pos + 1),
+done AS (
+  SELECT conv_id, {least('s0', 'i3')} AS best FROM ({inserted('program')}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, left(best.k, 6)::BIGINT AS cost,
+       substr(best.k, 7) AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM done d LEFT JOIN counts c ON d.conv_id = c.conv_id
+"""
+
+
+@_query("op11_conversation_repair", _repair_sql())
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return conversations.report(conversations.damage(rows), ids=rows)
