@@ -191,11 +191,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+# crc32 of an ASCII text, byte by byte and bit by bit.
+_CRC_SQL = """xor(list_reduce(list_transform(regexp_extract_all({0}, '.'), lambda ch: unicode(ch)::BIGINT), lambda crc, b:
+      list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, b)), 4294967295::BIGINT), 4294967295)"""
+
+
 def _repair_sql() -> str:
     """Damage, faults and the cost program from the first turn on: a state is its cost and audit in one string, and its text."""
     blank = "[\\x20\\x09-\\x0D]"
-    crc = """xor(list_reduce(list_transform(regexp_extract_all({0}, '.'), lambda ch: unicode(ch)::BIGINT), lambda crc, b:
-      list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, xor(crc, b)), 4294967295::BIGINT), 4294967295)"""
 
     def add(state: str, cost: str | int, label: str, line: str | None = None, when: str = "true") -> str:
         text = f"list_append({state}.t, {line})" if line else f"{state}.t"
@@ -229,7 +232,7 @@ def _repair_sql() -> str:
     return f"""
 WITH RECURSIVE source AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
-         {crc.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+         {_CRC_SQL.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
   FROM conversations),
 damaged AS (
   SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
@@ -267,7 +270,42 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.damage(rows), ids=rows)
 
 
-@_query("op12_periodic_runs")
+# Runs as stretches of equal eight-word grams on one diagonal: a run has such a gram again a period away everywhere, and
+# consecutive equal grams at one distance are one stretch. Of several periods of a stretch the smallest counts.
+_RUNS_SQL = f"""
+WITH base AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w0,
+         {_CRC_SQL.format('doc_id::VARCHAR')} AS h FROM documents),
+cut AS (SELECT *, len(w0) AS n, (h // 10) % len(w0) AS a, 3 + (h // 10) % 8 AS part FROM base),
+damaged AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // part) END]) ELSE w0 END AS w FROM cut),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 8], ' ') AS gram FROM damaged, unnest(range(len(w) - 7)) AS t(i)),
+pairs AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i FROM grams a JOIN grams b
+  ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND b.i - a.i <= a.n // {periodic_runs.REPEATS}),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length FROM islands GROUP BY doc_id, q, island),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches
+  WHERE length >= greatest({periodic_runs.MIN_WORDS}, {periodic_runs.REPEATS} * q) GROUP BY doc_id, start, length),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs
+  FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+words AS (SELECT doc_id, i, w[i + 1] AS word FROM damaged, unnest(range(len(w))) AS t(i)),
+left_over AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (d.i IS NULL) AS text, count(d.i) AS n_dropped
+  FROM words x LEFT JOIN dropped d ON x.doc_id = d.doc_id AND x.i = d.i GROUP BY x.doc_id)
+SELECT m.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+       sha256(coalesce(text, '')) AS collapsed_sha256, m.n::BIGINT AS n_words, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM damaged m LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@_query("op12_periodic_runs", _RUNS_SQL)
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(documents(spark, sf_dir))
 
