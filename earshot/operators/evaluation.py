@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,7 +64,19 @@ def evaluate_baselines(samples: DataFrame, truth: DataFrame, index: DataFrame, t
 
 
 def nested_records(scored: DataFrame, key: str = "sample_id") -> DataFrame:
-    """One record per sample with a field per baseline: hypothesis, scores and corrections."""
-    record = F.struct("hypothesis", *S.SCORES, "corrections")
-    fields = (F.first(F.when(F.col("baseline") == b, record), True).alias(b) for b in BASELINES)
-    return scored.groupBy(key).agg(*fields)
+    """One record per sample, as published: the reference, a field per baseline with its scores and
+    hypothesis, and the corrections of the two correcting baselines as lists of their own.
+    """
+    record = F.struct(*S.SCORES, "hypothesis")
+
+    def of(baseline: str, value: Column) -> Column:
+        return F.first(F.when(F.col("baseline") == baseline, value), True)
+
+    fields = [of(b, record).alias(b) for b in BASELINES]
+    lists = [of(b, F.col("corrections")).alias(corrections_field(b)) for b in BASELINES[2:]]
+    return scored.groupBy(key).agg(F.first("reference_text", True).alias("reference"), *fields, *lists)
+
+
+def corrections_field(baseline: str) -> str:
+    """The record's field for the corrections of a baseline: ``baseline_2_corrections``."""
+    return "_".join(baseline.split("_")[:2]) + "_corrections"

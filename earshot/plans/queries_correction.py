@@ -647,10 +647,10 @@ def q_evaluated_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "evaluated")
     files.write_records(records, path)
     back = spark.read.schema(records.schema).json(path)
-    rows = F.array(*(F.struct(F.lit(b).alias("baseline"), F.col(b).alias("r")) for b in N.BASELINES))
-    return back.select("sample_id", F.inline(rows)).select(
-        "sample_id", "baseline", "r.hypothesis", *(F.round(f"r.{m}", 6).alias(m) for m in S.SCORES),
-        F.size("r.corrections").alias("corrections"))
+    made = {b: F.size(N.corrections_field(b)) for b in N.BASELINES[2:]}
+    rows = F.array(*(F.struct(F.lit(b).alias("baseline"), F.col(b).alias("r"), made.get(b, F.lit(0)).alias("corrections")) for b in N.BASELINES))
+    return back.select("sample_id", F.sha2("reference", 256).alias("reference_sha256"), F.inline(rows)).select(
+        "sample_id", "reference_sha256", "baseline", "r.hypothesis", *(F.round(f"r.{m}", 6).alias(m) for m in S.SCORES), "corrections")
 
 
 @query("evaluated_ablation")

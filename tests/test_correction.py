@@ -238,7 +238,10 @@ def test_one_search_serves_both_gates(spark, index):
     scored = N.evaluate_baselines(df, truth, index)
     records = {r["sample_id"]: r for r in N.nested_records(scored).collect()}
     assert set(records) == set(both) - {3}
-    assert records[0]["baseline_0_raw"]["hypothesis"] == rows[0][1] and records[0]["baseline_0_raw"]["corrections"] == []
+    assert records[0]["baseline_0_raw"]["hypothesis"] == rows[0][1] and records[0]["reference"] == "patient hydroxyzine 5"
+    assert set(records[0]["baseline_0_raw"].asDict()) == {"wer", "cer", "keyword_acc", "numeric_acc", "negation_acc", "hypothesis"}
+    assert records[0]["baseline_2_corrections"] == both[0]["ungated_corrections"]
+    assert records[0]["baseline_3_corrections"] == both[0]["gated_corrections"]
     assert records[0]["baseline_2_retrieval"]["hypothesis"] == both[0]["ungated_text"]
     assert records[98]["baseline_3_gated_retrieval"]["wer"] == 1.0
 
