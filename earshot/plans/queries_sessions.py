@@ -20,7 +20,8 @@ from earshot.plans.queries_text import (
     sql_redact_steps,
 )
 from earshot.plans.registry import query
-from earshot.streaming import live
+from earshot.session import fresh_path
+from earshot.streaming import late, live, reorder
 
 INGESTED = f"""{C.CHUNKS}, ingested AS (
   SELECT session_id::VARCHAR AS session_id, chunk_index, text, {sql_normalize('text')} AS normalized_text FROM chunks)"""
@@ -177,6 +178,59 @@ def q_stream_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.drain(live.session_transcripts(chunks, delay=delay), "transcripts")
 
 
+@query("stream_session_reordered", RUNNING)
+def q_stream_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns arrive shuffled over all batches; transcripts come out in order of places."""
+    stream, delay = live.staged(turns(spark, sf_dir), dealt_by=("session_id", "chunk_index"))
+    mark = F.col("ts") == F.lit(live.END_OF_TIME).cast("timestamp")
+    chunks = T.ingest(stream).withColumn("session_id", F.when(~mark, F.col("session_id")))
+    return live.drain(reorder.ordered_transcripts(chunks, delay=delay), "reordered")
+
+
+# Events in four deliveries by time; every seventh comes one delivery late, every eleventh two.
+DELIVERIES = 4
+DELIVERED = f"""{EVENT_CHUNKS}, reach AS (SELECT epoch_us(min(ts)) AS low, (epoch_us(max(ts)) - epoch_us(min(ts))) // {DELIVERIES} + 1 AS step FROM event_chunks),
+delivered AS (SELECT event_chunks.*, least({DELIVERIES - 1}, (epoch_us(ts) - low) // step
+  + CASE WHEN chunk_index % 11 = 0 THEN 2 WHEN chunk_index % 7 = 0 THEN 1 ELSE 0 END) AS delivery FROM event_chunks, reach)"""
+LATE_AFTER = "6 hours"
+MARKED = f"""{DELIVERED}, latest AS (SELECT delivery, max(max(ts)) OVER (ORDER BY delivery) AS seen FROM delivered GROUP BY delivery),
+marked AS (SELECT d.*, coalesce(d.ts <= (SELECT max(seen) FROM latest l WHERE l.delivery < d.delivery) - INTERVAL '{LATE_AFTER}', false) AS late
+  FROM delivered d)"""
+
+
+def delivered(events: DataFrame) -> DataFrame:
+    """The chunks of the events with the number of the delivery they come in."""
+    at = F.unix_micros("ts")
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    step = ((high or 0) - (low or 0)) // DELIVERIES + 1
+    behind = F.when(F.col("chunk_index") % 11 == 0, 2).when(F.col("chunk_index") % 7 == 0, 1).otherwise(0)
+    return events.withColumn("delivery", F.least(F.lit(DELIVERIES - 1), F.floor((at - F.lit(low)) / step) + behind))
+
+
+def marked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, each delivery a batch of its own, marked late or on time by a stream that goes on where it stopped."""
+    chunks = delivered(event_chunks(spark, sf_dir))
+    folder, out = fresh_path(spark, "deliveries"), fresh_path(spark, "marked")
+    for number in range(DELIVERIES):
+        chunks.where(F.col("delivery") == number).write.mode("append").parquet(folder)
+        late.split_late(live.read_chunks(spark, folder, "*.parquet", chunks.schema), out, LATE_AFTER).awaitTermination()
+    return late.marked_rows(spark, out, chunks.schema)
+
+
+@query("stream_late_rows", f"WITH {MARKED} SELECT session_id, chunk_index, delivery, late FROM marked")
+def q_stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_events(spark, sf_dir).select("session_id", "chunk_index", "delivery", "late")
+
+
+@query(
+    "stream_late_counts",
+    f"""WITH {MARKED} SELECT session_id, count(*) FILTER (NOT late) AS on_time, count(*) FILTER (late) AS late
+        FROM marked GROUP BY session_id""",
+)
+def q_stream_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late.late_counts(marked_events(spark, sf_dir), "session_id")
+
+
 # Final records: every user of the events asks for the session of that number, known or not.
 REQUESTS = """requests AS (SELECT DISTINCT user_id::VARCHAR AS session_id,
   CASE WHEN user_id % 2 = 0 THEN 'patient' ELSE 'clinician' END AS audience FROM events)"""

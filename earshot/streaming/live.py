@@ -7,7 +7,7 @@ distribute; here a session's state expires after an idle time of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,30 +68,42 @@ def running_transcripts(ingested: DataFrame, idle_minutes: int = 60, delay: str
     )
 
 
-# Stands after every chunk of a finished table.
-END_OF_TIME = "9999-01-01 00:00:00"
+# Stands after every chunk of a finished table, and is still a time that pandas holds in nanoseconds.
+END_OF_TIME = "2261-01-01 00:00:00"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def staged(chunks: DataFrame, slices: int = 4) -> tuple[DataFrame, str]:
+def _ended(chunks: DataFrame, folder: str) -> DataFrame:
+    """The end mark behind the written slices of a table, and the stream over all of them."""
+    spark = chunks.sparkSession
+    mark = [F.lit(END_OF_TIME).cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType) for f in chunks.schema]
+    spark.range(1, numPartitions=1).select(*(c.alias(f.name) for c, f in zip(mark, chunks.schema))).write.mode("append").parquet(folder)
+    return read_chunks(spark, folder, "*.parquet", chunks.schema, max(1, chunks.rdd.getNumPartitions()))
+
+
+def staged(chunks: DataFrame, slices: int = 4, dealt_by: Sequence[str] = ()) -> tuple[DataFrame, str]:
     """A stream over a finished table, in batches that follow its time, and the delay its watermark needs.
 
     The table is written in slices of time, one after the other, and then an end
     mark without a session, which lets every window and session close. Files
     of one slice may come in any order; no row is older than a slice's length.
+    With ``dealt_by`` rows are dealt to the slices by a hash of these columns
+    instead, in no order of time, and the delay is all the time there is.
     """
     spark = chunks.sparkSession
     folder = fresh_path(spark, "staged")
     low, high = chunks.agg(F.min("ts"), F.max("ts")).first()
+    if dealt_by:
+        for i in range(slices):
+            chunks.where(F.pmod(F.xxhash64(*dealt_by), F.lit(slices)) == i).write.mode("append").parquet(folder)
+        return _ended(chunks, folder), f"{int((high - low).total_seconds()) + 1 if low else 1} seconds"
     shares = [i / slices for i in range(1, slices)]
     inner = chunks.agg(F.percentile_approx("ts", shares)).first()[0] or []
     edges = sorted({t for t in (low, *inner) if t is not None})
     for begin, end in zip(edges, [*edges[1:], None]):
         part = chunks.where(F.col("ts") >= F.lit(begin))
         (part if end is None else part.where(F.col("ts") < F.lit(end))).write.mode("append").parquet(folder)
-    mark = [F.lit(END_OF_TIME).cast(f.dataType) if f.name == "ts" else F.lit(None).cast(f.dataType) for f in chunks.schema]
-    spark.range(1, numPartitions=1).select(*(c.alias(f.name) for c, f in zip(mark, chunks.schema))).write.mode("append").parquet(folder)
-    stream = read_chunks(spark, folder, "*.parquet", chunks.schema, max(1, chunks.rdd.getNumPartitions()))
+    stream = _ended(chunks, folder)
     longest = max((b - a).total_seconds() for a, b in zip(edges, [*edges[1:], high])) if edges else 0
     return stream, f"{int(longest) + 1} seconds"
 
