@@ -1,14 +1,17 @@
-"""Edit distance of very long pairs.
+"""Edit distance of very long pairs, of characters or of words.
 
 The built-in distance costs length x length steps in one task. For the few
 long pairs an Arrow UDF runs the bit-parallel form (Myers 1999, in Hyyro's
 notation) on Python's long integers: one column of the table is one integer,
-so a step handles 64 cells per machine word. Short pairs reach it as nulls.
+so a step handles 64 cells per machine word. Its symbols are any values, so
+words need no alphabet to be spelled in. Short pairs reach it as nulls.
 """
 
 from __future__ import annotations
 
 import os
+from collections import Counter, defaultdict
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,8 +24,40 @@ from earshot.functions.metrics import edit_distance
 LONG_PAIR_CELLS = 250_000
 
 
-def bit_distance(a: str, b: str) -> int:
-    """Exact Levenshtein distance of two strings."""
+# Match masks of the most frequent symbols are kept up to this size; others are made when they come.
+MASK_BYTES = 64_000_000
+
+
+class _Masks(dict):
+    """Where each symbol stands in a sequence, as the bits of an integer.
+
+    A mask has as many bits as the sequence has symbols, so those of all
+    words of a long text would take the square of its length: only places are kept for rare words.
+    """
+
+    def __init__(self, symbols: Sequence) -> None:
+        super().__init__()
+        self.size = len(symbols) // 8 + 1
+        self.places: dict = defaultdict(list)
+        for place, symbol in enumerate(symbols):
+            self.places[symbol].append(place)
+        often = Counter({symbol: len(places) for symbol, places in self.places.items()})
+        self.kept = {symbol for symbol, _ in often.most_common(max(64, MASK_BYTES // self.size))}
+
+    def __missing__(self, symbol: object) -> int:
+        if symbol not in self.places:
+            return 0
+        bits = bytearray(self.size)
+        for place in self.places[symbol]:
+            bits[place >> 3] |= 1 << (place & 7)
+        mask = int.from_bytes(bits, "little")
+        if symbol in self.kept:
+            self[symbol] = mask
+        return mask
+
+
+def bit_distance(a: Sequence, b: Sequence) -> int:
+    """Exact Levenshtein distance of two strings, or of two lists of words."""
     head = len(os.path.commonprefix((a, b)))
     a, b = a[head:], b[head:]
     tail = len(os.path.commonprefix((a[::-1], b[::-1])))
@@ -31,11 +66,10 @@ def bit_distance(a: str, b: str) -> int:
         return len(a) + len(b)
     rows = len(a)
     ones, last = (1 << rows) - 1, 1 << (rows - 1)
-    backwards = a[::-1]
-    match = {ch: int("".join("1" if x == ch else "0" for x in backwards), 2) for ch in set(a) & set(b)}
+    match = _Masks(a)
     up, down, distance = ones, 0, rows
     for ch in b:
-        eq = match.get(ch, 0) | down
+        eq = match[ch] | down
         diagonal = ((((eq & up) + up) ^ up) | eq) & ones
         right = down | (ones & ~(up | diagonal))
         left = up & diagonal
@@ -55,12 +89,20 @@ def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int64")
 
 
-# The form SQL functions call: it may stand inside an aggregate, which a volatile one may not.
+@F.pandas_udf(T.LongType())
+def _long_word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = [None if x is None else bit_distance(list(x), list(y)) for x, y in zip(a, b)]
+    return pd.Series(out, dtype="Int64")
+
+
+# The forms SQL functions call: they may stand inside an aggregate, which volatile ones may not.
 long_distance_udf = _long_distance
+long_word_distance_udf = _long_word_distance
 
 # Declared volatile so that the optimizer neither moves a filter on the result
 # below the UDF nor evaluates the UDF a second time.
 _once = _long_distance.asNondeterministic()
+_words_once = _long_word_distance.asNondeterministic()
 
 
 def long_distance(a: Column, b: Column) -> Column:
@@ -69,6 +111,16 @@ def long_distance(a: Column, b: Column) -> Column:
     return _once(F.when(is_long, a), F.when(is_long, b))
 
 
+def long_words(a: Column, b: Column) -> Column:
+    """Whether two arrays of words are a long pair."""
+    return F.size(a).cast("long") * F.size(b) > LONG_PAIR_CELLS
+
+
+def long_word_distance(a: Column, b: Column) -> Column:
+    """The distance of a long pair of arrays of words, null for any other."""
+    return _words_once(F.when(long_words(a, b), a), F.when(long_words(a, b), b))
+
+
 def distance_with(long_result: Column, a: Column, b: Column) -> Column:
     """The long result where there is one, else the built-in distance."""
     return F.coalesce(long_result, edit_distance(a, b).cast("long"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from earshot.functions.longtext import LONG_PAIR_CELLS, long_distance_udf
+from earshot.functions.longtext import LONG_PAIR_CELLS, long_distance_udf, long_word_distance_udf
 from earshot.functions.metrics import BANDS, SHORT_ALPHABET
 from earshot.functions.text import BLANK
 
 LONG_DISTANCE = "earshot_long_distance"
+LONG_WORD_DISTANCE = "earshot_long_word_distance"
 _BLANK = BLANK.replace("\\", "\\\\")
 
 
@@ -38,6 +39,12 @@ def _words(c: str) -> str:
     return f"array_remove(split(coalesce({c}, ''), '{_BLANK}+'), '')"
 
 
+def _long_words(a: str, b: str) -> str:
+    """The distance of two arrays of words where they are a long pair, else null."""
+    asked = [f"CASE WHEN CAST(size({a}) AS BIGINT) * size({b}) > {LONG_PAIR_CELLS} THEN {x} END" for x in (a, b)]
+    return f"{LONG_WORD_DISTANCE}({', '.join(asked)})"
+
+
 def _digits(c: str) -> str:
     return f"regexp_extract_all(coalesce({c}, ''), '(?U)\\\\d+', 0)"
 
@@ -47,10 +54,10 @@ def _share(a: str, b: str) -> str:
 
 
 FUNCTIONS = {
-    "wer": f"""element_at(transform(transform(
+    "wer": f"""coalesce({_long_words(_words('ref'), _words('hyp'))} / greatest(1, size({_words('ref')})), element_at(transform(transform(
         array(named_struct('r', {_words('ref')}, 'h', {_words('hyp')}, 's', array_intersect({_words('ref')}, {_words('hyp')}))),
         p -> named_struct('n', size(p.r), 'r', {_symbols('r', 1)}, 'h', {_symbols('h', 2)})),
-        q -> ({_distance('q.r', 'q.h')}) / greatest(1, q.n)), 1)""",
+        q -> ({_distance('q.r', 'q.h')}) / greatest(1, q.n)), 1))""",
     "cer": f"({_either_distance("coalesce(ref, '')", "coalesce(hyp, '')")}) / greatest(1, length(coalesce(ref, '')))",
     "keyword_accuracy": _share(_words("ref"), _words("hyp")),
     "numeric_accuracy": _share(_digits("ref"), _digits("hyp")),
@@ -61,6 +68,7 @@ FUNCTIONS = {
 def register(spark: SparkSession) -> None:
     """Create ``wer, cer, keyword_accuracy, numeric_accuracy, negation_accuracy`` (ref, hyp)."""
     spark.udf.register(LONG_DISTANCE, long_distance_udf)
+    spark.udf.register(LONG_WORD_DISTANCE, long_word_distance_udf)
     for name, body in FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(ref STRING, hyp STRING) RETURNS DOUBLE RETURN {body}"

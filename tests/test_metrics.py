@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brute import levenshtein
 from earshot.functions import metrics as M
+from earshot.functions import longtext
 from earshot.functions.longtext import bit_distance
 from earshot.functions.sql import register
 from earshot.operators import reports as R
@@ -86,6 +87,29 @@ def test_bit_distance(seed):
     assert bit_distance(a, b) == levenshtein(a, b)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_bit_distance_of_words(seed, monkeypatch):
+    """Lists of words, also where the masks of most of them are not kept."""
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(120)]
+    a = [rng.choice(words) for _ in range(rng.randint(0, 150))]
+    b = [w for w in a if rng.random() > 0.2] + [rng.choice(words) for _ in range(rng.randint(0, 40))]
+    monkeypatch.setattr(longtext, "MASK_BYTES", 0)
+    assert bit_distance(a, b) == levenshtein(a, b)
+
+
+def test_long_pairs_of_many_different_words(spark):
+    """More different words than one character each could spell in the first plane, by column and by SQL function."""
+    register(spark)
+    a = [f"w{i}" for i in range(70_000)]
+    b = [w for i, w in enumerate(a) if i % 700] + ["new"]
+    df = spark.createDataFrame([("x", "c", " ".join(a), " ".join(b), "m"), ("y", "c", "a b", "a", "m")], COLUMNS)
+    assert {r["sample_id"]: r["WER"] for r in S.with_error_rates(df, "WER", None).collect()} == {"x": 101 / 70_000, "y": 0.5}
+    df.createOrReplaceTempView("many_words")
+    got = spark.sql("SELECT sample_id, wer(reference_text, predicted_text) AS w FROM many_words").collect()
+    assert {r.sample_id: r.w for r in got} == {"x": 101 / 70_000, "y": 0.5}
+
+
 def test_many_distinct_words(spark):
     a = " ".join(f"w{i}" for i in range(600))
     b = " ".join(f"w{i}" for i in range(600) if i % 7)
