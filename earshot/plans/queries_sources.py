@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import entities as E
@@ -15,7 +15,7 @@ from earshot.plans.queries_metrics import SCORED, pairs
 from earshot.plans.queries_text import ENTITIES
 from earshot.plans.registry import query
 from earshot.session import fresh_path
-from earshot.sources import files
+from earshot.sources import documents, files
 
 _PREDICTION_COLUMNS = "sample_id, condition, reference_text, predicted_text, baseline_name"
 
@@ -45,16 +45,19 @@ TRUTH_ENTITIES = (
 )
 
 
-def truth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object per document, keyed by sample id; a group is never more than one document."""
-    rows = C.utterances(spark, sf_dir).withColumn("e", E.extract_entities(F.col("reference_text")))
-    value = F.struct(
+def _truth_value() -> Column:
+    return F.struct(
         F.col("reference_text").alias("reference_transcript"),
         F.struct("e.medications", "e.dosages", "e.frequencies", "e.symptoms", "e.negations").alias("entities"),
         F.col("e.intent").alias("intent"),
         F.col("e.risk_flag").alias("risk_flag"),
     )
-    entry = F.struct(F.concat_ws("-", "doc_id", "utt").alias("key"), value.alias("value"))
+
+
+def truth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON object per document, keyed by sample id; a group is never more than one document."""
+    rows = C.utterances(spark, sf_dir).withColumn("e", E.extract_entities(F.col("reference_text")))
+    entry = F.struct(F.concat_ws("-", "doc_id", "utt").alias("key"), _truth_value().alias("value"))
     return rows.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).select("value")
 
 
@@ -64,19 +67,49 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_truth(spark, path, whole_file=False)
 
 
-@query(
-    "read_truth",
-    f"""WITH {TRUTH_ENTITIES} SELECT sample_id, text AS reference_transcript, intent, risk_flag,
-        array_to_string(medications, '|') AS medications, array_to_string(negations, '|') AS negations FROM entities""",
-)
-def q_read_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truth(spark, sf_dir).select(
+TRUTH_ROWS = f"""WITH {TRUTH_ENTITIES} SELECT sample_id, text AS reference_transcript, intent, risk_flag,
+        array_to_string(medications, '|') AS medications, array_to_string(negations, '|') AS negations FROM entities"""
+
+
+def _flat_truth(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "sample_id", "reference_transcript", "intent", "risk_flag",
         F.array_join("entities.medications", "|").alias("medications"),
         F.array_join("entities.negations", "|").alias("negations"),
     )
 
 
+@query("read_truth", TRUTH_ROWS)
+def q_read_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_truth(truth(spark, sf_dir))
+
+
+@query("read_truth_objects", TRUTH_ROWS)
+def q_read_truth_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth as one large object per file, each file read in splits."""
+    path = fresh_path(spark, "truth-objects")
+    rows = C.utterances(spark, sf_dir).withColumn("e", E.extract_entities(F.col("reference_text")))
+    sample_id = F.concat_ws("-", "doc_id", "utt").alias("sample_id")
+    documents.write_json_objects(rows.select(sample_id, _truth_value().alias("v")).select("sample_id", "v.*"), "sample_id", path)
+    return _flat_truth(files.read_truth(spark, path))
+
+
+@query(
+    "read_samples",
+    f"""WITH {C.UTTERANCES} SELECT concat(doc_id, '-', utt) AS sample_id, doc_id::VARCHAR AS title, reference_text AS text, lang AS accent
+        FROM utterances""",
+)
+def q_read_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples as one large array per file, each file read in splits."""
+    path = fresh_path(spark, "samples")
+    samples = C.utterances(spark, sf_dir).select(
+        F.concat_ws("-", "doc_id", "utt").alias("sample_id"), F.col("doc_id").cast("string").alias("title"),
+        F.col("reference_text").alias("text"), F.col("lang").alias("accent"),
+    )
+    documents.write_json_arrays(samples, path)
+    return files.read_samples(spark, path).select("sample_id", "title", "text", "accent")
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.utterances(spark, sf_dir).select(F.concat_ws("-", "doc_id", "utt").alias("sample_id"), "doc_id", "lang")
 

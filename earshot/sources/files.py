@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot import schemas
+from earshot.sources import documents
 from earshot.sources.records import read_quoted_csv
 
 # Rows of a JSON file whose names are looked at before the read.
@@ -69,15 +70,18 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark samples: JSON arrays of records."""
-    return spark.read.schema(schemas.SAMPLES).option("multiLine", True).json(path)
+    """Benchmark samples: JSON arrays of records, one per file, read in splits."""
+    return documents.read_json_array(spark, path, schemas.SAMPLES)
 
 
 def read_truth(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
-    """Ground truth: JSON objects keyed by sample id, one object per file or per line."""
-    documents = spark.read.text(path, wholetext=whole_file)
-    keyed = documents.select(F.from_json("value", schemas.TRUTH_DOCUMENT).alias("doc"))
-    return keyed.select(F.explode("doc").alias("sample_id", "truth")).select("sample_id", "truth.*")
+    """Ground truth: JSON objects keyed by sample id, one object per file, read in splits, or one per line."""
+    if whole_file:
+        entries = documents.read_json_object(spark, path, schemas.TRUTH_VALUE)
+    else:
+        keyed = spark.read.text(path).select(F.from_json("value", schemas.TRUTH_DOCUMENT).alias("doc"))
+        entries = keyed.select(F.explode("doc"))
+    return entries.select(F.col("key").alias("sample_id"), "value.*")
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ put together in one task. Doubled quotes inside quotes are two quotes and change
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 _OPTIONS = {"escape": '"'}
 # Kinds of pieces: a whole record; the end of one begun before; the beginning of one; the middle of one.
-_WHOLE, _END, _BEGIN, _MIDDLE = range(4)
+WHOLE, END, BEGIN, MIDDLE = range(4)
 _PIECES = "file string, block long, place long, kind int, text string"
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("lineSep", "\n").text(path)
+def lines_of(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """``value, file, block``: the parts of files between separators, each with the split it is read in."""
+    rows = spark.read.option("lineSep", separator).text(path)
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
@@ -48,21 +49,23 @@ def _joined(lines: Iterator[tuple[str, bool]]) -> Iterator[tuple[int, str]]:
         held.append(value)
         quoted ^= value.count('"') % 2 == 1
         if not quoted:
-            yield (_WHOLE if begun else _END), "\n".join(held)
+            yield (WHOLE if begun else END), "\n".join(held)
             held, begun = [], True
     if held:
-        yield (_BEGIN if begun else _MIDDLE), "\n".join(held)
+        yield (BEGIN if begun else MIDDLE), "\n".join(held)
 
 
-def _pieces(lines: DataFrame, splits: DataFrame) -> DataFrame:
-    told = lines.join(F.broadcast(splits), ["file", "block"]).select("file", "block", "value", "inside")
+def pieces_of(lines: DataFrame, splits: DataFrame, joined: Callable[[Iterator[tuple]], Iterator[tuple[int, str]]]) -> DataFrame:
+    """Records and pieces of records per split; ``joined`` gets its lines with what ``splits`` says of its beginning."""
+    state = [c for c in splits.columns if c not in ("file", "block")]
+    told = lines.join(F.broadcast(splits), ["file", "block"]).select("file", "block", "value", *state)
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("text", pa.string())])
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns)))
         out: list[tuple] = []
         for (file, block), mine in groupby(rows, key=lambda r: r[:2]):
-            for place, (kind, text) in enumerate(_joined((r[2], r[3]) for r in mine)):
+            for place, (kind, text) in enumerate(joined(r[2:] for r in mine)):
                 out.append((file, block, place, kind, text))
                 if len(out) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -73,13 +76,13 @@ def _pieces(lines: DataFrame, splits: DataFrame) -> DataFrame:
     return told.mapInArrow(pieces, _PIECES)
 
 
-def _stitched(pieces: DataFrame) -> DataFrame:
+def stitched(pieces: DataFrame, separator: str = "\n") -> DataFrame:
     """The records that borders of splits cut, from their pieces in order."""
-    cut = pieces.where(F.col("kind") != _WHOLE)
+    cut = pieces.where(F.col("kind") != WHOLE)
     order = Window.partitionBy("file").orderBy("block", "place")
-    number = F.sum((F.col("kind") == _BEGIN).cast("int")).over(order)
+    number = F.sum((F.col("kind") == BEGIN).cast("int")).over(order)
     return cut.withColumn("record", number).groupBy("file", "record").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("block", "place", "text")))["text"], "\n").alias("text"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("block", "place", "text")))["text"], separator).alias("text"),
         F.min(F.struct("block", "place")).alias("at")).select("file", "at.block", "at.place", "text")
 
 
@@ -88,12 +91,12 @@ def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
 
     Columns go by the names in the first file's header. Each file's header is its first record; empty lines are no records.
     """
-    lines = _lines(spark, path)
-    pieces = _pieces(lines, _splits(lines))
-    whole = pieces.where(F.col("kind") == _WHOLE).select("file", "block", "place", "text")
+    lines = lines_of(spark, path)
+    pieces = pieces_of(lines, _splits(lines), _joined)
+    whole = pieces.where(F.col("kind") == WHOLE).select("file", "block", "place", "text")
     first = (F.col("block") == 0) & (F.col("place") == 0)
     names = spark.read.options(header="true", multiLine="false", **_OPTIONS).csv(path).columns
     row = ", ".join(f"`{n}` string" for n in names)
     text = F.regexp_replace("text", "^﻿|\r$", "")
-    records = whole.union(_stitched(pieces)).where(~first).select(text.alias("text")).where(F.trim("text") != "")
+    records = whole.union(stitched(pieces)).where(~first).select(text.alias("text")).where(F.trim("text") != "")
     return records.select(F.from_csv("text", row, _OPTIONS).alias("r")).select("r.*")
