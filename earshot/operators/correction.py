@@ -15,7 +15,7 @@ from earshot.operators import gate as G
 from earshot.operators import retrieval as V
 from earshot.operators import spans as P
 from earshot.schemas import CORRECTION
-from earshot.session import salted_join, written_lookup
+from earshot.session import salted_join, via_table, written_lookup
 
 GATED, UNGATED = "gated_phrase_correction", "ungated_phrase_correction"
 
@@ -50,15 +50,14 @@ def _hits_of(df: DataFrame, index: DataFrame, key: str, text: str, gate: G.Coeff
              threshold: float, gate_threshold: float = G.THRESHOLD) -> DataFrame:
     """The accepted spans of each text that has any: (key, _hits).
 
-    Spans are looked up once per distinct form. The accepted forms then meet
-    all spans: broadcast when a count permits, else salted, as a frequent form
-    is a hot key. What is grouped per text are its accepted spans only.
+    Spans within reach of the vocabulary are few and written once; they are looked up once per distinct
+    form. The accepted forms then meet those spans: broadcast when a count permits, else salted, as a
+    frequent form is a hot key. What is grouped per text are its accepted spans only.
     """
-    reached = P.candidate_spans(df, key, text, reach=V.reach(index, threshold))
+    reached = via_table(P.candidate_spans(df, key, text, reach=V.reach(index, threshold)), "reached")
     accepted, small = written_lookup(proposals(reached, index, gate, threshold, gate_threshold))
     if small:
-        # Probing a broadcast table costs less than the reach test, and keeps the same rows.
-        hits = P.candidate_spans(df, key, text).join(F.broadcast(accepted), "form")
+        hits = reached.join(F.broadcast(accepted), "form")
     else:
         hits = salted_join(reached, accepted, "form", [key, "start", "end"])
     return hits.groupBy(key).agg(F.collect_list(F.struct("start", "end", "proposal")).alias("_hits"))
@@ -121,8 +120,9 @@ def correct(
             {"corrected_text": F.col(text), "corrections": empty, "digits_lost": F.lit(False)}
         )
     kind = UNGATED if gate is None else GATED
-    joined = df.join(corrections_of(df, index, key, text, gate, threshold), key, "left")
-    words = tokens(F.col(text))
+    # The words are a column of their own, so that a text is parted once.
+    joined = df.join(corrections_of(df, index, key, text, gate, threshold), key, "left").withColumn("_words", tokens(F.col(text)))
+    words = F.col("_words")
     edits = F.transform(
         "_chosen",
         lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["proposal"]["candidate"].alias("candidate")),
@@ -132,7 +132,7 @@ def correct(
         {"corrected_text": P.apply_corrections(words, edits), "corrections": records.cast(T.ArrayType(CORRECTION))}
     )
     lost = F.exists("corrections", lambda c: c["original"].rlike(r"(?U)\d") & ~c["corrected"].rlike(r"(?U)\d"))
-    return done.withColumn("digits_lost", lost).drop("_chosen")
+    return done.withColumn("digits_lost", lost).drop("_chosen", "_words")
 
 
 def correct_both(df: DataFrame, index: DataFrame, key: str, text: str,
@@ -146,8 +146,8 @@ def correct_both(df: DataFrame, index: DataFrame, key: str, text: str,
     passed = F.filter("_hits", lambda h: h["proposal"]["gate_probability"] >= G.THRESHOLD)
     chosen = hits.select(key, P.select_spans(F.col("_hits")).alias("_all"),
                          F.when(F.size(passed) > 0, P.select_spans(passed)).alias("_passed"))
-    words, empty = tokens(F.col(text)), F.array().cast(T.ArrayType(CORRECTION))
-    joined = df.join(chosen, key, "left")
+    words, empty = F.col("_words"), F.array().cast(T.ArrayType(CORRECTION))
+    joined = df.join(chosen, key, "left").withColumn("_words", tokens(F.col(text)))
 
     def written(spans: str, kind: str, judged: bool) -> tuple[Column, Column]:
         edits = F.transform(spans, lambda c: F.struct(
@@ -161,7 +161,7 @@ def correct_both(df: DataFrame, index: DataFrame, key: str, text: str,
     return joined.withColumns({
         "ungated_text": ungated[0], "ungated_corrections": ungated[1],
         "gated_text": gated[0], "gated_corrections": gated[1],
-    }).drop("_all", "_passed")
+    }).drop("_all", "_passed", "_words")
 
 
 # The short list of the word-by-word corrector and its acceptance.

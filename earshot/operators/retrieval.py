@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from earshot.functions.similarity import masks_if_short, metaphone, ratio_by_masks, trigrams
 from earshot.functions.text import let
 from earshot.operators.setjoin import bag, similar_sets
-from earshot.operators.spans import Reach
+from earshot.operators.spans import MOST_COUNTED, Reach
 from earshot.session import via_table
 
 # Weights of the three scores, the acceptance threshold, candidates re-ranked.
@@ -109,6 +109,8 @@ def filled(near: DataFrame, spans: DataFrame, index: DataFrame, k: int = TOP_K)
 
 # Spans longer than this are held to the need of this length.
 REACH_LENGTHS = 64
+# Terms are told apart up to this number; more of them share groups by their hash.
+REACH_GROUPS = 64
 
 
 def reach(index: DataFrame, threshold: float = THRESHOLD) -> Reach | None:
@@ -117,17 +119,24 @@ def reach(index: DataFrame, threshold: float = THRESHOLD) -> Reach | None:
     A span with s shared trigrams has at least s trigrams, so its semantic
     score for a term of n trigrams is at most sqrt(s / n); lengths bound the
     letter score, and the sound score is at most 1. Forms consist of letters
-    and blanks, so at most 27^3 trigrams matter, whatever the vocabulary; of
-    its terms only the distinct sizes are looked at. None when the threshold
-    asks for nothing.
+    and blanks, so at most 27^3 trigrams matter, whatever the vocabulary; each
+    comes with the groups of terms that have it, and of a group's terms only the distinct sizes are
+    looked at. None when the threshold asks for nothing.
     """
-    useful = index.where(F.col("gram").rlike("^[a-z ]{3}$")).select("gram").distinct()
-    grams = sorted(r["gram"] for r in useful.collect())
-    shapes = [
-        (r["n"], r["size"])
-        for r in index.groupBy(F.col("grams").alias("n"), F.length("term").alias("size")).count().collect()
-    ]
-    if not shapes or threshold <= FUZZY_WEIGHT + PHONETIC_WEIGHT:
+    if threshold <= FUZZY_WEIGHT + PHONETIC_WEIGHT:
+        return None
+    names = [r["term"] for r in index.select("term").distinct().limit(REACH_GROUPS + 1).collect()]
+    if len(names) <= REACH_GROUPS:
+        group = F.array_position(F.array(*(F.lit(t) for t in sorted(names))).cast("array<string>"), F.col("term")) - 1
+    else:
+        group = F.pmod(F.xxhash64("term"), F.lit(REACH_GROUPS))
+    dealt = index.withColumn("group", group.cast("int"))
+    useful = dealt.where(F.col("gram").rlike("^[a-z ]{3}$"))
+    groups = {r["gram"]: tuple(sorted(r["groups"])) for r in useful.groupBy("gram").agg(F.collect_set("group").alias("groups")).collect()}
+    shapes: dict[int, list[tuple[int, int]]] = {}
+    for r in dealt.select("group", F.col("grams").alias("n"), F.length("term").alias("size")).distinct().collect():
+        shapes.setdefault(r["group"], []).append((r["n"], r["size"]))
+    if not shapes:
         return None
 
     def ceiling(shared: int, length: int, n: int, size: int) -> float:
@@ -135,37 +144,51 @@ def reach(index: DataFrame, threshold: float = THRESHOLD) -> Reach | None:
         letters = 2 * min(length, size) / (length + size)
         return SEMANTIC_WEIGHT * semantic + FUZZY_WEIGHT * letters + PHONETIC_WEIGHT
 
-    most = max(n for n, _ in shapes)
+    def least(mine: list[tuple[int, int]]) -> list[int]:
+        most = max((n for n, _ in mine), default=MOST_COUNTED)
 
-    def need(length: int) -> int:
-        return next(
-            (s for s in range(most + 1) if any(ceiling(s, length, n, size) >= threshold - 1e-9 for n, size in shapes)),
-            most,
-        )
+        def need(length: int) -> int:
+            return next(
+                (s for s in range(most + 1) if any(ceiling(s, length, n, size) >= threshold - 1e-9 for n, size in mine)),
+                most,
+            )
 
-    needed = [need(max(length, 1)) for length in range(REACH_LENGTHS)]
-    # Blanks at the ends of a form may shorten it: a length answers for the lengths below it too.
-    needed = [min(needed[max(0, i - 3) : i + 1]) for i in range(REACH_LENGTHS)]
-    needed.append(min(needed))
+        needed = [need(max(length, 1)) for length in range(REACH_LENGTHS)]
+        # Blanks at the ends of a form may shorten it: a length answers for the lengths below it too.
+        needed = [min(needed[max(0, i - 3) : i + 1]) for i in range(REACH_LENGTHS)]
+        return [*needed, min(needed)]
+
+    # A group without terms is never reached.
+    all_groups = [least(shapes[g]) if g in shapes else [MOST_COUNTED] * (REACH_LENGTHS + 1) for g in range(max(shapes) + 1)]
     # Trigrams that span two words, where a term has several.
-    across = 3 if any(" " in g.strip() or "  " in g for g in grams) else 0
-    return Reach(tuple(grams), tuple(needed), across)
+    across = 3 if any(" " in g.strip() or "  " in g for g in groups) else 0
+    spread = [(1, 1, 1, 1)] * (max(shapes) + 1)
+    for g, mine in shapes.items():
+        grams, sizes = zip(*mine)
+        spread[g] = (min(grams), max(grams), min(sizes), max(sizes))
+    weights = (SEMANTIC_WEIGHT, FUZZY_WEIGHT, PHONETIC_WEIGHT)
+    return Reach(groups, tuple(zip(*all_groups)), across, tuple(spread), weights, threshold)
 
 
 def final_score(semantic: Column, fuzzy: Column, phonetic: Column) -> Column:
     return SEMANTIC_WEIGHT * semantic + FUZZY_WEIGHT * fuzzy + PHONETIC_WEIGHT * phonetic
 
 
-def _scored(near: DataFrame, index: DataFrame) -> DataFrame:
-    """Add letter, sound and weighted score to retrieved pairs."""
-    facts = near.join(_broadcast_if_small(_term_facts(index)), "term")
-    fuzzy = ratio_by_masks(F.col("masks"), F.col("lowered"), F.lower("span"))
+def _scored(near: DataFrame, index: DataFrame, least: float = 0.0) -> DataFrame:
+    """Add letter, sound and weighted score to retrieved pairs.
+
+    Pairs that cannot reach ``least`` by meaning and letters, were they alike in sound, go before their sounds are spelled.
+    """
+    facts = near.join(_broadcast_if_small(_term_facts(index)), "term").withColumn(
+        "fuzzy_score", ratio_by_masks(F.col("masks"), F.col("lowered"), F.lower("span")))
+    if least > 0:
+        facts = facts.where(final_score(F.col("semantic_score"), F.col("fuzzy_score"), F.lit(1.0)) >= least - 1e-9)
     coded = facts.withColumn("_code", metaphone(F.col("span")))
     phonetic = F.when((F.col("_code") == "") | (F.col("code") == ""), F.lit(0.0)).otherwise(
         ratio_by_masks(F.col("code_masks"), F.col("code"), F.col("_code"))
     )
     return (
-        coded.withColumns({"fuzzy_score": fuzzy, "phonetic_score": phonetic})
+        coded.withColumn("phonetic_score", phonetic)
         .withColumn(
             "final_score", final_score(F.col("semantic_score"), F.col("fuzzy_score"), F.col("phonetic_score"))
         )
@@ -261,7 +284,7 @@ def best_candidates(spans: DataFrame, index: DataFrame, threshold: float = THRES
     near = retrieve(spans, index, k, floor * (1 - 1e-9))
     a, b = F.length("span"), F.length("term")
     ceiling = final_score(F.col("semantic_score"), 2 * F.least(a, b) / (a + b), F.lit(1.0))
-    scored = _scored(near.where(ceiling >= threshold - 1e-9), index)
+    scored = _scored(near.where(ceiling >= threshold - 1e-9), index, threshold)
     reached = scored.where(F.col("final_score") >= threshold)
     order = Window.partitionBy("span").orderBy(*_by_score())
     best = reached.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == 1).drop("rank")

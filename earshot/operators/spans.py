@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from earshot.functions.text import BLANK, let, squeeze, text_or_empty, tokens
 
@@ -93,27 +98,127 @@ def word_forms(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Reach:
-    """What a vocabulary asks of a span at least: its trigrams, tested as a set, and per span
-    length the least number of them a span must have to be accepted for any term."""
+    """What a vocabulary asks of a span at least: per group of its terms, the trigrams they have and, per
+    length of a span, the least number of those it must have to be accepted for any of them.
 
-    grams: tuple[str, ...]
-    needed: tuple[int, ...]
-    across: int
-
-    def count(self, word: Column) -> Column:
-        """Trigrams of a word (blank at each end) that the vocabulary has."""
-
-        def hits(padded: Column) -> Column:
-            cut = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
-            return F.size(F.filter(cut, lambda g: g.isin(list(self.grams))))
-
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.when(word == "", F.lit(0)).otherwise(let(padded, hits))
+    ``groups``: the groups of each trigram; ``needed``: per length a number per group; ``shapes``: the least and
+    the most trigrams and letters of a group's terms; ``weights``: of meaning, letters and sound in the score.
+    """
 
-    def met(self, length: Column, found: Column, boundaries: int) -> Column:
-        needed = F.array(*[F.lit(x) for x in self.needed])
-        place = F.least(length, F.lit(len(self.needed) - 1))
-        return found + self.across * boundaries >= F.get(needed, place)
+    groups: dict[str, tuple[int, ...]]
+    needed: tuple[tuple[int, ...], ...]
+    across: int
+    shapes: tuple[tuple[int, int, int, int], ...]
+    weights: tuple[float, float, float]
+    threshold: float
+
+    def can(self, found: np.ndarray, forms: list[str]) -> np.ndarray:
+        """Whether a form may reach the threshold for a term of each group, ``found`` of whose trigrams it has at most.
+
+        Unlike ``needed`` this knows the form itself: its distinct trigrams bound the semantic score too.
+        """
+        least, most, shortest, longest = np.array(self.shapes, float).T
+        length = np.array([[len(f)] for f in forms], float)
+        own = np.array([[len({p[i : i + 3] for i in range(max(len(p) - 2, 1))})] for p in (f" {f} " for f in forms)], float)
+        n, size = np.clip(found, least, most), np.clip(length, shortest, longest)
+        semantic = np.minimum(1.0, np.minimum(np.minimum(found, n), own) / np.sqrt(own * n))
+        letters = 2 * np.minimum(length, size) / (length + size)
+        bound = self.weights[0] * semantic + self.weights[1] * letters + self.weights[2]
+        return bound >= self.threshold - 1e-9
+
+
+# A word of more trigrams than this, and a need above it, count as this many.
+MOST_COUNTED = 8000
+# Words tested at a time, and words a task remembers.
+WORDS_AT_A_TIME, WORDS_KEPT = 50_000, 200_000
+_NO_LETTER = re.compile("[^a-zA-Z]")
+
+
+class _Words:
+    """What a task knows of the words it has met: form, letters, whether they count, trigrams per group of terms."""
+
+    def __init__(self, reach: Reach) -> None:
+        self.reach, self.common = reach, set(COMMON_WORDS)
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.forms: list[str] = []
+        self.facts = np.zeros((1024, 3 + len(self.reach.shapes)), np.int16)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.places) > WORDS_KEPT:
+            self.forget()
+        new = set(words) - self.places.keys()
+        first = len(self.forms)
+        self.places.update(zip(new, range(first, first + len(new))))
+        while len(self.facts) < len(self.places):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        of, has = self.reach.groups.get, []
+        for place, word in enumerate(new, first):
+            form = _NO_LETTER.sub("", word).lower()
+            self.forms.append(form)
+            self.facts[place, :3] = min(len(form), MOST_COUNTED), form != "", form != "" and form not in self.common
+            padded = f" {form} "
+            has += [(place, 3 + group) for i in range(min(len(form), MOST_COUNTED)) for group in of(padded[i : i + 3], ())]
+        if has:
+            np.add.at(self.facts, tuple(np.array(has).T), 1)
+        return np.array([self.places[w] for w in words], np.int64)
+
+
+def _reached(words: list[str], left: np.ndarray, known: _Words, n: int) -> Iterator[tuple[np.ndarray, int, list[str]]]:
+    """Per number of words the places and forms of the runs worth a look; ``left``: the words of the text from each place on."""
+    reach = known.reach
+    needed = np.minimum(np.array(reach.needed, np.int64), MOST_COUNTED).astype(np.int16)
+    numbers = known.numbers(words)
+    spelled = [known.forms[i] for i in numbers.tolist()]
+    letters, filled, others = (known.facts[:, i][numbers].astype(np.int64) for i in range(3))
+    sums = [np.zeros_like(letters) for _ in range(3)]
+    for j in range(min(n, len(words))):
+        size = len(words) - j
+        sums = [s[:size] + f[j:] for s, f in zip(sums, (letters, filled, others))]
+        ok = (left[:size] > j) & (sums[0] >= MIN_LETTERS) & (sums[2] >= MIN_SUSPICION * sums[1])
+        starts = np.flatnonzero(ok)
+        found = sum(known.facts[numbers[starts + i], 3:] for i in range(j + 1)) + np.int16(reach.across * j)
+        enough = found >= needed[np.minimum(sums[0][starts] + j, len(needed) - 1)]
+        some = enough.any(axis=1)
+        starts = starts[some]
+        if len(starts):
+            forms = [" ".join(spelled[p : p + j + 1]).strip(" ") for p in starts.tolist()]
+            likely = (enough[some] & reach.can(found[some], forms)).any(axis=1)
+            yield starts[likely], j + 1, [f for f, keep in zip(forms, likely.tolist()) if keep]
+
+
+def _reached_spans(df: DataFrame, key: str, text: str, n: int, reach: Reach) -> DataFrame:
+    """The candidate spans within reach. Words are looked at once per task, runs are sums over their words."""
+    schema = T.StructType([df.schema[key], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                           T.StructField("form", T.StringType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words(reach)
+        for batch in batches:
+            # Python parts words at the same blanks as ``tokens``.
+            texts = [(t or "").split() for t in batch.column(1).to_pylist()]
+            first = 0
+            while first < len(texts):
+                last, size = first, 0
+                while last < len(texts) and (size == 0 or size + len(texts[last]) <= WORDS_AT_A_TIME):
+                    size += len(texts[last])
+                    last += 1
+                sizes = np.array([len(t) for t in texts[first:last]], np.int64)
+                words = [w for t in texts[first:last] for w in t]
+                begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+                left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+                text_of = np.repeat(np.arange(first, last), sizes)
+                for places, length, spelled in _reached(words, left, known, n):
+                    if len(places):
+                        starts = (places - begins[places]).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).take(pa.array(text_of[places])), pa.array(starts), pa.array(starts + np.int32(length)), pa.array(spelled, pa.string())],
+                            names=[key, "start", "end", "form"])
+                first = last
+
+    return df.select(key, text).mapInArrow(rows, schema)
 
 
 def candidate_spans(df: DataFrame, key: str, text: str, n: int = MAX_WORDS, reach: Reach | None = None) -> DataFrame:
@@ -124,23 +229,17 @@ def candidate_spans(df: DataFrame, key: str, text: str, n: int = MAX_WORDS, reac
     to those that are corrected in the end. ``reach`` drops runs that no term
     of the vocabulary can accept. No shuffle.
     """
-    arrays = {"w": word_forms(F.col(text))}
     if reach:
-        arrays["g"] = F.transform("_forms", reach.count)
-        df, arrays["w"] = df.withColumn("_forms", arrays["w"]), F.col("_forms")
-    rows = _beside(df, key, arrays, n)
+        return _reached_spans(df, key, text, n, reach)
+    rows = _beside(df, key, {"w": word_forms(F.col(text))}, n)
     keep, spans = [], []
-    letters, words, others, found = F.lit(0), F.lit(0), F.lit(0), F.lit(0)
+    letters, words, others = F.lit(0), F.lit(0), F.lit(0)
     for j in range(n):
         w = F.col(f"w{j}")
         letters = letters + F.length(w)
         words = words + (w != "").cast("int")
         others = others + ((w != "") & ~w.isin(COMMON_WORDS)).cast("int")
-        ok = w.isNotNull() & (letters >= MIN_LETTERS) & (others >= MIN_SUSPICION * words)
-        if reach:
-            found = found + F.col(f"g{j}")
-            ok = ok & reach.met(letters + j, found, j)
-        keep.append(ok)
+        keep.append(w.isNotNull() & (letters >= MIN_LETTERS) & (others >= MIN_SUSPICION * words))
         spans.append(F.trim(F.concat_ws(" ", *[f"w{i}" for i in range(j + 1)])))
     return _runs(rows, key, keep, spans, "form")
 

@@ -301,3 +301,25 @@ def test_gate_save_load_and_trees(spark, tmp_path):
     trees = G.fit_trees(training, rounds=5)
     kept = G.gate_filter(rows, trees).select("should_correct").collect()
     assert [r[0] for r in kept] == [1] * 6
+
+
+def test_reach_knows_the_terms_apart(spark, index):
+    """Words that share trigrams with several terms, but few with each, are not looked up."""
+    reach = V.reach(index)
+    df = spark.createDataFrame([(1, "amlosarpril  métforman metinsulol taking met forman"), (2, None), (3, "")], "id int, t string")
+    forms = {r["form"] for r in P.candidate_spans(df, "id", "t", reach=reach).collect()}
+    every = {r["form"] for r in P.candidate_spans(df, "id", "t").collect()}
+    assert "amlosarpril" in every and "amlosarpril" not in forms
+    assert "metforman" in forms and forms < every
+
+
+def test_reach_of_many_terms_loses_nothing(spark):
+    """Beyond the number of groups, terms share them by hash."""
+    rng = random.Random(3)
+    terms = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(5, 9))) for _ in range(300)]
+    index = V.build_index(spark.createDataFrame([(t,) for t in terms], "term string"))
+    heard = [t[:3] + rng.choice("aeiou") + t[4:] for t in terms] + [t[:4] + " " + t[4:] for t in terms]
+    df = spark.createDataFrame([(i, " x ".join(heard[i::10])) for i in range(10)], "id int, t string")
+    every = K.proposals(P.candidate_spans(df, "id", "t"), index, None)
+    reached = K.proposals(P.candidate_spans(df, "id", "t", reach=V.reach(index)), index, None)
+    assert sorted(map(str, reached.collect())) == sorted(map(str, every.collect())) and every.count() > 100
