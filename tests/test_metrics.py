@@ -202,3 +202,31 @@ def test_sql_cer_of_long_pairs(spark):
     got = {(r.ref, r.hyp): r.c for r in spark.sql("SELECT ref, hyp, cer(ref, hyp) AS c FROM long_pairs").collect()}
     assert got == pytest.approx({(a, b): bit_distance(a or "", b or "") / max(1, len(a or "")) for a, b in pairs})
     assert spark.sql("SELECT avg(cer(ref, hyp)) AS c FROM long_pairs WHERE cer(ref, hyp) > 0.5").first().c > 0.5
+
+
+def _edited(rng, alphabet, size, errors):
+    a = [rng.choice(alphabet) for _ in range(size)]
+    b = list(a)
+    for _ in range(errors):
+        at = rng.randrange(len(b) + 1)
+        b[at : at + rng.randint(0, 1)] = [rng.choice(alphabet)] * rng.randint(0, 1)
+    return a, b
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "abcdé\U0001F600"])
+def test_distances_side_by_side(alphabet):
+    rng = random.Random(7)
+    pairs = [_edited(rng, alphabet, rng.randint(0, 60), rng.choice([0, 2, 9, 40])) for _ in range(400)]
+    want = [levenshtein(a, b) for a, b in pairs]
+    assert longtext.distances(pairs) == want
+    assert longtext.distances([("".join(a), "".join(b)) for a, b in pairs]) == want
+
+
+@pytest.mark.parametrize("errors", [1, 5, 12, 60])
+def test_banded_distance(monkeypatch, errors):
+    """Bands that suffice and bands that do not give what the whole table gives."""
+    monkeypatch.setattr(longtext, "FIRST_BAND", 3)
+    rng = random.Random(errors)
+    for _ in range(40):
+        a, b = _edited(rng, "abc", rng.randint(20, 120), errors)
+        assert bit_distance(a, b) == bit_distance(b, a) == levenshtein(a, b)
