@@ -291,6 +291,22 @@ def best_candidates(spans: DataFrame, index: DataFrame, threshold: float = THRES
     return best.where(F.lower("span") != F.lower("term"))
 
 
+def best_places(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` largest of each row, ties by column; not-a-numbers come last.
+
+    Rows are parted at their k-th value; only what reaches it is sorted.
+    """
+    ranked = np.where(np.isnan(scores), -np.inf, scores)
+    k = min(k, ranked.shape[1])
+    least = np.partition(ranked, ranked.shape[1] - k, axis=1)[:, ranked.shape[1] - k]
+    rows, columns = np.nonzero(ranked >= least[:, None])
+    order = np.lexsort((columns, -ranked[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, np.arange(len(ranked)))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], columns[keep]
+
+
 def semantic_topk(
     queries: DataFrame, index: DataFrame, k: int = 5, query: str = "query_id", term: str = "term"
 ) -> DataFrame:
@@ -326,13 +342,12 @@ def semantic_topk(
             return pd.DataFrame({f.name: [] for f in schema.fields})
         b = b.sort_values(term, kind="stable")
         scores = np.stack(a["q"].to_numpy()) @ np.stack(b["t"].to_numpy()).T
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), top.shape[1])
+        rows, top = best_places(scores, k)
         return pd.DataFrame(
             {
                 query: a[query].to_numpy()[rows],
-                term: b[term].to_numpy()[top.ravel()],
-                "semantic_score": scores[rows, top.ravel()],
+                term: b[term].to_numpy()[top],
+                "semantic_score": scores[rows, top],
             }
         )
 

@@ -306,7 +306,7 @@ def test_gate_save_load_and_trees(spark, tmp_path):
 def test_reach_knows_the_terms_apart(spark, index):
     """Words that share trigrams with several terms, but few with each, are not looked up."""
     reach = V.reach(index)
-    df = spark.createDataFrame([(1, "amlosarpril  métforman metinsulol taking met forman"), (2, None), (3, "")], "id int, t string")
+    df = spark.createDataFrame([(1, "amlosarpril  métforman metinsulol taking metforman"), (2, None), (3, "")], "id int, t string")
     forms = {r["form"] for r in P.candidate_spans(df, "id", "t", reach=reach).collect()}
     every = {r["form"] for r in P.candidate_spans(df, "id", "t").collect()}
     assert "amlosarpril" in every and "amlosarpril" not in forms
@@ -323,3 +323,13 @@ def test_reach_of_many_terms_loses_nothing(spark):
     every = K.proposals(P.candidate_spans(df, "id", "t"), index, None)
     reached = K.proposals(P.candidate_spans(df, "id", "t", reach=V.reach(index)), index, None)
     assert sorted(map(str, reached.collect())) == sorted(map(str, every.collect())) and every.count() > 100
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_best_places_equal_the_whole_sort(k):
+    scores = np.random.default_rng(5).integers(0, 6, (40, 30)).astype(float)
+    scores[3, 4] = np.nan
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    rows, columns = V.best_places(scores, k)
+    assert rows.tolist() == np.repeat(np.arange(40), top.shape[1]).tolist()
+    assert columns.tolist() == top.ravel().tolist()
