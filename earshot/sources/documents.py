@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from earshot.sources.records import BEGIN, END, MIDDLE, WHOLE, lines_of, pieces_of, stitched
 
 _ESCAPED = re.compile(r"\\.", re.DOTALL)
+_BRACKET = re.compile(r"[\[\]{}]")
 _BLANK = " \t\r\n﻿"
 
 
@@ -34,7 +35,9 @@ def _depths(part: str) -> tuple[bool, int, int]:
 
     The brackets are counted twice, for a part that begins outside a string and for one that begins inside.
     """
-    sides = _ESCAPED.sub("", part).split('"')
+    sides = (_ESCAPED.sub("", part) if "\\" in part else part).split('"')
+    if not _BRACKET.search(part):  # most parts are text between two commas
+        return len(sides) % 2 == 0, 0, 0
 
     def opened(texts: list[str]) -> int:
         return sum(t.count("[") + t.count("{") - t.count("]") - t.count("}") for t in texts)

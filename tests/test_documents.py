@@ -66,3 +66,12 @@ def test_arrays_written_and_read_back(spark, tmp_path):
     got = files.read_samples(spark, str(tmp_path / "out")).select("sample_id", "title", "text")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
     assert set(got.columns) <= set(schemas.SAMPLES.names) and got.where(F.col("title").isNotNull()).isEmpty()
+
+
+def test_depths_count_every_character():
+    for part in ("", "plain", '"a":1', '{"a":[1', '\\"]"', '"\\\\"}', 'x"[{"]', '\\\\"['):
+        quoted, depth, turned = False, [0, 0], len(documents._ESCAPED.sub("", part).split('"')) % 2 == 0
+        for c in documents._ESCAPED.sub("", part):
+            quoted ^= c == '"'
+            depth[quoted] += (c in "[{") - (c in "]}")
+        assert documents._depths(part) == (turned, *depth)
