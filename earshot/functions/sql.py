@@ -4,71 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from earshot.functions.longtext import LONG_PAIR_CELLS, long_distance_udf, long_word_distance_udf
-from earshot.functions.metrics import BANDS, SHORT_ALPHABET
-from earshot.functions.text import BLANK
+from earshot.functions.longtext import char_rate_udf, word_rate_udf
+from earshot.functions.text import WORD
 
-LONG_DISTANCE = "earshot_long_distance"
-LONG_WORD_DISTANCE = "earshot_long_word_distance"
-_BLANK = BLANK.replace("\\", "\\\\")
+_WORD = WORD.replace("\\", "\\\\")
 
 
-def _distance(a: str, b: str) -> str:
-    out = f"levenshtein({a}, {b})"
-    for band in reversed(BANDS):
-        bound = f"transform(array(levenshtein({a}, {b}, {band})), d{band} -> CASE WHEN d{band} < 0 THEN {out} ELSE d{band} END)"
-        out = f"element_at({bound}, 1)"
-    return f"CASE WHEN {a} = {b} THEN 0 ELSE {out} END"
-
-
-def _either_distance(a: str, b: str) -> str:
-    """The distance of two strings; long pairs take the Arrow route, which others reach as nulls."""
-    asked = [f"CASE WHEN CAST(length({a}) AS BIGINT) * length({b}) > {LONG_PAIR_CELLS} AND {a} <> {b} THEN {x} END" for x in (a, b)]
-    return f"coalesce({LONG_DISTANCE}({', '.join(asked)}), {_distance(a, b)})"
-
-
-def _symbols(words: str, missing: int) -> str:
-    place = "array_position(p.s, w)"
-    point = f"CASE WHEN {place} = 0 THEN {missing} WHEN {place} >= 55294 THEN {place} + 2050 ELSE {place} + 2 END"
-    short = f"array_join(transform(p.{words}, w -> char(CASE WHEN {place} = 0 THEN {missing} ELSE {place} + 2 END)), '')"
-    wide = f"decode(unhex(array_join(transform(p.{words}, w -> lpad(hex({point}), 8, '0')), '')), 'UTF-32')"
-    return f"CASE WHEN size(p.s) <= {SHORT_ALPHABET} THEN {short} ELSE {wide} END"
-
-
-def _words(c: str) -> str:
-    return f"array_remove(split(coalesce({c}, ''), '{_BLANK}+'), '')"
-
-
-def _long_words(a: str, b: str) -> str:
-    """The distance of two arrays of words where they are a long pair, else null."""
-    asked = [f"CASE WHEN CAST(size({a}) AS BIGINT) * size({b}) > {LONG_PAIR_CELLS} THEN {x} END" for x in (a, b)]
-    return f"{LONG_WORD_DISTANCE}({', '.join(asked)})"
-
-
-def _digits(c: str) -> str:
-    return f"regexp_extract_all(coalesce({c}, ''), '(?U)\\\\d+', 0)"
-
-
-def _share(a: str, b: str) -> str:
-    return f"size(array_intersect({a}, {b})) / greatest(1, size(array_distinct({a})))"
+def _share(pattern: str) -> str:
+    """Share of the distinct parts of ``ref`` that ``hyp`` has too; equal texts are only asked whether they have any."""
+    a, b = (f"regexp_extract_all(coalesce({c}, ''), '{pattern}', 0)" for c in ("ref", "hyp"))
+    some = f"CAST(regexp_like(coalesce(ref, ''), '{pattern}') AS DOUBLE)"
+    share = f"size(array_intersect({a}, {b})) / greatest(1, size(array_distinct({a})))"
+    return f"CASE WHEN coalesce(ref, '') = coalesce(hyp, '') THEN {some} ELSE {share} END"
 
 
 FUNCTIONS = {
-    "wer": f"""coalesce({_long_words(_words('ref'), _words('hyp'))} / greatest(1, size({_words('ref')})), element_at(transform(transform(
-        array(named_struct('r', {_words('ref')}, 'h', {_words('hyp')}, 's', array_intersect({_words('ref')}, {_words('hyp')}))),
-        p -> named_struct('n', size(p.r), 'r', {_symbols('r', 1)}, 'h', {_symbols('h', 2)})),
-        q -> ({_distance('q.r', 'q.h')}) / greatest(1, q.n)), 1))""",
-    "cer": f"({_either_distance("coalesce(ref, '')", "coalesce(hyp, '')")}) / greatest(1, length(coalesce(ref, '')))",
-    "keyword_accuracy": _share(_words("ref"), _words("hyp")),
-    "numeric_accuracy": _share(_digits("ref"), _digits("hyp")),
+    "keyword_accuracy": _share(_WORD),
+    "numeric_accuracy": _share(r"(?U)\\d+"),
     "negation_accuracy": "CAST(contains(coalesce(ref, ''), 'no ') = contains(coalesce(hyp, ''), 'no ') AS DOUBLE)",
 }
 
 
 def register(spark: SparkSession) -> None:
     """Create ``wer, cer, keyword_accuracy, numeric_accuracy, negation_accuracy`` (ref, hyp)."""
-    spark.udf.register(LONG_DISTANCE, long_distance_udf)
-    spark.udf.register(LONG_WORD_DISTANCE, long_word_distance_udf)
+    # Called as they are: a function in SQL would give each of them its own copy of the texts.
+    spark.udf.register("wer", word_rate_udf)
+    spark.udf.register("cer", char_rate_udf)
     for name, body in FUNCTIONS.items():
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(ref STRING, hyp STRING) RETURNS DOUBLE RETURN {body}"

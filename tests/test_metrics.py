@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,34 @@ def test_banded_distance(monkeypatch, errors):
     for _ in range(40):
         a, b = _edited(rng, "abc", rng.randint(20, 120), errors)
         assert bit_distance(a, b) == bit_distance(b, a) == levenshtein(a, b)
+
+
+def test_sql_functions_leave_distances_to_the_side_by_side_form(spark):
+    """Rates equal brute force on texts with blanks of all kinds, and no pair is spelled or split again in the plan."""
+    register(spark)
+    rng = random.Random(3)
+    parts = ["one", "two", "\u00e9t\u00e9", "12", "\u2003", "\x85", " ", "\U0001F600", "no "]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(200)]
+    rows = [(i, a, a if i % 3 == 0 else "".join(c for c in a if rng.random() > 0.2)) for i, a in rows] + [(900, None, "x"), (901, "x", None)]
+    spark.createDataFrame(rows, "i int, r string, h string").createOrReplaceTempView("rates")
+    told = spark.sql("SELECT *, wer(r, h) w, cer(r, h) c, keyword_accuracy(r, h) k, numeric_accuracy(r, h) n FROM rates")
+    for row in told.collect():
+        r, h = row.r or "", row.h or ""
+        assert row.w == levenshtein(r.split(), h.split()) / max(1, len(r.split()))
+        assert row.c == levenshtein(r, h) / max(1, len(r))
+        assert row.k == len(set(r.split()) & set(h.split())) / max(1, len(set(r.split())))
+        digits = [set(re.findall(r"\d+", x)) for x in (r, h)]
+        assert row.n == len(digits[0] & digits[1]) / max(1, len(digits[0]))
+    plan = spark.sql("EXPLAIN SELECT avg(wer(r, h)), avg(cer(r, h)) FROM rates").first()[0]
+    assert "levenshtein" not in plan.lower() and "transform" not in plan and "split(" not in plan
+
+
+def test_distances_of_large_alphabets():
+    """More symbols than one byte, or two bytes, can number."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(70_000)]
+    pairs = [(words[i : i + 50], words[i : i + 20] + words[i + 23 : i + 50]) for i in range(0, 70_000, 50)]
+    assert longtext.distances(pairs) == [3] * len(pairs)
+    signs = [chr(c) for c in range(0x4E00, 0x4F00)] + ["\U0001F600", "a"]
+    texts = ["".join(rng.choice(signs) for _ in range(40)) for _ in range(50)]
+    assert longtext.distances([(t, t[:9] + t[12:]) for t in texts]) == [levenshtein(t, t[:9] + t[12:]) for t in texts]
