@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,17 +27,22 @@ COMMON_WORDS = [
 ]
 
 
-def _beside(df: DataFrame, key: str, arrays: dict[str, Column], n: int) -> DataFrame:
-    """One row per word: (key, start, <name>0 .. <name>n-1), each array's element beside its n - 1 followers."""
+def _beside(df: DataFrame, key: str, arrays: dict[str, Column], n: int, starting: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per word: (key, start, <name>0 .. <name>n-1), each array's element beside its n - 1 followers.
+
+    ``starting``: a test of the first array's elements; other elements make no row of their own.
+    """
 
     def rows(p: Column) -> Column:
-        first = next(iter(arrays))
-        return F.transform(
-            p[first],
-            lambda _, i: F.struct(
-                i.alias("start"), *[F.get(p[a], i + j).alias(f"{a}{j}") for a in arrays for j in range(n)]
-            ),
-        )
+        words = p[next(iter(arrays))]
+
+        def row(i: Column) -> Column:
+            return F.struct(i.alias("start"), *[F.get(p[a], i + j).alias(f"{a}{j}") for a in arrays for j in range(n)])
+
+        if starting is None:
+            return F.transform(words, lambda _, i: row(i))
+        places = F.array_compact(F.transform(words, lambda w, i: F.when(starting(w), i)))
+        return F.transform(places, row)
 
     bound = F.struct(*[value.alias(name) for name, value in arrays.items()])
     return df.select(key, F.inline_outer(let(bound, rows)))
@@ -51,13 +57,14 @@ def _runs(rows: DataFrame, key: str, keep: list[Column], spans: list[Column], na
     return rows.select(key, "start", F.inline(F.array(*runs))).where(F.col(name).isNotNull())
 
 
-def ngrams(df: DataFrame, key: str, words: Column, n: int = MAX_WORDS) -> DataFrame:
+def ngrams(df: DataFrame, key: str, words: Column, n: int = MAX_WORDS, starting: Callable[[Column], Column] | None = None) -> DataFrame:
     """All runs of 1..n words of a word array as rows (key, start, end, span). No shuffle.
 
     Each word is first set beside its n - 1 followers; the runs are then
     joined up from plain columns, which compiles to straight code.
+    ``starting``: a test of a word; only the runs that begin with such a word are made.
     """
-    rows = _beside(df, key, {"w": words}, n)
+    rows = _beside(df, key, {"w": words}, n, starting)
     keep = [F.col(f"w{j}").isNotNull() for j in range(n)]
     spans = [F.concat_ws(" ", *[f"w{i}" for i in range(j + 1)]) for j in range(n)]
     return _runs(rows, key, keep, spans, "span")
@@ -86,9 +93,9 @@ def suspicious_score(clean: Column) -> Column:
     )
 
 
-def explode_ngrams(df: DataFrame, key: str, text: str, n: int = MAX_WORDS) -> DataFrame:
-    """The runs of the words of a text."""
-    return ngrams(df, key, tokens(F.col(text)), n)
+def explode_ngrams(df: DataFrame, key: str, text: str, n: int = MAX_WORDS, starting: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The runs of the words of a text, or those that begin with a word that passes ``starting``."""
+    return ngrams(df, key, tokens(F.col(text)), n, starting)
 
 
 def word_forms(text: Column) -> Column:
@@ -244,33 +251,31 @@ def candidate_spans(df: DataFrame, key: str, text: str, n: int = MAX_WORDS, reac
     return _runs(rows, key, keep, spans, "form")
 
 
+def _free(starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    """Which spans, taken in this order, overlap none taken before. Taken words are marked, so a test costs a span's own length."""
+    taken, kept = bytearray(int(ends.max(initial=0))), []
+    for place, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\x01" * (end - start)
+            kept.append(place)
+    return kept
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _accepted(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else _free(s, e) for s, e in zip(starts, ends)], dtype="object")
+
+
 def select_spans(hits: Column) -> Column:
     """The accepted ones of a transcript's hits: longest first, then leftmost, none overlapping.
 
-    ``hits`` are structs with ``start`` and ``end``. Taken words are marked on
-    a string of one character per word, so a test costs one look at the span's
-    own stretch instead of a comparison with every accepted span.
+    ``hits`` are structs with ``start`` and ``end``. They are ordered and picked as columns; the places to pick come
+    from one pass over a transcript's spans.
     """
     ordered = F.array_sort(F.transform(hits, lambda h: F.struct((h["start"] - h["end"]).alias("o"), h["start"].alias("s"), h.alias("h"))))
-
-    def fold(p: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            h = x["h"]
-            length = h["end"] - h["start"]
-            stretch = F.substring(acc["taken"], h["start"] + 1, length)
-            return F.when(F.contains(stretch, F.lit("x")), acc).otherwise(
-                F.struct(
-                    F.overlay(acc["taken"], F.repeat(F.lit("x"), length), h["start"] + 1).alias("taken"),
-                    F.concat(acc["kept"], F.array(h)).alias("kept"),
-                )
-            )
-
-        none = F.filter(F.transform(p, lambda x: x["h"]), lambda _: F.lit(False))
-        words = F.array_max(F.transform(p, lambda x: x["h"]["end"]))
-        start = F.struct(F.repeat(F.lit("."), words).alias("taken"), none.alias("kept"))
-        return F.aggregate(p, start, step, lambda acc: acc["kept"])
-
-    return let(ordered, fold)
+    places = _accepted(ordered["h"]["start"], ordered["h"]["end"])
+    bound = F.struct(ordered["h"].alias("hits"), places.alias("places"))
+    return let(bound, lambda p: F.transform(p["places"], lambda i: F.get(p["hits"], i)))
 
 
 def apply_corrections(words: Column, chosen: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot.functions import entities as E
 from earshot.functions import similarity as X
-from earshot.functions.text import normalize, tokens
+from earshot.functions.text import let, normalize, tokens
 from earshot.operators import correction as K
 from earshot.operators import evaluation as N
 from earshot.operators import gate as G
@@ -402,13 +405,16 @@ def q_gate_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Choice and rewrite. Hits are all runs that begin with a clinical stem, of any length and at any place.
 _HIT_STEMS = ["met", "atorvastat", "hydroxy", "omepra", "torse", "taking", "keep"]
 
+
+def _begins_hit(word: Column) -> Column:
+    """A stem holds no blank, so a run begins with it where its first word does."""
+    return let(F.lower(word), lambda w: reduce(or_, (F.startswith(w, F.lit(stem)) for stem in _HIT_STEMS)))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = P.explode_ngrams(heard(spark, sf_dir), "doc_id", "text")
-    starts = F.lit(False)
-    for stem in _HIT_STEMS:
-        starts = starts | F.startswith(F.lower("span"), F.lit(stem))
+    runs = P.explode_ngrams(heard(spark, sf_dir), "doc_id", "text", starting=_begins_hit)
     hit = F.struct("start", "end", F.upper("span").alias("candidate"))
-    return runs.where(starts).groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
+    return runs.groupBy("doc_id").agg(F.collect_list(hit).alias("hits"))
 
 
 def sql_chosen() -> str:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -159,6 +160,25 @@ def test_select_spans_is_greedy_and_disjoint(spark):
         assert got[i] == kept
 
 
+def test_select_spans_of_a_long_transcript(spark):
+    """80,000 hits of one transcript are chosen in one pass; equal spans go by what else they hold; none give none."""
+    runs = [(5 * i, 5 * i + j, f"c{k}") for i in range(10_000) for j in (1, 2, 3, 4) for k in (1, 0)]
+    df = spark.createDataFrame([(1, runs), (2, []), (3, None)], "id int, hits array<struct<start:int,end:int,candidate:string>>")
+    begun = time.time()
+    got = {r["id"]: r["c"] for r in df.select("id", P.select_spans(F.col("hits")).alias("c")).collect()}
+    assert time.time() - begun < 15
+    assert [tuple(h) for h in got[1]] == [(5 * i, 5 * i + 4, "c0") for i in range(10_000)]
+    assert got[2] == [] and got[3] is None
+
+
+def test_runs_by_their_first_word(spark):
+    df = spark.createDataFrame([(1, "Keep taking it keep"), (2, ""), (3, None), (4, "x y")], "id int, t string")
+    test = lambda w: F.startswith(F.lower(w), F.lit("keep"))
+    some = P.explode_ngrams(df, "id", "t", starting=test)
+    every = P.explode_ngrams(df, "id", "t").where(test(F.col("span")))
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, every.collect())) and some.count() == 5
+
+
 def test_choice_and_rewrite_of_whole_documents(spark):
     """The registered queries over the smallest tables, beside brute force."""
     from earshot.plans import catalog
