@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from earshot.sources import files, records
@@ -50,3 +51,32 @@ def test_json_names_without_a_second_read(spark, tmp_path):
     (tmp_path / "bad.json").write_text(late * 3)
     with pytest.raises(ValueError, match="missing required columns"):
         files.read_predictions(spark, str(tmp_path / "bad.json"))
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_lines_are_joined_a_batch_at_a_time(size):
+    """Records of two splits, the second of which begins inside quotes, in batches of any size."""
+    rng = random.Random(size)
+    text = written(rng, 120).rstrip("\n")
+    lines = text.split("\n")
+    half = next(i for i in range(len(lines) // 2, len(lines)) if "\n".join(lines[:i]).count('"') % 2)
+    rows = [(1 + (i >= half), i < half, i >= half, line) for i, line in enumerate(lines)]
+    parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], names=["split", "head", "inside", "value"])
+             for i in range(0, len(rows), size)]
+    got = [(split, kind, t) for split, _, kind, texts in records._records(iter(parts)) for t in texts.to_pylist()]
+    assert [k for _, k, _ in got if k != records.WHOLE] == [records.BEGIN, records.END]
+    first, second = ([t for s, _, t in got if s == n] for n in (1, 2))
+    joined = [*first[:-1], first[-1] + "\n" + second[0], *second[1:]]
+    assert "\n".join(joined) == text.split("\n", 1)[1]  # the header is left out
+    assert all(t.count('"') % 2 == 0 for t in joined)
+
+
+def test_lines_that_are_records_pass_as_they_come():
+    lines = pa.array([f'{i},"a ""b"""' for i in range(1000)])
+    part = pa.RecordBatch.from_arrays([pa.array([1] * 1000), pa.array([False] * 1000), pa.array([False] * 1000), lines], names=["split", "head", "inside", "value"])
+    assert [t for *_, t in records._records(iter([part, part]))] == [lines, lines]
+
+
+def test_only_splits_that_records_cross_are_read_again(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,t\n" + '1,"two\nlines"\n' * 40)
+    assert [r.cut for r in records._splits(records.lines_of(spark, str(tmp_path))).collect()] == [False]
