@@ -39,7 +39,7 @@ _lines = lines_of
 
 def _splits(lines: DataFrame) -> DataFrame:
     """``file, block, split, head, inside, cut``: splits by number, whether one begins a file, begins inside quotes, begins or ends so."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     odd = lines.groupBy("file", "block").agg((F.sum(quotes) % 2).alias("odd"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1
