@@ -118,9 +118,12 @@ def _links_within(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.Da
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """``bucket, fp, hub, n`` for buckets of two members or more."""
+    """``bucket, fp, hub, n`` for buckets of two members or more.
+
+    Spark sizes the rows that ``explode`` adds as none, so without the hint it may broadcast a row for each fingerprint and mask.
+    """
     sizes = buckets.groupBy("bucket").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    return via_table(buckets.join(sizes, "bucket"), "shared-buckets")
+    return via_table(buckets.hint("merge").join(sizes, "bucket"), "shared-buckets")
 
 
 def _labelled(shared: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import xxhash
 from llm.cases import LONG, ODD
+from pyspark.sql import functions as F
 
 from earshot.llm import simhash
 
@@ -93,3 +94,13 @@ def test_near_copies_and_odd_rows(make, odd, odd_clashing, empty):
     kept = simhash.one_of_each(odd_clashing)
     assert kept.columns == odd_clashing.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
+
+
+def test_exploded_buckets_are_never_broadcast(spark, monkeypatch):
+    # 3,000 fingerprints are few bytes, their 93,000 buckets are not; Spark sizes both alike.
+    plans = []
+    monkeypatch.setattr(simhash, "via_table", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    prints = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    mask = F.explode(F.array(*(F.lit(m) for m in simhash.covering_masks()))).alias("mask")
+    simhash._shared(prints.select("fp", mask).withColumn("bucket", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask")))))
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
