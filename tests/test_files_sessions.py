@@ -98,6 +98,14 @@ def test_salted_join_of_a_hot_key(spark):
     assert salted_join(big, small, "k", ["id"], "left").count() == 1000
 
 
+def test_salted_rows_are_sized_before_they_are_broadcast(spark):
+    # 400,000 rows are below the limit of a broadcast, their 6,400,000 salted ones are not.
+    big = spark.range(10_000_000).select("id", (F.col("id") % 1000).alias("k"))
+    small = spark.range(400_000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v"))
+    plan = salted_join(big, small, "k", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 CHUNKS = [
     ("a", 1, 4, "take 10mg"), ("a", 0, 0, "hello  there"), ("b", 0, 2, ""), ("b", 1, 6, "no fever"),
     ("a", 2, 8, ""), ("b", 2, 90, "late words"), ("a", 3, 400, "again"),
