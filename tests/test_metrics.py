@@ -262,3 +262,22 @@ def test_distances_of_large_alphabets():
     signs = [chr(c) for c in range(0x4E00, 0x4F00)] + ["\U0001F600", "a"]
     texts = ["".join(rng.choice(signs) for _ in range(40)) for _ in range(50)]
     assert longtext.distances([(t, t[:9] + t[12:]) for t in texts]) == [levenshtein(t, t[:9] + t[12:]) for t in texts]
+
+
+@pytest.mark.parametrize("kind", [str, list])
+def test_long_pairs_are_compared_side_by_side(monkeypatch, kind):
+    """Long near pairs take no pass of their own; bands that are too narrow at first give what the whole table gives."""
+    rng = random.Random(11)
+    pairs = []
+    for size, errors in [(1500, 0), (1500, 20), (2600, 90), (4000, 200), (1200, 400), (90, 300), (1, 1100)]:
+        a, b = _edited(rng, "abcdefgh ", size, errors)
+        pairs += [(a, b), (b[errors:], a)]
+    pairs = [("".join(a), "".join(b)) if kind is str else (a, b) for a, b in pairs]
+    want = [bit_distance(a, b) for a, b in pairs]
+    assert longtext.distances(pairs) == want
+    monkeypatch.setattr(longtext, "FIRST_OFF", 0)
+    monkeypatch.setattr(longtext, "FIRST_SHARE", 1 << 20)
+    assert longtext.distances(pairs) == want
+    near = [(a[:1500], a[3:1500]) for a, _ in pairs if len(a) >= 1500]
+    monkeypatch.setattr(longtext, "bit_distance", lambda a, b: pytest.fail("one pair at a time"))
+    assert longtext.distances(near) == [3] * len(near)
