@@ -31,7 +31,9 @@ def proposals(
 
     ``forms`` has a column ``form``; the result is one struct ``proposal`` per accepted form.
     """
-    distinct = forms.select(F.col("form").alias("span")).distinct()
+    # Ranking costs much per form and its rows are small: adaptive execution would hand all forms to a few tasks.
+    parts = 2 * forms.sparkSession.sparkContext.defaultParallelism
+    distinct = forms.select(F.col("form").alias("span")).distinct().repartition(parts, "span")
     best = V.best_candidates(distinct, index, threshold)
     record = G.features(F.col("span"), F.col("semantic_score"), F.col("fuzzy_score"), F.col("phonetic_score"))
     judged = best.withColumn("features", record)
