@@ -1,6 +1,9 @@
 import json
 import random
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +78,31 @@ def test_depths_count_every_character():
             quoted ^= c == '"'
             depth[quoted] += (c in "[{") - (c in "]}")
         assert documents._depths(part) == (turned, *depth)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_marks_of_a_batch_are_those_of_its_parts(seed):
+    """Quotes, escapes and brackets counted for all parts at once, in any slice of an array."""
+    rng = random.Random(seed)
+    parts = ["".join(rng.choices('ab"\\\\[]{}: \u00e9\U0001F600', k=rng.randrange(12))) for _ in range(300)]
+    values = pa.array(["before", *parts, "after"], pa.string()).slice(1, len(parts))
+    marks = documents._Marks(values)
+    for begin in (False, True):
+        turned, depth, want = begin, 0, []
+        for part in parts:
+            turns, *both = documents._depths(part)
+            depth += both[turned]
+            turned ^= turns
+            want.append((turned, depth))
+        assert want == list(zip(((marks.turns + begin) % 2 == 1).tolist(), marks.depth(begin).tolist()))
+
+
+def test_entries_are_written_in_batches():
+    """One batch of entries is one batch of lines, not one for each entry."""
+    told = []
+    entries = SimpleNamespace(mapInArrow=lambda f, schema: told.append(f) or MagicMock())
+    documents._written(entries, "[]", "nowhere")
+    batches = [pa.RecordBatch.from_pydict({"value": pa.array(x, pa.string())}) for x in (["1", "2", "3"], [], ["4"], ["5", "6"])]
+    out = list(told[0](iter(batches)))
+    assert [x for b in out for x in b.column(0).to_pylist()] == ["[1,", "2,", "3,", "4,", "5,", "6]"] and len(out) <= 5
+    assert list(told[0](iter([]))) == []
