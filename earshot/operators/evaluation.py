@@ -23,10 +23,13 @@ BASELINES = ("baseline_0_raw", "baseline_1_normalized", "baseline_2_retrieval",
 def batch_evaluation(spark: SparkSession, predictions: str, report: str, errors: str, threshold: float = 0.3) -> DataFrame:
     """Read, validate and score a file of predictions; write the summary and the error rows. Gives the summary.
 
-    Rows are scored once, into a table that both sinks read.
+    Rows are scored once, into a table that both sinks read. Only the error rows keep their texts there: no sink reads those of others.
     """
     rows = files.require_rows(files.read_predictions(spark, predictions))
-    scored = via_table(S.score_predictions(rows), "scored")
+    wrong = S.is_error(threshold)
+    texts = {c: F.when(wrong, F.col(c)).alias(c) for c in ("reference_text", "predicted_text")}
+    told = S.score_predictions(rows)
+    scored = via_table(told.select(*(texts.get(c, F.col(c)) for c in told.columns)), "scored")
     summary = R.summary(scored)
     files.write_report(summary, report)
     files.write_rows(S.error_patterns(scored, threshold), errors)

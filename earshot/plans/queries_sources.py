@@ -207,7 +207,7 @@ def q_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_batch_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over a file of predictions: both sinks, read back."""
     path = fresh_path(spark, "batch")
-    files.write_rows(_prediction_rows(spark, sf_dir), path + ".csv")
+    files.write_packed_rows(_prediction_rows(spark, sf_dir), path + ".csv")
     N.batch_evaluation(spark, path + ".csv", path + "-report", path + "-errors")
 
     def sink(name: str, n: str) -> DataFrame:

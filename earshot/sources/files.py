@@ -15,6 +15,8 @@ from earshot.sources.records import read_quoted_csv
 
 # Rows of a JSON file whose names are looked at before the read.
 NAMES_FROM_ROWS = 100
+# Rows of a compressed file.
+PACKED_ROWS = 500_000
 # A quoted text may go over several lines. Files of this kind that are small by nature are read whole.
 _CSV = {"header": "true", "escape": '"', "multiLine": "true"}
 # Written texts keep their blanks, and an empty text stays apart from null.
@@ -120,6 +122,11 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").options(**_CSV_OUT).csv(path)
 
 
+def write_packed_rows(rows: DataFrame, path: str, most: int = PACKED_ROWS) -> None:
+    """Any number of rows as compressed CSV. Such a file is read by one task, so none has more than ``most`` rows."""
+    rows.write.mode("overwrite").options(**_CSV_OUT, compression="gzip", maxRecordsPerFile=most).csv(path)
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Nested records as JSON lines."""
     records.write.mode("overwrite").json(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from earshot import schemas
 from earshot.functions import signal as W
 from earshot.operators import augment as A
+from earshot.operators import evaluation, reports, scoring
 from earshot.operators import retrieval as V
 from earshot.operators import sessions as T
 from earshot.operators import truth as J
@@ -90,6 +91,28 @@ def test_shared_dir_is_kept(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
 
+def test_batch_evaluation_keeps_the_texts_of_error_rows_only(spark, tmp_path, monkeypatch):
+    texts = ["take 10mg", 'said "no,\nfever"', "x y z", " lead", "one two three four five six seven"]
+    rows = [(f"s{i}", "clean", t, t if i % 3 else t.replace("a", "o") + " more", f"b{i % 2}") for i, t in enumerate(texts * 24)]
+    df = spark.createDataFrame(rows, "sample_id string, condition string, reference_text string, predicted_text string, baseline_name string")
+    files.write_packed_rows(df.select(*schemas.PREDICTIONS.fieldNames()).coalesce(1), str(tmp_path / "rows.csv"), 50)
+    assert len(list((tmp_path / "rows.csv").glob("part-*.gz"))) == 3
+    kept = []
+    monkeypatch.setattr(evaluation, "via_table", lambda df, label: kept.append(df) or df)
+    summary = evaluation.batch_evaluation(spark, str(tmp_path / "rows.csv"), str(tmp_path / "report"), str(tmp_path / "errors"))
+    want = scoring.score_predictions(df)
+    errors = want.where("WER > 0.3 OR CER > 0.3")
+    said = kept[0].where("reference_text IS NOT NULL")
+    order = want.columns
+    assert 0 < errors.count() < want.count() == kept[0].count()
+    assert sorted(map(repr, said.select(order).collect())) == sorted(map(repr, errors.collect()))
+    back = spark.read.options(header="true", escape='"', multiLine="true").csv(str(tmp_path / "errors"))
+    assert sorted(r.sample_id for r in back.collect()) == sorted(r.sample_id for r in errors.collect())
+    means = [F.round(m, 9).alias(m) for m in scoring.METRICS]
+    told = [df.select("baseline_name", "condition", *means, "NumSamples").collect() for df in (summary, reports.summary(want))]
+    assert sorted(told[0]) == sorted(told[1])
+
+
 def test_salted_join_of_a_hot_key(spark):
     big = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     small = spark.createDataFrame([("hot", 1), ("5", 2)], "k string, v int")
