@@ -353,3 +353,10 @@ def test_best_places_equal_the_whole_sort(k):
     rows, columns = V.best_places(scores, k)
     assert rows.tolist() == np.repeat(np.arange(40), top.shape[1]).tolist()
     assert columns.tolist() == top.ravel().tolist()
+
+
+def test_forms_are_ranked_by_all_cores(spark, index):
+    """Rows of forms are small and their ranking is not: adaptive execution must not join their partitions."""
+    forms = spark.createDataFrame([("metforman",)], "form string")
+    plan = K.proposals(forms, index)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
